@@ -25,12 +25,17 @@ def all_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
+def case_of(branches: Iterable[tuple[Column, object]], default: object | None = None) -> Column:
+    """CASE over (condition, value) pairs."""
+    chain = F
+    for condition, value in branches:
+        chain = chain.when(condition, value)
+    return chain.otherwise(F.lit(default)) if chain is not F else F.lit(default)
+
+
 def lookup(col: Column, table: Mapping[str, object], default: object | None = None) -> Column:
     """Small constant table as one CASE expression, so it stays in generated code."""
-    chain = None
-    for key, value in table.items():
-        chain = (chain or F).when(col == F.lit(key), F.lit(value))
-    return chain.otherwise(F.lit(default))
+    return case_of(((col == F.lit(key), F.lit(value)) for key, value in table.items()), default)
 
 
 def picked(candidates: Iterable[Column]) -> Column:

@@ -5,8 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import sablewatch
+
+# Functions that run in Python workers travel with the plan, so executors need no copy
+# of this package.
+cloudpickle.register_pickle_by_value(sablewatch)
+
 # Runtime SQL settings every operator relies on; all can be set on a live session.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
