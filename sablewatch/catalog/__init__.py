@@ -7,7 +7,7 @@ from importlib import import_module
 from .registry import ORACLES, QUERIES
 
 for _family in (
-    "ingest", "detections",
+    "ingest", "detections", "contracts", "enrichment", "triage",
 ):
     import_module(f"{__name__}.{_family}")
 

@@ -178,10 +178,9 @@ def decisions(
 
 def route_set(tactics: Column) -> Column:
     """Sorted set of agents for an array of tactic names."""
-    low = F.transform(tactics, lambda t: F.lower(t))
+    low = F.lower(F.array_join(tactics, "\n"))
     agents = [F.lit("triage"), F.lit("threat_intel")]
-    for agent, words in TACTIC_ROUTES.items():
-        agents.append(F.when(F.exists(low, lambda t, w=words: contains_any(t, w)), F.lit(agent)))
+    agents += [F.when(contains_any(low, words), F.lit(agent)) for agent, words in TACTIC_ROUTES.items()]
     return F.sort_array(F.array_distinct(picked(agents)))
 
 
