@@ -324,7 +324,7 @@ SELECT event_id AS message_id, CASE k % 3 WHEN 0 THEN 'triage' WHEN 1 THEN 'malw
 """
 
 VIEWS["metrics"] = """
-SELECT event_type AS metric, cast(ts AS timestamp) AS at, event_id AS seq, value FROM events
+SELECT event_type AS metric, cast(ts AS timestamp) AS observed_at, event_id AS seq, value FROM events
 """
 
 VIEWS["contract_records"] = """
