@@ -7,7 +7,7 @@ from importlib import import_module
 from .registry import ORACLES, QUERIES
 
 for _family in (
-    "ingest", "detections", "contracts", "enrichment", "triage", "analytics",
+    "ingest", "detections", "contracts", "enrichment", "triage", "analytics", "memory",
 ):
     import_module(f"{__name__}.{_family}")
 

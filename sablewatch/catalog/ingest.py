@@ -283,7 +283,7 @@ def alert_from_submission(spark, sf):
 @query(
     "incident_from_alerts",
     """SELECT incident_id, 'manual' AS incident_type, 'open' AS status, count(DISTINCT alert_id) AS alert_count,
-      string_agg(DISTINCT alert_id, ',' ORDER BY alert_id) AS alerts FROM incident_alerts GROUP BY incident_id""",
+      min(alert_id) AS first_alert, max(alert_id) AS last_alert FROM incident_alerts GROUP BY incident_id""",
 )
 def incident_from_alerts(spark, sf):
     return records.manual_incidents(view(spark, sf, "incident_alerts"))

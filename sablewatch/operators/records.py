@@ -63,13 +63,13 @@ def submitted_alerts(submissions: DataFrame) -> DataFrame:
 
 
 def manual_incidents(members: DataFrame) -> DataFrame:
-    """One open incident of type manual per id, with its alerts.
+    """One open incident of type manual per id, with its number of alerts.
 
-    The alert list is a stored attribute of the incident, so it is built as an array;
-    its length is the number of alerts an analyst put into one incident.
+    The membership rows themselves are the incident's alert list; they stay rows, since
+    one incident may hold a large part of all alerts.
     """
     return members.groupBy("incident_id").agg(
         F.lit("manual").alias("incident_type"), F.lit("open").alias("status"),
-        F.count_distinct("alert_id").alias("alert_count"),
-        F.sort_array(F.collect_set("alert_id")).alias("alerts"),
+        F.count_distinct("alert_id").alias("alert_count"), F.min("alert_id").alias("first_alert"),
+        F.max("alert_id").alias("last_alert"),
     )

@@ -166,19 +166,23 @@ def event_span(alert_events: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def incident_rollup(members: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Per incident: alerts, affected assets and users.
+    """Per incident a row with its alert counts, and a row per affected asset and user.
 
-    Distinct (incident, entity) rows are formed first, so an incident with very many alerts
-    on few hosts sends few rows to its final group.
+    One grouping-sets pass; nothing is gathered into lists.
     """
     joined = members.select("incident_id", "alert_id").join(
         alerts.select("alert_id", "hostname", "user_name", "severity"), "alert_id"
     )
-    return joined.groupBy("incident_id").agg(
-        F.count(F.lit(1)).alias("alerts"),
-        F.sort_array(F.collect_set("hostname")).alias("affected_assets"),
-        F.sort_array(F.collect_set("user_name")).alias("affected_users"),
-        F.count_if(F.col("severity") == "critical").alias("critical_alerts"),
+    incident, host, user = F.col("incident_id"), F.col("hostname"), F.col("user_name")
+    kind = F.when(F.grouping("hostname") == 0, "asset").when(F.grouping("user_name") == 0, "user").otherwise("incident")
+    return (
+        joined.groupingSets([[incident], [incident, host], [incident, user]], incident, host, user)
+        .agg(
+            kind.alias("kind"), F.coalesce("hostname", "user_name").alias("value"), F.count(F.lit(1)).alias("alerts"),
+            F.count_if(F.col("severity") == "critical").alias("critical_alerts"),
+        )
+        .filter((F.col("kind") == "incident") | F.col("value").isNotNull())
+        .select("incident_id", "kind", "value", "alerts", "critical_alerts")
     )
 
 
