@@ -108,11 +108,13 @@ def default_rules() -> list[DetectionRule]:
     ]
 
 
-def first_match(events: DataFrame, rules: Sequence[DetectionRule] | None = None) -> DataFrame:
-    """At most one alert per event: the first rule that hits."""
+def first_match(
+    events: DataFrame, rules: Sequence[DetectionRule] | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """At most one alert per event: the first rule that hits. ``keep`` carries event columns along."""
     hits = [r.hit() for r in (rules or default_rules())]
     return events.withColumn("hit", F.coalesce(*hits)).filter(F.col("hit").isNotNull()).select(
-        "event_id", "source_system", "hit.*"
+        "event_id", "source_system", *keep, "hit.*"
     )
 
 
