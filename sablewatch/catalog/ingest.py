@@ -62,8 +62,8 @@ def _norm(spark, sf, topic, *columns):
 def src_topic_json(spark, sf):
     kinds = {EDR_TOPIC: "event_simpleName", SIEM_TOPIC: "sourcetype", NDR_TOPIC: "_path"}
     parsed = parse_topics(view(spark, sf, "messages_in"), {t: [f] for t, f in kinds.items()})
-    corrupt = F.coalesce(*[F.col(f"`{t}`").getField(CORRUPT) for t in kinds])
-    kind = F.coalesce(*[F.col(f"`{t}`").getField(f) for t, f in kinds.items()])
+    corrupt = F.coalesce(*[F.col("parsed").getField(t).getField(CORRUPT) for t in kinds])
+    kind = F.coalesce(*[F.col("parsed").getField(t).getField(f) for t, f in kinds.items()])
     return parsed.select("topic", "key", corrupt.isNull().alias("is_json"), kind.alias("kind"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import VALIDATION_SEVERITIES
@@ -121,20 +121,20 @@ def millis_between(later: Column, earlier: Column) -> Column:
 
 # --- addresses and names --------------------------------------------------------
 
-_OCTETS = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+_OCTET = r"(25[0-5]|2[0-4]\d|[01]?\d?\d)"
+IPV4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
 
 def ipv4_number(ip: Column) -> Column:
     """Dotted quad as a number; NULL for anything else, IPv6 included."""
-    parts = [F.regexp_extract(ip, _OCTETS, i).try_cast("long") for i in range(1, 5)]
-    a, b, c, d = parts
-    number = ((a * 256 + b) * 256 + c) * 256 + d
-    return F.when(all_of(p <= 255 for p in parts), number)
+    return F.when(
+        ip.rlike(IPV4),
+        F.aggregate(F.split(ip, r"\."), F.lit(0).cast("long"), lambda n, part: n * 256 + part.cast("long")),
+    )
 
 
-def is_private_ip(ip: Column) -> Column:
-    """RFC 1918 by number; false where the text is not an IPv4 address."""
-    n = ipv4_number(ip)
+def is_private_number(n: Column) -> Column:
+    """RFC 1918 ranges; false for NULL."""
     return F.coalesce(
         n.between(167772160, 184549375)        # 10.0.0.0/8
         | n.between(2886729728, 2887778303)    # 172.16.0.0/12
@@ -143,6 +143,16 @@ def is_private_ip(ip: Column) -> Column:
     )
 
 
+def evaluated_once(df: DataFrame, expression: Column, name: str) -> DataFrame:
+    """Add a column that later filters and projections read and never re-evaluate.
+
+    A filter on a derived column is pushed below the projection that derives it, with its
+    definition substituted: a JSON document would be parsed once per use. Rows of a
+    generator are a boundary the optimizer does not push through.
+    """
+    return df.select("*", F.explode(F.array(expression)).alias(name))
+
+
 def is_service_account(username: Column) -> Column:
     return username.startswith("svc_") | username.startswith("service")
 

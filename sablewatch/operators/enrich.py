@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ipv4_number, is_private_ip, is_service_account, non_empty, picked
+from ..functions import evaluated_once, ipv4_number, is_private_number, is_service_account, non_empty, picked
 from .detect import contains_any
 
 # --- fixed values of the built-in threat rules ---------------------------------------
@@ -264,8 +264,8 @@ def locate(ips: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     payload = [c for c in ranges.columns if c not in ("start_ip", "end_ip")]
     public = (
-        ips.filter(~is_private_ip(F.col("ip"))).select("ip").distinct()
-        .withColumn("n", ipv4_number(F.col("ip"))).filter(F.col("n").isNotNull())
+        evaluated_once(ips.select("ip").distinct(), ipv4_number(F.col("ip")), "n")
+        .filter(F.col("n").isNotNull() & ~is_private_number(F.col("n")))
         .withColumn("block", F.shiftright("n", 16))
     )
     blocks = ranges.withColumn(

@@ -192,9 +192,8 @@ def validate(rows: DataFrame, rules, as_of: Column) -> DataFrame:
     results = [
         F.struct(
             F.lit(rule_id).alias("rule_name"), ok.alias("passed"), F.lit(rule.severity).alias("severity"),
-            F.concat(
-                F.lit(f"Field '{rule.field}' "), F.when(ok, "meets").otherwise("violates"), F.lit(f" {rule.kind}")
-            ).alias("message"),
+            F.when(ok, f"Field '{rule.field}' meets {rule.kind}")
+            .otherwise(f"Field '{rule.field}' violates {rule.kind}").alias("message"),
         )
         for (rule_id, ok), rule in zip(result_columns(rows, rules, as_of).items(), rules)
     ]

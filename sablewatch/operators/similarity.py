@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import non_empty, picked, title_tokens
+from ..session import materialised
 
 FIELDS = {
     "h": "process_hash", "r": "detection_rule", "s": "source_ip", "d": "destination_ip", "o": "hostname",
@@ -58,15 +59,18 @@ _SEP = "\u0001"
 
 def _features(alerts: DataFrame, *keep: str) -> DataFrame:
     fields = [non_empty(F.col(name)).alias(letter) for letter, name in FIELDS.items()]
-    out = alerts.select(*keep, *fields, title_tokens(F.col("title")).alias("tokens"))
-    out = out.withColumn("title_key", F.when(F.size("tokens") > 0, F.md5(F.array_join("tokens", _SEP))))
-    whole = F.concat_ws(_SEP, *[F.coalesce(c, F.lit("")) for c in FIELDS], F.coalesce("title_key", F.lit("")))
+    title = F.array_join(title_tokens(F.col("title")), _SEP).alias("title")
+    out = alerts.select(*keep, *fields, title)
+    whole = F.concat_ws(_SEP, *[F.coalesce(c, F.lit("")) for c in FIELDS], "title")
     return out.withColumn("profile", F.md5(whole))
 
 
 def _profiles(features: DataFrame) -> DataFrame:
-    """Feature-equal alerts collapsed to one row with their number and smallest id."""
-    return features.groupBy("profile", *FIELDS, "title_key", "tokens").agg(
+    """Feature-equal alerts collapsed to one row with their number and smallest id.
+
+    ``title`` is the sorted token set as text, empty when there are no tokens.
+    """
+    return features.groupBy("profile", *FIELDS, "title").agg(
         F.count(F.lit(1)).alias("n"), F.min("alert_id").alias("alert_id")
     )
 
@@ -80,13 +84,16 @@ def _combination_key(combo: str) -> Column:
 
 
 def _by_combination(profiles: DataFrame, combos, *keep: str) -> DataFrame:
-    groups = picked(
-        [
-            F.when(_combination_key(c).isNotNull(), F.struct(F.lit(c).alias("combo"), _combination_key(c).alias("key")))
-            for c in combos
-        ]
+    """One row per profile and combination whose fields it has."""
+    groups = F.array(*[F.struct(F.lit(c).alias("combo"), _combination_key(c).alias("key")) for c in combos])
+    return (
+        profiles.select(*keep, F.explode(groups).alias("g")).select(*keep, "g.combo", "g.key")
+        .filter(F.col("key").isNotNull())
     )
-    return profiles.select(*keep, F.explode(groups).alias("g")).select(*keep, "g.combo", "g.key")
+
+
+def _tokens(title: Column) -> Column:
+    return F.when(title != "", F.split(title, _SEP)).otherwise(F.array().cast("array<string>"))
 
 
 def _overlap(a: Column, b: Column) -> tuple[Column, Column]:
@@ -111,40 +118,40 @@ def related_counts(alerts: DataFrame) -> DataFrame:
     share all five, so ``matching_features`` names them).
     """
     features = _features(alerts, "alert_id")
-    profiles = _profiles(features)
-    members = _by_combination(profiles, COUNTING, "profile", "alert_id", "title_key", "tokens", "n")
+    profiles = materialised(_profiles(features), "alert-profiles")
+    members = _by_combination(profiles, COUNTING, "profile", "title", "n")
 
-    titles = members.groupBy("combo", "key", "title_key").agg(
-        F.sum("n").alias("n_title"), F.first("tokens").alias("tokens"), F.min("alert_id").alias("first_id")
-    )
+    titles = members.groupBy("combo", "key", "title").agg(F.sum("n").alias("n_title"))
     groups = titles.groupBy("combo", "key").agg(
-        F.sum("n_title").alias("n_any"), F.count("title_key").alias("titles"), F.min("first_id").alias("cluster")
+        F.sum("n_title").alias("n_any"), F.count_if(F.col("title") != "").alias("titles")
+    )
+    sized = materialised(titles.join(groups, ["combo", "key"]), "alert-groups")
+    clusters = (
+        _by_combination(profiles, ["hrsdo"], "alert_id").groupBy("key").agg(F.min("alert_id").alias("cluster"))
     )
-    sized = titles.join(groups, ["combo", "key"])
 
     # Pairs of different titles, needed only where a title can tip the balance and a
     # group has several; the rows are distinct titles of a group, not alerts.
     fuzzy = [c for c, (_, _, half) in COUNTING.items() if half]
-    several = sized.filter(
-        F.col("combo").isin(*fuzzy) & (F.col("titles") > 1) & F.col("title_key").isNotNull()
-    )
-    other = several.select(
-        "combo", "key", F.col("title_key").alias("other_key"), F.col("tokens").alias("other_tokens"),
+    several = sized.filter(F.col("combo").isin(*fuzzy) & (F.col("titles") > 1) & (F.col("title") != ""))
+    tokens = several.select("combo", "key", "title", "n_title", F.split("title", _SEP).alias("tokens"))
+    other = tokens.select(
+        "combo", "key", F.col("title").alias("other_title"), F.col("tokens").alias("other_tokens"),
         F.col("n_title").alias("other_n"),
     )
     shared, union = _overlap(F.col("tokens"), F.col("other_tokens"))
     near = (
-        several.join(other, ["combo", "key"])
-        .filter(F.col("title_key") != F.col("other_key"))
-        .withColumn("shared", shared).withColumn("union", union)
+        tokens.join(other, ["combo", "key"])
+        .filter(F.col("title") != F.col("other_title"))
+        .select("combo", "key", "title", "other_n", shared.alias("shared"), union.alias("union"))
         .filter(F.col("shared") * 5 >= F.col("union"))
-        .groupBy("combo", "key", "title_key")
+        .groupBy("combo", "key", "title")
         .agg(
             F.sum(F.when(F.col("shared") * 2 >= F.col("union"), F.col("other_n")).otherwise(0)).alias("n_half"),
             F.sum("other_n").alias("n_fifth"),
         )
     )
-    has_title = F.col("title_key").isNotNull()
+    has_title = F.col("title") != ""
     equal = F.when(has_title, F.col("n_title")).otherwise(0)
     half = equal + F.coalesce("n_half", F.lit(0))
     fifth = equal + F.coalesce("n_fifth", F.lit(0))
@@ -153,22 +160,15 @@ def related_counts(alerts: DataFrame) -> DataFrame:
         score = F.when(
             F.col("combo") == combo, any_ * F.col("n_any") + same * equal + fuzzy_ * half
         ).otherwise(score)
-    contributions = (
-        sized.join(near, ["combo", "key", "title_key"], "left")
-        .select(
-            "combo", "key", F.coalesce("title_key", F.lit("")).alias("title_key"), score.alias("at_least_related"),
-            F.when(F.col("combo") == "hrsdo", fifth).otherwise(0).alias("at_least_duplicate"),
-            F.when(F.col("combo") == "hrsdo", F.col("cluster")).alias("cluster"),
-        )
+    contributions = sized.join(near, ["combo", "key", "title"], "left").select(
+        "combo", "key", "title", score.alias("at_least_related"),
+        F.when(F.col("combo") == "hrsdo", fifth).otherwise(0).alias("at_least_duplicate"),
     )
     per_profile = (
-        members.select("profile", "combo", "key", F.coalesce("title_key", F.lit("")).alias("title_key"))
-        .join(contributions, ["combo", "key", "title_key"])
+        members.select("profile", "combo", "key", "title")
+        .join(contributions, ["combo", "key", "title"])
         .groupBy("profile")
-        .agg(
-            F.sum("at_least_related").alias("related_all"), F.sum("at_least_duplicate").alias("duplicate_all"),
-            F.max("cluster").alias("cluster"),
-        )
+        .agg(F.sum("at_least_related").alias("related_all"), F.sum("at_least_duplicate").alias("duplicate_all"))
     )
     own = F.lit(0)
     for letter, weight in WEIGHTS.items():
@@ -177,12 +177,17 @@ def related_counts(alerts: DataFrame) -> DataFrame:
     self_related, self_duplicate = (own >= 70).cast("int"), (own >= 92).cast("int")
     duplicates = F.coalesce("duplicate_all", F.lit(0)) - self_duplicate
     related = F.coalesce("related_all", F.lit(0)) - self_related - duplicates
-    total = alerts.agg(F.count(F.lit(1)) - 1).scalar()
+    total = profiles.agg(F.sum("n") - 1).scalar()
     names = F.array(*[F.lit(v) for v in FIELDS.values()])
-    return features.join(per_profile, "profile", "left").select(
-        "alert_id", F.coalesce("cluster", "alert_id").alias("cluster"), duplicates.alias("duplicates"),
-        related.alias("related"), total.alias("total_compared"),
-        F.when(duplicates > 0, names).alias("matching_features"),
+    judged = (
+        profiles.join(per_profile, "profile", "left")
+        .withColumn("key", _combination_key("hrsdo"))
+        .join(clusters, "key", "left")
+        .select("profile", "cluster", duplicates.alias("duplicates"), related.alias("related"))
+    )
+    return features.select("alert_id", "profile").join(judged, "profile").select(
+        "alert_id", F.coalesce("cluster", "alert_id").alias("cluster"), "duplicates", "related",
+        total.alias("total_compared"), F.when(F.col("duplicates") > 0, names).alias("matching_features"),
     )
 
 
@@ -192,25 +197,26 @@ def anchored_scores(alerts: DataFrame) -> DataFrame:
     The rows form stars, one per group: any two alerts that reach .70 by field or title
     equality are members of a common group, so the groups hold all such pairs in linear space.
     """
-    profiles = _profiles(_features(alerts, "alert_id"))
-    payload = ["alert_id", "n", *FIELDS, "tokens", "title_key"]
+    profiles = materialised(_profiles(_features(alerts, "alert_id")), "alert-profiles")
+    payload = ["alert_id", "n", *FIELDS, "title"]
     members = _by_combination(profiles, COHESIVE, *payload)
-    with_title = [c for c, title in COHESIVE.items() if title]
-    members = members.filter(~F.col("combo").isin(*with_title) | F.col("title_key").isNotNull()).withColumn(
-        "key",
-        F.when(F.col("combo").isin(*with_title), F.concat_ws(_SEP, "key", "title_key")).otherwise(F.col("key")),
+    with_title = F.col("combo").isin(*[c for c, title in COHESIVE.items() if title])
+    members = members.filter(~with_title | (F.col("title") != "")).withColumn(
+        "key", F.when(with_title, F.md5(F.concat_ws(_SEP, "key", "title"))).otherwise(F.col("key"))
     )
     groups = (
         members.groupBy("combo", "key")
         .agg(
-            F.min(F.struct("alert_id", *FIELDS, "tokens")).alias("a"), F.sum("n").alias("group_size"),
+            F.min(F.struct("alert_id", *FIELDS, "title")).alias("a"), F.sum("n").alias("group_size"),
             F.count(F.lit(1)).alias("profiles"),
         )
         .filter(F.col("profiles") > 1)
     )
     joined = members.join(groups, ["combo", "key"]).filter(F.col("alert_id") != F.col("a.alert_id"))
-    letters = [*FIELDS, "tokens"]
-    score = similarity({x: F.col(x) for x in letters}, {x: F.col(f"a.{x}") for x in letters})
+    score = similarity(
+        {**{x: F.col(x) for x in FIELDS}, "tokens": _tokens(F.col("title"))},
+        {**{x: F.col(f"a.{x}") for x in FIELDS}, "tokens": _tokens(F.col("a.title"))},
+    )
     return joined.select(
         "combo", F.col("a.alert_id").alias("anchor_id"), "alert_id", F.col("n").alias("equal_alerts"), "group_size",
         score.alias("similarity"),
@@ -227,8 +233,8 @@ def similar_to(queries: DataFrame, candidates: DataFrame, minimum: float = RELAT
     The query alerts are the caller's (new alerts of one batch, say), so the result is as
     long as their matches. Each pair is scored once: in the first block it shares.
     """
-    q = _features(queries, "alert_id").select(F.col("alert_id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in [*FIELDS, "tokens"]])
-    c = _features(candidates, "alert_id").select("alert_id", *FIELDS, "tokens")
+    q = _features(queries, "alert_id").select(F.col("alert_id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in [*FIELDS, "title"]])
+    c = _features(candidates, "alert_id").select("alert_id", *FIELDS, "title")
     pairs = None
     for i, block in enumerate(_BLOCKS):
         on = F.lit(True)
@@ -242,8 +248,10 @@ def similar_to(queries: DataFrame, candidates: DataFrame, minimum: float = RELAT
             earlier = earlier | same
         part = q.join(c, on).filter(~earlier & (F.col("query_id") != F.col("alert_id")))
         pairs = part if pairs is None else pairs.unionByName(part)
-    letters = [*FIELDS, "tokens"]
-    score = similarity({x: F.col(f"q_{x}") for x in letters}, {x: F.col(x) for x in letters})
+    score = similarity(
+        {**{x: F.col(f"q_{x}") for x in FIELDS}, "tokens": _tokens(F.col("q_title"))},
+        {**{x: F.col(x) for x in FIELDS}, "tokens": _tokens(F.col("title"))},
+    )
     matching = picked([F.when(F.col(f"q_{x}") == F.col(x), F.lit(name)) for x, name in FIELDS.items()])
     return (
         pairs.withColumn("similarity", score)

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 import sablewatch
 
@@ -70,9 +70,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df):
-    """Cut lineage through the reliable checkpoint folder (survives executor loss)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "lineage"))
-    return df.checkpoint(eager=True)
+def materialised(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    For a result several branches of one plan need: it is computed once, and a lost
+    executor costs no recomputation of what came before.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

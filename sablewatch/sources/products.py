@@ -182,7 +182,7 @@ def normalise(messages: DataFrame, products: Mapping[str, tuple] = PRODUCTS) ->
     ingested = F.col("timestamp")
     branches = {}
     for topic, (_, mapper) in products.items():
-        struct = F.col(f"`{topic}`")
+        struct = F.col("parsed").getField(topic)
         branches[topic] = (struct, mapper(lambda f, s=struct: s.getField(f), ingested))
 
     def by_topic(name: str, kind) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import severity_rank
+from ..functions import evaluated_once, millis_between, parse_iso, severity_rank
 from ..schemas import STREAM_EVENT
 
 CORRUPT = "_corrupt"
@@ -26,16 +26,16 @@ def json_record(value: Column, fields: list[str]) -> Column:
 
 
 def parse_topics(messages: DataFrame, topics: dict[str, list[str]]) -> DataFrame:
-    """One struct column per topic, parsed in a single pass over the messages.
+    """Struct column ``parsed`` with one field per topic, in a single pass over the messages.
 
-    ``topics`` maps a topic to the raw field names it carries. A message is parsed only
-    with the fields of its own topic; the other struct columns stay NULL.
+    ``topics`` maps a topic to the raw field names it carries. A message is parsed once,
+    with the fields of its own topic; the other fields stay NULL.
     """
     structs = [
         F.when(F.col("topic") == topic, json_record(F.col("value"), fields)).alias(topic)
         for topic, fields in topics.items()
     ]
-    return messages.select("*", *structs)
+    return evaluated_once(messages, F.struct(*structs), "parsed")
 
 
 def parse_flat_events(
@@ -46,12 +46,10 @@ def parse_flat_events(
     ``as_of`` is the processing time; a stream leaves it out and takes the trigger's
     clock. ``risk_score`` is the constant 0.5 until a model column is supplied.
     """
-    from ..functions import millis_between, parse_iso
-
-    event = F.from_json(F.col("value").cast("string"), STREAM_EVENT).alias("event")
+    event = F.from_json(F.col("value").cast("string"), STREAM_EVENT)
     processed = F.current_timestamp() if as_of is None else as_of
     return (
-        messages.select(event, F.col("timestamp").alias("kafka_timestamp"))
+        evaluated_once(messages.select("value", F.col("timestamp").alias("kafka_timestamp")), event, "event")
         .select("event.*", "kafka_timestamp")
         .withColumn("event_timestamp", parse_iso(F.col("timestamp")))
         .withColumn("processing_time", processed)
