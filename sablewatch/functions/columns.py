@@ -153,6 +153,16 @@ def evaluated_once(df: DataFrame, expression: Column, name: str) -> DataFrame:
     return df.select("*", F.explode(F.array(expression)).alias(name))
 
 
+def rows_of(df: DataFrame, keep: list[str], array: Column, name: str = "item") -> DataFrame:
+    """One row per element of a computed array, spread into columns.
+
+    A plain explode makes the optimizer add a "not empty" filter below, which evaluates
+    the array a second time; the outer form with a test on its output does not.
+    """
+    exploded = df.select(*keep, F.explode_outer(array).alias(name))
+    return exploded.filter(F.col(name).isNotNull()).select(*keep, f"{name}.*")
+
+
 def is_service_account(username: Column) -> Column:
     return username.startswith("svc_") | username.startswith("service")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import case_of, first_non_empty, non_empty, picked
+from ..functions import case_of, first_non_empty, non_empty, picked, rows_of
 
 # --- fixed values: named command-line patterns and technique mapping ------------------
 COMMAND_PATTERNS = {
@@ -138,7 +138,7 @@ def followups(judged: DataFrame, id_col: str) -> DataFrame:
             F.when(F.col("needs_sandbox"), task("malware", "sandbox_analysis", 2)),
         ]
     )
-    return judged.select(id_col, F.explode(tasks).alias("t")).select(id_col, "t.*")
+    return rows_of(judged, [id_col], tasks)
 
 
 def hash_type(value: Column) -> Column:
@@ -185,6 +185,7 @@ def decode_base64(rows: DataFrame, text: str = "command_line") -> DataFrame:
     """
     return (
         rows.filter(F.col(text).rlike(BASE64_RUN))
-        .withColumn("decoded_content", _decoded(F.col(text)))
+        # Not deterministic to the optimizer: the filter below must not run it a second time.
+        .withColumn("decoded_content", _decoded.asNondeterministic()(F.col(text)))
         .filter(F.col("decoded_content").isNotNull())
     )

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import picked, severity_rank
+from ..functions import picked, rows_of, severity_rank
 
 # --- fixed values of the detection rules ---------------------------------------------
 SUSPICIOUS_PROCESS = "(?i)(powershell|cmd|wscript|cscript|mshta|certutil|bitsadmin)"
@@ -108,19 +108,27 @@ def default_rules() -> list[DetectionRule]:
     ]
 
 
+def _candidates(events: DataFrame, rules: Sequence[DetectionRule]) -> DataFrame:
+    """Events some rule hits. Most hit none, so titles and texts are built after this."""
+    hit = F.lit(False)
+    for rule in rules:
+        hit = hit | F.coalesce(rule.when, F.lit(False))
+    return events.filter(hit)
+
+
 def first_match(
     events: DataFrame, rules: Sequence[DetectionRule] | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
     """At most one alert per event: the first rule that hits. ``keep`` carries event columns along."""
-    hits = [r.hit() for r in (rules or default_rules())]
-    return events.withColumn("hit", F.coalesce(*hits)).filter(F.col("hit").isNotNull()).select(
+    rules = rules or default_rules()
+    hit = F.coalesce(*[r.hit() for r in rules])
+    return _candidates(events, rules).select("event_id", "source_system", *keep, hit.alias("hit")).select(
         "event_id", "source_system", *keep, "hit.*"
     )
 
 
 def all_matches(events: DataFrame, rules: Sequence[DetectionRule] | None = None) -> DataFrame:
     """One alert per event and rule that hits."""
-    hits = picked([r.hit() for r in (rules or default_rules())])
-    return events.select("event_id", "source_system", F.explode(hits).alias("hit")).select(
-        "event_id", "source_system", "hit.*"
-    )
+    rules = rules or default_rules()
+    hits = picked([r.hit() for r in rules])
+    return rows_of(_candidates(events, rules), ["event_id", "source_system"], hits)

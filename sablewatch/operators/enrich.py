@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import evaluated_once, ipv4_number, is_private_number, is_service_account, non_empty, picked
+from ..functions import evaluated_once, ipv4_number, is_private_number, is_service_account, non_empty, picked, rows_of
 from .detect import contains_any
 
 # --- fixed values of the built-in threat rules ---------------------------------------
@@ -202,12 +202,8 @@ def match_indicators(values: DataFrame, feed: DataFrame) -> DataFrame:
             stems, lambda s: F.struct(F.lit(kind).alias("match"), s.alias("stem"), subject.alias("subject"))
         )
 
-    probes = distinct.select(
-        "type", "value",
-        F.explode(
-            F.concat(variants("exact", text), variants("prefix", text), variants("suffix", F.reverse(text)))
-        ).alias("p"),
-    ).select("type", "value", "p.*")
+    tried = F.concat(variants("exact", text), variants("prefix", text), variants("suffix", F.reverse(text)))
+    probes = rows_of(distinct, ["type", "value"], tried)
 
     pattern = F.lower("pattern")
     oriented = F.when(F.col("match") == "suffix", F.reverse(pattern)).otherwise(pattern)

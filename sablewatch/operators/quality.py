@@ -14,7 +14,7 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import all_of, in_rank_order, ipv4_number, parse_iso, validation_rank
+from ..functions import all_of, evaluated_once, in_rank_order, ipv4_number, parse_iso, validation_rank
 
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 SHA256 = r"^[a-fA-F0-9]{64}$"
@@ -197,7 +197,7 @@ def validate(rows: DataFrame, rules, as_of: Column) -> DataFrame:
         )
         for (rule_id, ok), rule in zip(result_columns(rows, rules, as_of).items(), rules)
     ]
-    return rows.withColumn("results", F.array(*results))
+    return evaluated_once(rows, F.array(*results), "results")
 
 
 def failures(validated: DataFrame) -> DataFrame:

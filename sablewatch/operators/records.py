@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import lookup, picked, stable_id
+from ..functions import lookup, picked, rows_of, stable_id
 
 # --- fixed value: task priority by severity -----------------------------------------
 PRIORITY_BY_SEVERITY = {"critical": 1, "high": 2, "medium": 3, "low": 4}
@@ -31,7 +31,7 @@ def event_entities(events: DataFrame, id_col: str = "event_id") -> DataFrame:
             entity("ip", "destination_ip"), entity("domain", "domain"), entity("hash", "process_hash"),
         ]
     )
-    return events.select(id_col, F.explode(found).alias("e")).select(id_col, "e.*")
+    return rows_of(events, [id_col], found)
 
 
 def alert_rows(events: DataFrame, alert_time: Column | None = None) -> DataFrame:

@@ -188,7 +188,7 @@ def routed_tasks(alerts: DataFrame) -> DataFrame:
     """One task per alert and agent; reads the string array ``tactics``."""
     tactics = F.coalesce("tactics", F.array().cast("array<string>"))
     return (
-        alerts.select("alert_id", "severity", F.explode(route_set(tactics)).alias("agent_type"))
+        alerts.select("alert_id", "severity", F.explode_outer(route_set(tactics)).alias("agent_type"))
         .withColumn("task_type", lookup(F.col("agent_type"), TASK_TYPES, "analyze"))
         .withColumn("priority", priority_of(F.col("severity")))
         .withColumn("task_id", stable_id(F.lit("task"), F.col("alert_id"), F.col("agent_type")))
@@ -201,7 +201,8 @@ def category_routes(events: DataFrame, category: str = "event_type") -> DataFram
         (F.col(category) == name, F.array(*[F.lit(a) for a in agents]))
         for name, agents in CATEGORY_ROUTES.items()
     )
-    return events.select("event_id", category, F.posexplode(routes).alias("step", "agent_type"))
+    exploded = events.select("event_id", category, F.posexplode_outer(routes).alias("step", "agent_type"))
+    return exploded.filter(F.col("agent_type").isNotNull())
 
 
 def escalations(alerts: DataFrame, threshold: float = AUTO_CONTAIN_THRESHOLD) -> DataFrame:

@@ -199,8 +199,9 @@ def procedure_steps(tasks: DataFrame) -> DataFrame:
         tasks.select("task_id", "task_type", procedure.alias("p"))
         .select(
             "task_id", "task_type", F.col("p.name").alias("procedure"),
-            F.posexplode("p.steps").alias("pos", "step"),
+            F.posexplode_outer("p.steps").alias("pos", "step"),
         )
+        .filter(F.col("step").isNotNull())
         .select(
             "task_id", "task_type", procedure_id(F.col("procedure")).alias("procedure_id"), "procedure",
             (F.col("pos") + 1).alias("step_no"), "step",
