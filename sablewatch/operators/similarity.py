@@ -55,6 +55,8 @@ COHESIVE = {
     "hro": True, "hsd": True, "rsdo": True, "hrs": True, "hrd": True,
 }
 _SEP = "\u0001"
+# Titles of one group compared pairwise, and tokens of a title counted by subsets.
+PAIR_LIMIT, SHORT_TITLE = 1000, 10
 
 
 def _features(alerts: DataFrame, *keep: str) -> DataFrame:
@@ -111,7 +113,76 @@ def similarity(left: dict[str, Column], right: dict[str, Column]) -> Column:
     return F.round((hundredths + title) / 100, 6)
 
 
-def related_counts(alerts: DataFrame) -> DataFrame:
+_GROUP = ["combo", "key"]
+
+
+def _near_titles(titles: DataFrame, pair_limit: int) -> DataFrame:
+    """Per title of a group: alerts of its other titles with Jaccard >= 1/2 and >= 1/5.
+
+    Groups of up to ``pair_limit`` titles compare them pairwise, so a group yields a bounded
+    number of pairs. In larger ones titles of up to ``SHORT_TITLE`` tokens are counted by
+    token subsets, without pairs; only the rarer longer titles are still compared.
+    """
+    large, long = F.col("titles") > pair_limit, F.size("tokens") > SHORT_TITLE
+    other = titles.select(
+        *_GROUP, F.col("title").alias("other_title"), F.col("tokens").alias("other_tokens"),
+        F.col("n_title").alias("other_n"), long.alias("other_long"),
+    )
+    shared, union = _overlap(F.col("tokens"), F.col("other_tokens"))
+
+    def compared(left: DataFrame, right: DataFrame) -> DataFrame:
+        return (
+            left.join(right, _GROUP).filter(F.col("title") != F.col("other_title"))
+            .select(*_GROUP, "title", F.col("other_n").alias("n"), shared.alias("shared"), union.alias("union"))
+            .select(
+                *_GROUP, "title", F.when(F.col("shared") * 2 >= F.col("union"), F.col("n")).otherwise(0).alias("n_half"),
+                F.when(F.col("shared") * 5 >= F.col("union"), F.col("n")).otherwise(0).alias("n_fifth"),
+            )
+        )
+
+    parts = compared(titles.filter(~large), other)
+    parts = parts.unionByName(compared(titles.filter(large & long), other))
+    parts = parts.unionByName(compared(titles.filter(large & ~long), other.filter("other_long")))
+    parts = parts.unionByName(_counted_by_subsets(titles.filter(large & ~long)))
+    return parts.groupBy(*_GROUP, "title").agg(F.sum("n_half").alias("n_half"), F.sum("n_fifth").alias("n_fifth"))
+
+
+def _counted_by_subsets(titles: DataFrame) -> DataFrame:
+    """The same counts from how many titles hold each token subset.
+
+    With A(j) the number of (subset of j own tokens, title holding it), the titles sharing
+    at least r tokens number the sum over j >= r of (-1)^(j-r) C(j-1, r-1) A(j). Rows grow
+    with titles times subsets, not with pairs, and a common subset is one counter per size.
+    """
+    subsets = titles.select(
+        *_GROUP, "title", "n_title", F.size("tokens").alias("m"),
+        F.explode_outer(
+            F.expr(
+                "transform(sequence(1, shiftleft(1, size(tokens)) - 1), mask -> struct("
+                "md5(array_join(filter(tokens, (t, i) -> (shiftright(mask, i) & 1) = 1), chr(1))) AS subset,"
+                " bit_count(mask) AS j))"
+            )
+        ).alias("s"),
+    ).select(*_GROUP, "title", "n_title", "m", "s.*")
+    held = subsets.groupBy(*_GROUP, "subset", F.col("m").alias("size")).agg(F.sum("n_title").alias("held"))
+    j = F.col("j")
+
+    def at_least(divisor: int) -> Column:
+        # Jaccard >= 1/2 means 3 * shared >= both sizes together; >= 1/5 means 6 * shared.
+        r = F.ceil((F.col("m") + F.col("size")) / divisor).cast("int")
+        ways = F.factorial(j - 1) / (F.factorial(r - 1) * F.factorial(j - r))
+        sign = F.when((j - r) % 2 == 0, 1).otherwise(-1)
+        return F.sum(F.when(j >= r, sign * F.round(ways).cast("long") * F.col("held")).otherwise(0))
+
+    return (
+        subsets.join(held, [*_GROUP, "subset"]).groupBy(*_GROUP, "title", "n_title")
+        .agg(at_least(3).alias("half"), at_least(6).alias("fifth"))
+        # The title itself is among those counted.
+        .select(*_GROUP, "title", (F.col("half") - F.col("n_title")).alias("n_half"), (F.col("fifth") - F.col("n_title")).alias("n_fifth"))
+    )
+
+
+def related_counts(alerts: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """Per alert: number of duplicates and of related alerts among all others.
 
     ``cluster`` is the smallest alert id with the same five fields (duplicates always
@@ -130,27 +201,11 @@ def related_counts(alerts: DataFrame) -> DataFrame:
         _by_combination(profiles, ["hrsdo"], "alert_id").groupBy("key").agg(F.min("alert_id").alias("cluster"))
     )
 
-    # Pairs of different titles, needed only where a title can tip the balance and a
-    # group has several; the rows are distinct titles of a group, not alerts.
+    # Different titles matter only where one can tip the balance and a group has several;
+    # the rows are distinct titles of a group, not alerts.
     fuzzy = [c for c, (_, _, half) in COUNTING.items() if half]
     several = sized.filter(F.col("combo").isin(*fuzzy) & (F.col("titles") > 1) & (F.col("title") != ""))
-    tokens = several.select("combo", "key", "title", "n_title", F.split("title", _SEP).alias("tokens"))
-    other = tokens.select(
-        "combo", "key", F.col("title").alias("other_title"), F.col("tokens").alias("other_tokens"),
-        F.col("n_title").alias("other_n"),
-    )
-    shared, union = _overlap(F.col("tokens"), F.col("other_tokens"))
-    near = (
-        tokens.join(other, ["combo", "key"])
-        .filter(F.col("title") != F.col("other_title"))
-        .select("combo", "key", "title", "other_n", shared.alias("shared"), union.alias("union"))
-        .filter(F.col("shared") * 5 >= F.col("union"))
-        .groupBy("combo", "key", "title")
-        .agg(
-            F.sum(F.when(F.col("shared") * 2 >= F.col("union"), F.col("other_n")).otherwise(0)).alias("n_half"),
-            F.sum("other_n").alias("n_fifth"),
-        )
-    )
+    near = _near_titles(several.select("combo", "key", "titles", "title", "n_title", F.split("title", _SEP).alias("tokens")), pair_limit)
     has_title = F.col("title") != ""
     equal = F.when(has_title, F.col("n_title")).otherwise(0)
     half = equal + F.coalesce("n_half", F.lit(0))

@@ -42,11 +42,15 @@ SCHEMA = "alert_id string, process_hash string, detection_rule string, source_ip
 
 def test_related_counts_against_all_pairs(spark):
     rows = random_alerts(240)
-    got = {r.alert_id: (r.duplicates, r.related, r.total_compared) for r in similarity.related_counts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    rows[0] = (*rows[0][:6], "activity: cmd one two three four five six seven eight nine")  # longer than counted by subsets
+    expected = {}
     for a in rows:
         scores = [score(a, b) for b in rows if b is not a]
-        expected = (sum(s >= 92 for s in scores), sum(70 <= s < 92 for s in scores), len(rows) - 1)
-        assert got[a[0]] == expected, a
+        expected[a[0]] = (sum(s >= 92 for s in scores), sum(70 <= s < 92 for s in scores), len(rows) - 1)
+    for pair_limit in (similarity.PAIR_LIMIT, 2):
+        counts = similarity.related_counts(spark.createDataFrame(rows, SCHEMA), pair_limit)
+        got = {r.alert_id: (r.duplicates, r.related, r.total_compared) for r in counts.collect()}
+        assert got == expected, pair_limit
 
 
 def test_similar_to_against_all_pairs(spark):
