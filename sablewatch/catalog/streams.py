@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from ..fixtures.views import view
 from ..functions import severity_rank
-from ..operators import enrich
 from ..session import shared_dir
 from ..sources import parse_flat_events
 from ..streaming import jobs, sinks, stateful
 from .analytics import COOLDOWN_SQL, WINDOW_SQL, _anomaly_sql, _rounded
+from .enrichment import _ASSET_KEY, _GEO_JOIN
 from .registry import query
 
 _T = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')".format
@@ -101,14 +101,15 @@ def st_metric_baseline(spark, sf):
 
 @query(
     "st_enrich",
-    """SELECT e.event_id, a.criticality AS asset_criticality, u.username IS NOT NULL AS user_known
-      FROM (SELECT *, coalesce(lower(nullif(hostname, '')), nullif(source_ip, '')) AS lk FROM sec_events) e
-      LEFT JOIN assets a ON a.asset_key = e.lk LEFT JOIN users u ON u.username = e.user_name""",
+    f"""SELECT e.event_id, a.criticality AS asset_criticality, u.username IS NOT NULL AS user_known, s.country AS source_country, d.country AS destination_country
+      FROM (SELECT *, {_ASSET_KEY} AS lk FROM sec_events) e
+      LEFT JOIN assets a ON a.asset_key = e.lk LEFT JOIN users u ON u.username = e.user_name {_GEO_JOIN}""",
 )
 def st_enrich(spark, sf):
     events = view(spark, sf, "sec_events", streamed=True)
-    out = jobs.enriched(events, view(spark, sf, "assets"), view(spark, sf, "users"))
-    return _drained(spark, out.select("event_id", "asset_criticality", "user_known"), "enrich")
+    out = jobs.enriched(events, view(spark, sf, "assets"), view(spark, sf, "users"), view(spark, sf, "geo_ranges"))
+    countries = [F.col(f"{side}_ip_geo.country").alias(f"{side}_country") for side in ("source", "destination")]
+    return _drained(spark, out.select("event_id", "asset_criticality", "user_known", *countries), "enrich")
 
 
 @query("st_dedup_replay", """SELECT topic, "offset", 1 AS deliveries FROM messages_in""".replace("1 AS", "cast(1 AS bigint) AS"))

@@ -51,10 +51,6 @@ def stable_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
-def event_fingerprint(source: Column, payload: Column) -> Column:
-    return F.sha2(F.concat_ws("|", source, payload), 256)
-
-
 def bucket_of(ts: Column, seconds: int) -> Column:
     """Number of the time slice that holds ``ts``."""
     return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")

@@ -285,6 +285,40 @@ def with_geo(events: DataFrame, ranges: DataFrame) -> DataFrame:
     return events
 
 
+def with_geo_by_block(events: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Same result as :func:`with_geo` by one lookup per address; fits a stream.
+
+    The ranges are gathered per /16 block, a unique key, so the left join keeps every event
+    even where ranges overlap; a block holds the ranges inside 65,536 addresses.
+    """
+    payload = [c for c in ranges.columns if c not in ("start_ip", "end_ip")]
+    blocks = (
+        ranges.withColumn(
+            "block", F.explode(F.sequence(F.shiftright("start_ip", 16), F.shiftright("end_ip", 16)))
+        )
+        .groupBy("block")
+        .agg(
+            F.collect_list(
+                F.struct(
+                    (F.col("end_ip") - F.col("start_ip")).alias("width"), "start_ip", "end_ip",
+                    F.struct(*payload).alias("geo"),
+                )
+            ).alias("ranges")
+        )
+    )
+    for name in ("source_ip", "destination_ip"):
+        columns = events.columns
+        number = ipv4_number(F.col(name))
+        keyed = evaluated_once(events, number, "n").withColumn(
+            "block", F.when(~is_private_number(F.col("n")), F.shiftright("n", 16))
+        )
+        holding = F.filter("ranges", lambda r: F.col("n").between(r["start_ip"], r["end_ip"]))
+        events = keyed.join(blocks, "block", "left").select(
+            *columns, F.array_min(holding)["geo"].alias(f"{name}_geo")
+        )
+    return events
+
+
 # --- all together -----------------------------------------------------------------------
 
 

@@ -51,6 +51,7 @@ def without_replays(messages: DataFrame, lateness: str = LATENESS) -> DataFrame:
     )
 
 
-def enriched(events: DataFrame, assets: DataFrame, users: DataFrame) -> DataFrame:
+def enriched(events: DataFrame, assets: DataFrame, users: DataFrame, ranges: DataFrame) -> DataFrame:
     """Stream-static left joins plus the built-in threat rules; keeps every event."""
-    return enrich.with_intel(enrich.with_user(enrich.with_asset(events, assets), users))
+    events = enrich.with_intel(enrich.with_user(enrich.with_asset(events, assets), users))
+    return enrich.with_geo_by_block(events, ranges)

@@ -176,6 +176,15 @@ def test_enrichment_keeps_every_event(spark, sf):
     assert enrich.unenriched(events, assets).count() + enrich.enriched_only(events, assets).count() == events.count()
 
 
+def test_both_geo_lookups_agree(spark, sf):
+    events = view(spark, sf, "sec_events").select("event_id", "source_ip", "destination_ip")
+    ranges = view(spark, sf, "geo_ranges").unionByName(
+        spark.createDataFrame([(134744064, 134744319, "narrow", "AS0")], "start_ip long, end_ip long, country string, asn string")
+    )
+    one, other = enrich.with_geo(events, ranges).select(events.columns + ["source_ip_geo", "destination_ip_geo"]), enrich.with_geo_by_block(events, ranges)
+    assert one.exceptAll(other).count() == 0 and other.exceptAll(one).count() == 0
+
+
 def test_feed_agrees_with_built_in_rules(spark, sf):
     events = view(spark, sf, "sec_events")
     feed = enrich.built_in_feed(spark)
