@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sablewatch.llm import bpe, packing, token_counts
+from sablewatch.llm import bpe, language, lines, packing, phrases, token_counts
 from sablewatch.llm.base import table
 
 
@@ -22,9 +22,43 @@ def op4_bpe_automaton(spark, sf_dir):
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_line_dedup(spark, sf_dir):
+    done = lines.drop_frequent_lines(_doc_texts(spark, sf_dir), min_docs=10)
+    return done.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
+
+
+def op8_language_id(spark, sf_dir):
+    held_out = F.expr("pmod(crc32(cast(doc_id as string)), 4) = 2")
+    docs = table(spark, sf_dir, "documents")
+    sample = language.training_text(docs.where(~held_out).select("text", "lang"))
+    return language.predict(docs.select("doc_id", "text"), sample).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op9_phrase_fingerprints(spark, sf_dir):
+    return phrases.compare_edited(_doc_texts(spark, sf_dir))
+
+
 def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(_doc_texts(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_bpe_automaton, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op2_best_fit_packing, op4_bpe_automaton, op5_line_dedup, op8_language_id, op9_phrase_fingerprints, op10_token_counts,
+)}
+ORACLES = {
+    "op5_line_dedup": """
+with lines as (
+  select doc_id, unnest(own) as line, generate_subscripts(own, 1) as pos
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as own from documents)
+), keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from lines
+), frequent as (
+  select key from keyed where key <> '' group by key having count(distinct doc_id) >= 10
+)
+select doc_id, count(*) as n_lines, count(f.key) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where f.key is null), '')) as kept_sha256
+from keyed k left join frequent f on k.key = f.key
+group by doc_id""",
+}
