@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sablewatch.llm import bpe, language, lines, packing, phrases, token_counts
+from sablewatch.llm import bpe, language, lines, near, packing, phrases, pii, token_counts
 from sablewatch.llm.base import table
 
 
@@ -27,6 +27,19 @@ def op5_line_dedup(spark, sf_dir):
     return done.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
+#: Key of the pseudonyms in queries and tests; a real run brings its own.
+PII_KEY = "not a secret"
+
+
+def op6_feistel_pseudonyms(spark, sf_dir):
+    done = pii.pseudonymise(_doc_texts(spark, sf_dir), PII_KEY)
+    return done.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("__found").alias("n_found"))
+
+
+def op7_weighted_near_dedup(spark, sf_dir):
+    return near.near_classes(_doc_texts(spark, sf_dir)).select("doc_id", F.col("class_doc").alias("class_id"))
+
+
 def op8_language_id(spark, sf_dir):
     held_out = F.expr("pmod(crc32(cast(doc_id as string)), 4) = 2")
     docs = table(spark, sf_dir, "documents")
@@ -43,7 +56,8 @@ def op10_token_counts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_best_fit_packing, op4_bpe_automaton, op5_line_dedup, op8_language_id, op9_phrase_fingerprints, op10_token_counts,
+    op2_best_fit_packing, op4_bpe_automaton, op5_line_dedup, op6_feistel_pseudonyms, op7_weighted_near_dedup,
+    op8_language_id, op9_phrase_fingerprints, op10_token_counts,
 )}
 ORACLES = {
     "op5_line_dedup": """
