@@ -90,16 +90,16 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return ((values[source] + distance * 0x3D4D) & 0xFFFF).astype(np.uint16)
 
 
-def hexed(sig: np.ndarray) -> str:
-    return sig.astype(">u2").tobytes().hex()
+def packed(sig: np.ndarray) -> bytes:
+    return sig.astype(">u2").tobytes()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.count_nonzero(a == b)) / BINS
 
 
-def unhexed(text: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(text), ">u2").astype(np.uint16)
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, ">u2").astype(np.uint16)
 
 
 def both(text: str, following: str | None):
@@ -126,7 +126,7 @@ def both(text: str, following: str | None):
 
 def fingerprint(text: str | None) -> str:
     """Fingerprint of one text; null counts as empty."""
-    return hexed(both(text or "", None)[0])
+    return packed(both(text or "", None)[0]).hex()
 
 
 ROWS = T.StructType([
@@ -138,17 +138,20 @@ ROWS = T.StructType([
     T.StructField("near_edited", T.DoubleType()),
     T.StructField("near_next", T.DoubleType()),
 ])
-EDGES = T.StructType([*ROWS.fields, T.StructField("part", T.IntegerType()), T.StructField("first", T.BooleanType()), T.StructField("last", T.BooleanType()), T.StructField("text", T.StringType())])
+#: The written rows hold digests as bytes; they become text in the result.
+BYTES = ("edited_sha256", "fingerprint", "edited_fingerprint")
+RAW = [T.StructField(f.name, T.BinaryType()) if f.name in BYTES else f for f in ROWS.fields]
+EDGES = T.StructType([*RAW, T.StructField("part", T.IntegerType()), T.StructField("first", T.BooleanType()), T.StructField("last", T.BooleanType()), T.StructField("text", T.StringType())])
 
 
 def _row(doc_id, text: str, following: str, next_sig: np.ndarray | None = None):
     own, changed, edited = both(text, following)
-    digest = hashlib.sha256(edited.encode()).hexdigest()
-    return [doc_id, len(text), digest, hexed(own), hexed(changed), likeness(own, changed), None], own
+    digest = hashlib.sha256(edited.encode()).digest()
+    return [doc_id, len(text), digest, packed(own), packed(changed), likeness(own, changed), None], own
 
 
 def _batch(rows: list, schema: T.StructType) -> pa.RecordBatch:
-    kinds = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in schema.fields]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType.simpleString()]) for c, f in zip(cols, schema.fields, strict=True)], names=schema.fieldNames())
 
@@ -174,7 +177,7 @@ def _along(batches):
     own = both(before[1], None)[0]
     if held:
         held[-1][6] = likeness(sig, own)
-    held.append([before[0], len(before[1]), None, hexed(own), None, None, None, part, first, True, before[1]])
+    held.append([before[0], len(before[1]), None, packed(own), None, None, None, part, first, True, before[1]])
     yield _batch(held, EDGES)
 
 
@@ -184,9 +187,9 @@ def _across(batches):
         rows = []
         for doc_id, text, next_text, next_print in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             row, own = _row(doc_id, text, next_text)
-            row[6] = likeness(own, unhexed(next_print))
+            row[6] = likeness(own, unpacked(next_print))
             rows.append(row)
-        yield _batch(rows, ROWS)
+        yield _batch(rows, T.StructType(RAW))
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
@@ -209,5 +212,6 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     )
     heads = done.where("first").select("part", F.col("text").alias("next_text"), F.col("fingerprint").alias("next_print")).join(ring, "part")
     tails = done.where("last").select("doc_id", "text", F.col("part").alias("before"))
-    seams = tails.join(heads.drop("part"), "before").select("doc_id", "text", "next_text", "next_print").mapInArrow(_across, ROWS)
-    return done.where("not last").select(*ROWS.fieldNames()).unionByName(seams)
+    seams = tails.join(heads.drop("part"), "before").select("doc_id", "text", "next_text", "next_print").mapInArrow(_across, T.StructType(RAW))
+    rows = done.where("not last").select(*ROWS.fieldNames()).unionByName(seams)
+    return rows.select(*[F.lower(F.hex(c)).alias(c) if c in BYTES else F.col(c) for c in ROWS.fieldNames()])
