@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sablewatch.llm import bpe, language, lines, near, packing, phrases, pii, token_counts
+from sablewatch.llm import ann, bpe, language, lines, near, packing, phrases, pii, secrets, token_counts
 from sablewatch.llm.base import table
 
 
@@ -13,10 +13,19 @@ def _doc_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_secret_scan(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return packing.pack(_doc_texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_nn_descent(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op4_bpe_automaton(spark, sf_dir):
     out = bpe.encode(_doc_texts(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -56,7 +65,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_best_fit_packing, op4_bpe_automaton, op5_line_dedup, op6_feistel_pseudonyms, op7_weighted_near_dedup,
+    op1_secret_scan, op2_best_fit_packing, op3_nn_descent, op4_bpe_automaton, op5_line_dedup, op6_feistel_pseudonyms, op7_weighted_near_dedup,
     op8_language_id, op9_phrase_fingerprints, op10_token_counts,
 )}
 ORACLES = {
