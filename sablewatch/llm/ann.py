@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from sablewatch.llm.base import slices
 from sablewatch.session import materialised
 
-NEIGHBOURS, REVERSE, ORDERS, BLOCK, ROUNDS = 24, 16, 4, 128, 4
-PIVOTS, BEAM, EXPAND, STEPS = 1024, 160, 40, 6
+NEIGHBOURS, REVERSE, ORDERS, BLOCK, ROUNDS = 24, 16, 4, 128, 6
+PIVOTS, BEAM, EXPAND, STEPS = 1024, 320, 64, 8
 
 EDGE = "u bigint, v bigint, s float"
 
