@@ -65,14 +65,14 @@ def suffix_automaton(text: str) -> dict:
 
 def pieces(text: str, root: dict) -> int:
     """Number of longest matches the text falls into; a character never seen is one alone."""
-    n, state, start = 1, root, root.get
+    n, state, start, alone = 1, root, root.get, {}
     for c in text:
         state = state.get(c)
         if state is None:
             n += 1
             state = start(c)
             if state is None:
-                state = root
+                state = alone
     return n
 
 
