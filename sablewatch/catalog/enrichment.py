@@ -120,7 +120,7 @@ _GEO_JOIN = f"""LEFT JOIN geo_ranges s ON {_public('e.source_ip')} AND {_number(
       FROM sec_events e {_GEO_JOIN}""",
 )
 def enrich_geo(spark, sf):
-    out = enrich.with_geo(view(spark, sf, "sec_events"), view(spark, sf, "geo_ranges"))
+    out = enrich.with_geo_by_block(view(spark, sf, "sec_events"), view(spark, sf, "geo_ranges"))
     return out.select(
         "event_id", F.col("source_ip_geo.country").alias("source_country"), F.col("source_ip_geo.asn").alias("source_asn"),
         F.col("destination_ip_geo.country").alias("destination_country"), F.col("destination_ip_geo.asn").alias("destination_asn"),

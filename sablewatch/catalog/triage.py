@@ -123,14 +123,15 @@ def alert_pair_similarity(spark, sf):
       q AS (SELECT *, row_number() OVER (ORDER BY first_id) AS pid FROM p),
       titles AS (SELECT DISTINCT t FROM q),
       jac AS (SELECT a.t AS t1, b.t AS t2, cast(len(list_intersect(a.t, b.t)) AS double) / len(list_distinct(a.t || b.t)) AS j FROM titles a, titles b),
-      pairs AS (SELECT a.pid, b.pid AS other, a.t AS t1, b.t AS t2, b.n, 30 + CASE WHEN a.r = b.r THEN 20 ELSE 0 END + CASE WHEN a.s = b.s THEN 15 ELSE 0 END
+      pairs AS (SELECT a.pid, b.pid AS other, a.t AS t1, b.t AS t2, b.n, b.first_id AS ofirst, 30 + CASE WHEN a.r = b.r THEN 20 ELSE 0 END + CASE WHEN a.s = b.s THEN 15 ELSE 0 END
          + CASE WHEN a.d = b.d THEN 15 ELSE 0 END + CASE WHEN a.o = b.o THEN 10 ELSE 0 END AS base FROM q a JOIN q b ON a.h = b.h
-        UNION ALL SELECT a.pid, b.pid, a.t, b.t, b.n, 60 FROM q a JOIN q b ON a.r = b.r AND a.s = b.s AND a.d = b.d AND a.o = b.o AND a.h IS DISTINCT FROM b.h),
-      scored AS (SELECT pid, other, n, base + 10 * j AS score FROM pairs JOIN jac ON jac.t1 = pairs.t1 AND jac.t2 = pairs.t2 WHERE base >= 60),
+        UNION ALL SELECT a.pid, b.pid, a.t, b.t, b.n, b.first_id, 60 FROM q a JOIN q b ON a.r = b.r AND a.s = b.s AND a.d = b.d AND a.o = b.o AND a.h IS DISTINCT FROM b.h),
+      scored AS (SELECT pid, other, n, ofirst, base + 10 * j AS score FROM pairs JOIN jac ON jac.t1 = pairs.t1 AND jac.t2 = pairs.t2 WHERE base >= 60),
       counted AS (SELECT pid, sum(CASE WHEN score >= 92 THEN n ELSE 0 END) - max(CASE WHEN other = pid AND score >= 92 THEN 1 ELSE 0 END) AS duplicates,
-        sum(CASE WHEN score >= 69.999999 AND score < 92 THEN n ELSE 0 END) - max(CASE WHEN other = pid AND score >= 69.999999 AND score < 92 THEN 1 ELSE 0 END) AS related
+        sum(CASE WHEN score >= 69.999999 AND score < 92 THEN n ELSE 0 END) - max(CASE WHEN other = pid AND score >= 69.999999 AND score < 92 THEN 1 ELSE 0 END) AS related,
+        min(CASE WHEN score >= 92 THEN ofirst END) AS dup_first
         FROM scored GROUP BY pid)
-      SELECT f.alert_id, CASE WHEN f.d IS NULL OR f.o IS NULL THEN f.alert_id ELSE min(f.alert_id) OVER (PARTITION BY f.h, f.r, f.s, f.d, f.o) END AS cluster,
+      SELECT f.alert_id, CASE WHEN dup_first < f.alert_id THEN dup_first ELSE f.alert_id END AS cluster,
        cast(coalesce(duplicates, 0) AS bigint) AS duplicates, cast(coalesce(related, 0) AS bigint) AS related, (SELECT count(*) - 1 FROM alerts) AS total_compared,
        CASE WHEN coalesce(duplicates, 0) > 0 THEN 'process_hash,detection_rule,source_ip,destination_ip,hostname' END AS matching_features
       FROM f JOIN q ON q.h IS NOT DISTINCT FROM f.h AND q.r IS NOT DISTINCT FROM f.r AND q.s IS NOT DISTINCT FROM f.s AND q.d IS NOT DISTINCT FROM f.d
@@ -140,6 +141,28 @@ def alert_dedup(spark, sf):
     return similarity.related_counts(view(spark, sf, "alerts"))
 
 
+@query(
+    "alert_matches",
+    # All pairs of the newest hour's alerts with every other alert.
+    """WITH f AS (SELECT alert_id, created_at, nullif(process_hash, '') AS h, nullif(detection_rule, '') AS r, nullif(source_ip, '') AS s, nullif(destination_ip, '') AS d,
+        nullif(hostname, '') AS o, list_sort(list_distinct(list_filter(string_split_regex(lower(title), '\\s+'), lambda x: x <> ''))) AS t FROM alerts),
+      q AS (SELECT * FROM f WHERE created_at >= (SELECT max(created_at) FROM alerts) - INTERVAL 1 HOUR),
+      scored AS (SELECT q.alert_id AS query_id, f.alert_id,
+        round((CASE WHEN q.h = f.h THEN 30 ELSE 0 END + CASE WHEN q.r = f.r THEN 20 ELSE 0 END + CASE WHEN q.s = f.s THEN 15 ELSE 0 END
+         + CASE WHEN q.d = f.d THEN 15 ELSE 0 END + CASE WHEN q.o = f.o THEN 10 ELSE 0 END
+         + CASE WHEN len(q.t) + len(f.t) > 0 THEN cast(len(list_intersect(q.t, f.t)) AS double) * 10 / len(list_distinct(q.t || f.t)) ELSE 0 END) / 100, 6) AS similarity,
+        concat_ws(',', CASE WHEN q.h = f.h THEN 'process_hash' END, CASE WHEN q.r = f.r THEN 'detection_rule' END, CASE WHEN q.s = f.s THEN 'source_ip' END,
+         CASE WHEN q.d = f.d THEN 'destination_ip' END, CASE WHEN q.o = f.o THEN 'hostname' END) AS matching
+        FROM q JOIN f ON q.alert_id <> f.alert_id)
+      SELECT query_id, alert_id, similarity, CASE WHEN similarity >= 0.92 THEN 'duplicate' ELSE 'related' END AS kind,
+       CASE WHEN similarity >= 0.92 THEN matching END AS matching_features FROM scored WHERE similarity >= 0.7""",
+)
+def alert_matches(spark, sf):
+    alerts = view(spark, sf, "alerts")
+    new = alerts.filter(F.col("created_at") >= alerts.agg(F.max("created_at")).scalar() - F.expr("INTERVAL 1 HOUR"))
+    return similarity.similar_to(new, alerts)
+
+
 _ROUTES = """SELECT alert_id, severity, unnest(list_filter(['triage', 'threat_intel', CASE WHEN tactic_name IN ('Execution', 'Persistence') THEN 'malware' END,
   CASE WHEN tactic_name IN ('Lateral Movement', 'Discovery') THEN 'network' END, CASE WHEN tactic_name = 'Credential Access' THEN 'identity' END], lambda x: x IS NOT NULL)) AS agent_type FROM alerts"""
 

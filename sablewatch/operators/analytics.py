@@ -16,7 +16,7 @@ from ..functions import bucket_of
 Z_THRESHOLD, SENSITIVITY, WINDOW_HOURS, COOLDOWN_MINUTES = 3.0, 0.8, 24, 15
 # --------------------------------------------------------------------------------------
 
-DAY = 86_400
+DAY, MINUTE = 86_400, 60
 
 
 def windowed(events: DataFrame, exact: bool = True, window: str = "5 minutes") -> DataFrame:
@@ -88,7 +88,7 @@ def _slices(metrics: DataFrame, seconds: int) -> DataFrame:
     way raw ones do when the mean is large against the spread.
     """
     per_slice = metrics.groupBy("metric", bucket_of(F.col("observed_at"), seconds).alias("slice")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("avg"), F.var_pop("value").alias("var"),
+        F.count("value").alias("n"), F.avg("value").alias("avg"), F.var_pop("value").alias("var"),
         F.min("value").alias("low"), F.max("value").alias("high"),
     )
     whole = W.partitionBy("metric")
@@ -101,20 +101,26 @@ def _slices(metrics: DataFrame, seconds: int) -> DataFrame:
     )
 
 
+def _numbers_only(metrics: DataFrame) -> DataFrame:
+    """NaN is no value, like NULL: it gets no verdict and enters no baseline."""
+    return metrics.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
 def _judged(rows: DataFrame, z: float, sensitivity: float) -> DataFrame:
     """Flag and reason from prior ``n``, ``mean`` and ``std``."""
     limit = threshold(z, sensitivity)
     score = F.when(F.col("std") > 0, F.abs(F.col("value") - F.col("mean")) / F.col("std"))
     none = F.coalesce(F.col("n"), F.lit(0)) == 0
+    missing = F.col("value").isNull()
     return (
         rows.withColumn("z_score", F.when(~none, score))
         .withColumn(
             "is_anomaly",
-            F.when(none, False).when(F.col("std") == 0, F.col("value") != F.col("mean")).otherwise(F.col("z_score") > limit),
+            F.when(none | missing, False).when(F.col("std") == 0, F.col("value") != F.col("mean")).otherwise(F.col("z_score") > limit),
         )
         .withColumn(
             "reason",
-            F.when(none, "no_baseline").when(F.col("std") == 0, "zero_variance")
+            F.when(missing, "no_value").when(none, "no_baseline").when(F.col("std") == 0, "zero_variance")
             .when(F.col("is_anomaly"), F.format_string("z_score_%.2f", "z_score")).otherwise("within_baseline"),
         )
     )
@@ -125,7 +131,7 @@ def _deviation(n: Column, s1: Column, s2: Column) -> Column:
 
 
 def anomalies(
-    metrics: DataFrame, z: float = Z_THRESHOLD, sensitivity: float = SENSITIVITY, slice_seconds: int = DAY
+    metrics: DataFrame, z: float = Z_THRESHOLD, sensitivity: float = SENSITIVITY, slice_seconds: int = MINUTE
 ) -> DataFrame:
     """Each value against the baseline of all earlier values of its metric.
 
@@ -133,6 +139,7 @@ def anomalies(
     running window covers one (metric, slice) only. A metric with a third of all rows is
     thereby spread over as many tasks as it has slices.
     """
+    metrics = _numbers_only(metrics)
     small = _slices(metrics, slice_seconds)
     before = W.partitionBy("metric").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     prior = small.select(
@@ -151,7 +158,7 @@ def anomalies(
         .join(prior, ["metric", "slice"])
         .select(
             "metric", "observed_at", "seq", "value", "centre",
-            running(F.lit(1), "p_n").alias("n"), running(off, "p_s1").alias("s1"),
+            running(F.when(F.col("value").isNotNull(), 1), "p_n").alias("n"), running(off, "p_s1").alias("s1"),
             running(off * off, "p_s2").alias("s2"),
             F.least(F.col("p_low"), F.min("value").over(inside)).alias("low"),
             F.greatest(F.col("p_high"), F.max("value").over(inside)).alias("high"),
@@ -179,6 +186,7 @@ def anomalies_in_window(
     each (metric, slice) is independent.
     """
     span = hours * 3600
+    metrics = _numbers_only(metrics)
     centres = _slices(metrics, DAY).groupBy("metric").agg(
         F.max("centre").alias("centre"), (F.sum("s2") / F.sum("n")).alias("spread")
     )
@@ -191,7 +199,7 @@ def anomalies_in_window(
     def entry(slice_, at, probe: bool, sign: int) -> Column:
         return F.struct(
             slice_.alias("slice"), at.alias("tick"), F.lit(probe).alias("probe"),
-            F.lit(sign).cast("long").alias("dn"), (F.lit(float(sign)) * F.col("off")).alias("d1"),
+            F.when(F.col("off").isNotNull(), F.lit(sign)).otherwise(0).cast("long").alias("dn"), (F.lit(float(sign)) * F.col("off")).alias("d1"),
             (F.lit(float(sign)) * F.col("off") * F.col("off")).alias("d2"),
         )
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Query vectors per block, and corpus rows per block beyond one block of queries.
+# Query vectors and corpus rows of a block.
 MAX_QUERIES, BLOCK_ROWS = 4096, 100_000
 
 
@@ -39,9 +39,9 @@ def append_cases(corpus: DataFrame | None, new: DataFrame, keep: str = "first")
 def _distances(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     """Rows: queries, columns: vectors. Differences are formed before squaring."""
     if metric == "cosine":
-        a = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-        b = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        return 1.0 - a @ b.T
+        # A zero vector has no direction: its distance to anything is 1.
+        a, b = (x / np.where(n > 0, n, 1.0) for x in (queries, vectors) for n in [np.linalg.norm(x, axis=1, keepdims=True)])
+        return np.nan_to_num(1.0 - a @ b.T, nan=np.inf)
     return np.stack([np.sqrt(((vectors - q) ** 2).sum(axis=1)) for q in queries])
 
 
@@ -91,35 +91,25 @@ def nearest_cases(
     """The k nearest corpus rows of each query, ties by id: exact.
 
     ``corpus`` has ``(case_id bigint, embedding)``, ``queries`` ``(query_id bigint, embedding)``;
-    ``where`` filters the corpus first. Up to ``max_queries`` query vectors travel with the
-    plan and the corpus is scanned once without a shuffle, each task keeping k rows per
-    query. More are split into blocks, and blocks of queries meet blocks of the corpus.
+    ``where`` filters the corpus first. Blocks of queries meet blocks of the corpus, each pair
+    in one task that keeps k rows per query; nothing is collected, whatever the number of
+    queries. Cosine takes the distance of a zero vector to any other as 1.
     """
     if where is not None:
         corpus = corpus.filter(where)
-    corpus = corpus.select("case_id", "embedding")
     out = "query_id long, case_id long, distance double"
-    given = queries.select("query_id", "embedding").limit(max_queries + 1).collect()
-    if len(given) <= max_queries:
-        if not given:
-            return corpus.sparkSession.createDataFrame([], f"{out}, rank int")
-        vectors = np.array([r["embedding"] for r in given], dtype="float64")
-        local = corpus.mapInPandas(_search([r["query_id"] for r in given], vectors, k, metric), out)
-    else:
-        query_blocks = math.ceil(queries.count() / max_queries)
-        corpus_blocks = max(1, math.ceil(corpus.count() / BLOCK_ROWS))
-        blocks = ["query_block", "corpus_block"]
-        spread = corpus.select(
-            "case_id", "embedding", F.pmod(F.xxhash64("case_id"), F.lit(corpus_blocks)).alias("corpus_block"),
-            F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"),
-        ).withColumn("query_block", F.col("query_block").cast("long"))
-        asked = queries.select(
-            "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("query_block"),
-            F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1))).alias("corpus_block"),
-        ).withColumn("corpus_block", F.col("corpus_block").cast("long"))
-        local = spread.groupBy(*blocks).cogroup(asked.groupBy(*blocks)).applyInPandas(
-            _search_blocks(k, metric), out
-        )
+    query_blocks = max(1, math.ceil(queries.count() / max_queries))
+    corpus_blocks = max(1, math.ceil(corpus.count() / BLOCK_ROWS))
+    blocks = ["query_block", "corpus_block"]
+    spread = corpus.select(
+        "case_id", "embedding", F.pmod(F.xxhash64("case_id"), F.lit(corpus_blocks)).alias("corpus_block"),
+        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"),
+    ).withColumn("query_block", F.col("query_block").cast("long"))
+    asked = queries.select(
+        "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("query_block"),
+        F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1))).alias("corpus_block"),
+    ).withColumn("corpus_block", F.col("corpus_block").cast("long"))
+    local = spread.groupBy(*blocks).cogroup(asked.groupBy(*blocks)).applyInPandas(_search_blocks(k, metric), out)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "case_id"))
     return local.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -38,10 +38,15 @@ def asset_key() -> Column:
     return F.coalesce(F.lower(non_empty(F.col("hostname"))), non_empty(F.col("source_ip")))
 
 
+def _one_per_key(dimension: DataFrame, key: Column, columns: tuple[str, ...]) -> DataFrame:
+    """``_key`` and struct ``_row``: one row per key, of several the greatest in column order, so
+    that a lookup never multiplies events."""
+    return dimension.groupBy(key.alias("_key")).agg(F.max(F.struct(*columns)).alias("_row"))
+
+
 def with_asset(events: DataFrame, assets: DataFrame) -> DataFrame:
-    dim = assets.select(
-        F.col("asset_key").alias("_key"),
-        *[F.col(c).alias(f"asset_{c}") for c in ("criticality", "owner", "department", "location")],
+    dim = _one_per_key(assets, F.lower("asset_key"), ("criticality", "owner", "department", "location")).select(
+        "_key", *[F.col(f"_row.{c}").alias(f"asset_{c}") for c in ("criticality", "owner", "department", "location")],
         F.lit(True).alias("asset_found"),
     )
     return (
@@ -52,9 +57,9 @@ def with_asset(events: DataFrame, assets: DataFrame) -> DataFrame:
 
 def with_user(events: DataFrame, users: DataFrame) -> DataFrame:
     """Directory attributes; a name the directory lacks gets the default for its kind."""
-    dim = users.select(
-        F.col("username").alias("user_name"),
-        *[F.col(c).alias(f"_{c}") for c in ("department", "privileged", "risk_score", "mfa_enabled")],
+    dim = _one_per_key(users, F.col("username"), ("department", "privileged", "risk_score", "mfa_enabled")).select(
+        F.col("_key").alias("user_name"),
+        *[F.col(f"_row.{c}").alias(f"_{c}") for c in ("department", "privileged", "risk_score", "mfa_enabled")],
         F.lit(True).alias("_known"),
     )
     name = F.col("user_name")
@@ -179,41 +184,34 @@ def actor(name: Column) -> Column:
 
 # --- threat intelligence: indicator table -----------------------------------------------
 
-_STEM = 4
-
-
 def match_indicators(values: DataFrame, feed: DataFrame) -> DataFrame:
     """Best indicator per distinct (type, value); values without one are absent.
 
     ``feed`` has ``type``, ``pattern``, ``match`` (exact, prefix or suffix), ``confidence``
-    and any payload. Prefixes become an equi-join on their first characters with the rest
-    as a residual test; a suffix is a prefix of the reversed text. Only distinct values
-    take part, so the cost follows the number of different indicators, not of events.
+    and any payload. A prefix matches when the value's first characters, as many as the
+    pattern has, are the pattern; so values are probed once for each pattern length that
+    occurs for their type, by equality alone. A suffix is a prefix of the reversed text. Only
+    distinct values take part, so the cost follows the number of different indicators.
     """
     text = F.lower("value")
     distinct = values.filter(non_empty(F.col("value")).isNotNull()).select("type", "value").distinct()
 
-    def variants(kind: str, subject: Column) -> Column:
-        if kind == "exact":
-            stems = F.array(subject)
-        else:
-            stems = F.array_distinct(F.array(*[F.substring(subject, 1, n) for n in range(1, _STEM + 1)]))
-        return F.transform(
-            stems, lambda s: F.struct(F.lit(kind).alias("match"), s.alias("stem"), subject.alias("subject"))
-        )
-
-    tried = F.concat(variants("exact", text), variants("prefix", text), variants("suffix", F.reverse(text)))
-    probes = rows_of(distinct, ["type", "value"], tried)
-
     pattern = F.lower("pattern")
-    oriented = F.when(F.col("match") == "suffix", F.reverse(pattern)).otherwise(pattern)
-    rules = feed.withColumn("_oriented", oriented).withColumn(
-        "stem", F.when(F.col("match") == "exact", F.col("_oriented")).otherwise(F.substring("_oriented", 1, _STEM))
+    rules = feed.withColumn("_oriented", F.when(F.col("match") == "suffix", F.reverse(pattern)).otherwise(pattern)).withColumn(
+        "_length", F.when(F.col("match") != "exact", F.length("_oriented"))
     )
+    # One row per type: a pattern is at most as long as a value, so the arrays stay short.
+    lengths = rules.groupBy("type").agg(F.collect_set(F.struct("match", F.col("_length").alias("length"))).alias("kinds"))
+
+    def subject(kind) -> Column:
+        turned = F.when(kind["match"] == "suffix", F.reverse(text)).otherwise(text)
+        return F.when(kind["length"].isNull(), turned).otherwise(F.substring(turned, F.lit(1), kind["length"]))
+
+    tried = F.transform("kinds", lambda k: F.struct(k["match"].alias("match"), k["length"].alias("_length"), subject(k).alias("_oriented")))
+    probes = rows_of(distinct.join(lengths, "type"), ["type", "value"], tried)
     payload = [c for c in feed.columns if c not in ("type", "match")]
-    hits = probes.join(rules, ["type", "match", "stem"]).filter(
-        F.when(F.col("match") == "exact", F.lit(True)).otherwise(F.col("subject").startswith(F.col("_oriented")))
-    )
+    same_length = rules.withColumn("_length", F.coalesce("_length", F.lit(-1)))
+    hits = probes.withColumn("_length", F.coalesce("_length", F.lit(-1))).join(same_length, ["type", "match", "_length", "_oriented"])
     best = F.max_by(F.struct(*payload), F.struct("confidence", F.length("pattern"), "pattern"))
     return hits.groupBy("type", "value").agg(best.alias("hit"))
 
@@ -286,7 +284,8 @@ def with_geo(events: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def with_geo_by_block(events: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Same result as :func:`with_geo` by one lookup per address; fits a stream.
+    """Same result as :func:`with_geo` by one lookup per address; fits a stream, and a batch of
+    which the events are already enriched, as it reads them once.
 
     The ranges are gathered per /16 block, a unique key, so the left join keeps every event
     even where ranges overlap; a block holds the ranges inside 65,536 addresses.
@@ -342,17 +341,17 @@ def default_enrichment(assets: DataFrame, users: DataFrame, ranges: DataFrame) -
     registry.register("asset_inventory", lambda e: with_asset(e, assets))
     registry.register("user_directory", lambda e: with_user(e, users))
     registry.register("threat_intel", with_intel)
-    registry.register("geoip", lambda e: with_geo(e, ranges))
+    registry.register("geoip", lambda e: with_geo_by_block(e, ranges))
     return registry
 
 
 def unenriched(events: DataFrame, assets: DataFrame) -> DataFrame:
     """Events whose asset lookup had no key or no hit (left anti join)."""
     keyed = events.withColumn("_key", asset_key())
-    return keyed.join(assets.select(F.col("asset_key").alias("_key")), "_key", "left_anti").drop("_key")
+    return keyed.join(assets.select(F.lower("asset_key").alias("_key")), "_key", "left_anti").drop("_key")
 
 
 def enriched_only(events: DataFrame, assets: DataFrame) -> DataFrame:
     """The other side of :func:`unenriched` (left semi join)."""
     keyed = events.withColumn("_key", asset_key())
-    return keyed.join(assets.select(F.col("asset_key").alias("_key")), "_key", "left_semi").drop("_key")
+    return keyed.join(assets.select(F.lower("asset_key").alias("_key")), "_key", "left_semi").drop("_key")

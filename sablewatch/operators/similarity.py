@@ -55,8 +55,6 @@ COHESIVE = {
     "hro": True, "hsd": True, "rsdo": True, "hrs": True, "hrd": True,
 }
 _SEP = "\u0001"
-# Titles of one group compared pairwise, and tokens of a title counted by subsets.
-PAIR_LIMIT, SHORT_TITLE = 1000, 10
 
 
 def _features(alerts: DataFrame, *keep: str) -> DataFrame:
@@ -116,96 +114,64 @@ def similarity(left: dict[str, Column], right: dict[str, Column]) -> Column:
 _GROUP = ["combo", "key"]
 
 
-def _near_titles(titles: DataFrame, pair_limit: int) -> DataFrame:
-    """Per title of a group: alerts of its other titles with Jaccard >= 1/2 and >= 1/5.
+def _near_titles(titles: DataFrame) -> DataFrame:
+    """Per title of a group: its other titles with Jaccard >= 1/2 and >= 1/5, counted in alerts,
+    and the smallest alert id of the latter.
 
-    Groups of up to ``pair_limit`` titles compare them pairwise, so a group yields a bounded
-    number of pairs. In larger ones titles of up to ``SHORT_TITLE`` tokens are counted by
-    token subsets, without pairs; only the rarer longer titles are still compared.
+    Titles that share enough tokens share one of their rarest: a title of m tokens is listed
+    under its m - ceil(m t) + 1 rarest tokens of the group only, t being the index that matters
+    there (1/5 where all five fields are equal, 1/2 elsewhere). Titles of too different length
+    never meet.
     """
-    large, long = F.col("titles") > pair_limit, F.size("tokens") > SHORT_TITLE
-    other = titles.select(
-        *_GROUP, F.col("title").alias("other_title"), F.col("tokens").alias("other_tokens"),
-        F.col("n_title").alias("other_n"), long.alias("other_long"),
+    held = titles.select(*_GROUP, F.explode("tokens").alias("token")).groupBy(*_GROUP, "token").agg(F.count(F.lit(1)).alias("held"))
+    payload = [*_GROUP, "title", "n_title", "first_id"]
+    ranked = (
+        titles.select(*payload, F.explode("tokens").alias("token")).join(held, [*_GROUP, "token"])
+        .groupBy(*payload).agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("ranked"))
     )
-    shared, union = _overlap(F.col("tokens"), F.col("other_tokens"))
-
-    def compared(left: DataFrame, right: DataFrame) -> DataFrame:
-        return (
-            left.join(right, _GROUP).filter(F.col("title") != F.col("other_title"))
-            .select(*_GROUP, "title", F.col("other_n").alias("n"), shared.alias("shared"), union.alias("union"))
-            .select(
-                *_GROUP, "title", F.when(F.col("shared") * 2 >= F.col("union"), F.col("n")).otherwise(0).alias("n_half"),
-                F.when(F.col("shared") * 5 >= F.col("union"), F.col("n")).otherwise(0).alias("n_fifth"),
-            )
-        )
-
-    parts = compared(titles.filter(~large), other)
-    parts = parts.unionByName(compared(titles.filter(large & long), other))
-    parts = parts.unionByName(compared(titles.filter(large & ~long), other.filter("other_long")))
-    parts = parts.unionByName(_counted_by_subsets(titles.filter(large & ~long)))
-    return parts.groupBy(*_GROUP, "title").agg(F.sum("n_half").alias("n_half"), F.sum("n_fifth").alias("n_fifth"))
-
-
-def _counted_by_subsets(titles: DataFrame) -> DataFrame:
-    """The same counts from how many titles hold each token subset.
-
-    With A(j) the number of (subset of j own tokens, title holding it), the titles sharing
-    at least r tokens number the sum over j >= r of (-1)^(j-r) C(j-1, r-1) A(j). Rows grow
-    with titles times subsets, not with pairs, and a common subset is one counter per size.
-    """
-    subsets = titles.select(
-        *_GROUP, "title", "n_title", F.size("tokens").alias("m"),
-        F.explode_outer(
-            F.expr(
-                "transform(sequence(1, shiftleft(1, size(tokens)) - 1), mask -> struct("
-                "md5(array_join(filter(tokens, (t, i) -> (shiftright(mask, i) & 1) = 1), chr(1))) AS subset,"
-                " bit_count(mask) AS j))"
-            )
-        ).alias("s"),
-    ).select(*_GROUP, "title", "n_title", "m", "s.*")
-    held = subsets.groupBy(*_GROUP, "subset", F.col("m").alias("size")).agg(F.sum("n_title").alias("held"))
-    j = F.col("j")
-
-    def at_least(divisor: int) -> Column:
-        # Jaccard >= 1/2 means 3 * shared >= both sizes together; >= 1/5 means 6 * shared.
-        r = F.ceil((F.col("m") + F.col("size")) / divisor).cast("int")
-        ways = F.factorial(j - 1) / (F.factorial(r - 1) * F.factorial(j - r))
-        sign = F.when((j - r) % 2 == 0, 1).otherwise(-1)
-        return F.sum(F.when(j >= r, sign * F.round(ways).cast("long") * F.col("held")).otherwise(0))
-
-    return (
-        subsets.join(held, [*_GROUP, "subset"]).groupBy(*_GROUP, "title", "n_title")
-        .agg(at_least(3).alias("half"), at_least(6).alias("fifth"))
-        # The title itself is among those counted.
-        .select(*_GROUP, "title", (F.col("half") - F.col("n_title")).alias("n_half"), (F.col("fifth") - F.col("n_title")).alias("n_fifth"))
+    m, least = F.size("ranked"), F.when(F.col("combo") == "hrsdo", 5).otherwise(2)
+    listed = ranked.select(
+        *payload, m.alias("m"), least.alias("least"),
+        F.explode(F.slice("ranked", F.lit(1), (m - F.ceil(m / least) + 1).cast("int"))).alias("r"),
+    ).select(*payload, "m", "least", "r.token")
+    other = listed.select(
+        *_GROUP, "token", F.col("title").alias("other_title"), F.col("n_title").alias("n"),
+        F.col("first_id").alias("other_id"), F.col("m").alias("other_m"),
+    )
+    met = (
+        listed.join(other, [*_GROUP, "token"])
+        .filter((F.col("title") != F.col("other_title")) & (F.col("m") * F.col("least") >= F.col("other_m")) & (F.col("other_m") * F.col("least") >= F.col("m")))
+        .select(*_GROUP, "title", "other_title", "n", "other_id").distinct()
+    )
+    shared, union = _overlap(F.split("title", _SEP), F.split("other_title", _SEP))
+    fifth = shared * 5 >= union
+    return met.groupBy(*_GROUP, "title").agg(
+        F.sum(F.when(shared * 2 >= union, F.col("n")).otherwise(0)).alias("n_half"),
+        F.sum(F.when(fifth, F.col("n")).otherwise(0)).alias("n_fifth"),
+        F.min(F.when(fifth, F.col("other_id"))).alias("near_id"),
     )
 
 
-def related_counts(alerts: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def related_counts(alerts: DataFrame) -> DataFrame:
     """Per alert: number of duplicates and of related alerts among all others.
 
-    ``cluster`` is the smallest alert id with the same five fields (duplicates always
-    share all five, so ``matching_features`` names them).
+    ``cluster`` is the smallest id among the alert and its duplicates (duplicates always
+    share all five fields, so ``matching_features`` names them).
     """
     features = _features(alerts, "alert_id")
     profiles = materialised(_profiles(features), "alert-profiles")
-    members = _by_combination(profiles, COUNTING, "profile", "title", "n")
+    members = _by_combination(profiles, COUNTING, "profile", "title", "n", "alert_id")
 
-    titles = members.groupBy("combo", "key", "title").agg(F.sum("n").alias("n_title"))
+    titles = members.groupBy("combo", "key", "title").agg(F.sum("n").alias("n_title"), F.min("alert_id").alias("first_id"))
     groups = titles.groupBy("combo", "key").agg(
         F.sum("n_title").alias("n_any"), F.count_if(F.col("title") != "").alias("titles")
     )
     sized = materialised(titles.join(groups, ["combo", "key"]), "alert-groups")
-    clusters = (
-        _by_combination(profiles, ["hrsdo"], "alert_id").groupBy("key").agg(F.min("alert_id").alias("cluster"))
-    )
-
     # Different titles matter only where one can tip the balance and a group has several;
     # the rows are distinct titles of a group, not alerts.
     fuzzy = [c for c, (_, _, half) in COUNTING.items() if half]
     several = sized.filter(F.col("combo").isin(*fuzzy) & (F.col("titles") > 1) & (F.col("title") != ""))
-    near = _near_titles(several.select("combo", "key", "titles", "title", "n_title", F.split("title", _SEP).alias("tokens")), pair_limit)
+    near = _near_titles(several.select("combo", "key", "title", "n_title", "first_id", F.split("title", _SEP).alias("tokens")))
     has_title = F.col("title") != ""
     equal = F.when(has_title, F.col("n_title")).otherwise(0)
     half = equal + F.coalesce("n_half", F.lit(0))
@@ -218,12 +184,13 @@ def related_counts(alerts: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame
     contributions = sized.join(near, ["combo", "key", "title"], "left").select(
         "combo", "key", "title", score.alias("at_least_related"),
         F.when(F.col("combo") == "hrsdo", fifth).otherwise(0).alias("at_least_duplicate"),
+        F.when((F.col("combo") == "hrsdo") & has_title, F.least("first_id", "near_id")).alias("cluster"),
     )
     per_profile = (
         members.select("profile", "combo", "key", "title")
         .join(contributions, ["combo", "key", "title"])
         .groupBy("profile")
-        .agg(F.sum("at_least_related").alias("related_all"), F.sum("at_least_duplicate").alias("duplicate_all"))
+        .agg(F.sum("at_least_related").alias("related_all"), F.sum("at_least_duplicate").alias("duplicate_all"), F.min("cluster").alias("cluster"))
     )
     own = F.lit(0)
     for letter, weight in WEIGHTS.items():
@@ -236,8 +203,6 @@ def related_counts(alerts: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame
     names = F.array(*[F.lit(v) for v in FIELDS.values()])
     judged = (
         profiles.join(per_profile, "profile", "left")
-        .withColumn("key", _combination_key("hrsdo"))
-        .join(clusters, "key", "left")
         .select("profile", "cluster", duplicates.alias("duplicates"), related.alias("related"))
     )
     return features.select("alert_id", "profile").join(judged, "profile").select(

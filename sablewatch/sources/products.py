@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import case_of, first_non_empty, lookup, non_empty, parse_epoch, parse_iso, parse_time, stable_id
 from ..schemas import CANONICAL_EVENT, EVENT_TYPES, SEVERITIES
-from .topics import CORRUPT, parse_topics
+from .topics import CORRUPT, not_one_object, parse_topics
 
 # --- fixed values: topics, vocabularies and raw field names of the products ---------
 EDR_TOPIC = "soc.events.edr.crowdstrike"
@@ -74,7 +74,9 @@ Raw = Callable[[str], Column]
 
 
 def _port(raw: Column) -> Column:
-    return raw.try_cast("int")
+    """Whole numbers only; 80.0 is one."""
+    number = raw.try_cast("double")
+    return F.coalesce(raw.try_cast("int"), F.when(number == F.floor(number), number.try_cast("int")))
 
 
 def _bad_port(*raws: Column) -> Column:
@@ -124,7 +126,7 @@ def siem_columns(raw: Raw, ingested: Column) -> dict[str, Column]:
 
 
 def ndr_columns(raw: Raw, ingested: Column) -> dict[str, Column]:
-    noticed = ~F.coalesce(raw("notice"), F.lit("")).isin("", "false", "0", "[]", "{}")
+    noticed = ~F.coalesce(raw("notice"), F.lit("")).isin("", "false", "0", "0.0", "[]", "{}")
     failed = F.coalesce(raw("conn_state").isin(*NDR_FAILED_STATES), F.lit(False))
     return {
         "timestamp": F.coalesce(parse_epoch(raw("ts")), ingested),
@@ -197,6 +199,7 @@ def normalise(messages: DataFrame, products: Mapping[str, tuple] = PRODUCTS) ->
         F.when(F.col("value").isNull(), F.lit("empty message"))
         .when(corrupt.isNotNull(), F.lit("not JSON"))
         .when(~F.col("topic").isin(*products), F.lit("unknown topic"))
+        .when(not_one_object(F.col("value").cast("string")), F.lit("not JSON"))
         .otherwise(by_topic("reject_reason", "string"))
     )
     fixed = {

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import evaluated_once, millis_between, parse_iso, severity_rank
+from ..functions import evaluated_once, millis_between, parse_iso, severity_rank, stable_id
 from ..schemas import STREAM_EVENT
 
 CORRUPT = "_corrupt"
@@ -25,6 +25,19 @@ def json_record(value: Column, fields: list[str]) -> Column:
     )
 
 
+def not_one_object(text: Column) -> Column:
+    """Whether a message is blank, or goes on behind its object.
+
+    The parser stops at the end of the first value. A message that starts and ends with a brace
+    and has no object right behind another is one object; where it may have, it is read as the
+    content of a list, which must have one element.
+    """
+    braced = text.rlike(r"(?s)^\s*\{.*\}\s*$")
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    single = listed.isNotNull() & F.try_variant_get(listed, "$[1]", "string").isNull()
+    return ~(braced & (~text.rlike(r"\}\s*,?\s*\{") | single))
+
+
 def parse_topics(messages: DataFrame, topics: dict[str, list[str]]) -> DataFrame:
     """Struct column ``parsed`` with one field per topic, in a single pass over the messages.
 
@@ -48,9 +61,13 @@ def parse_flat_events(
     """
     event = F.from_json(F.col("value").cast("string"), STREAM_EVENT)
     processed = F.current_timestamp() if as_of is None else as_of
+    # Without an id of its own an event is named by its place, so ids of alerts stay apart.
+    placed = {"topic", "partition", "offset"} <= set(messages.columns)
+    place = stable_id(F.col("topic"), F.col("partition"), F.col("offset")) if placed else F.lit(None).cast("string")
     return (
-        evaluated_once(messages.select("value", F.col("timestamp").alias("kafka_timestamp")), event, "event")
-        .select("event.*", "kafka_timestamp")
+        evaluated_once(messages.select("value", F.col("timestamp").alias("kafka_timestamp"), place.alias("_place")), event, "event")
+        .select("event.*", "kafka_timestamp", "_place")
+        .withColumn("event_id", F.coalesce("event_id", "_place")).drop("_place")
         .withColumn("event_timestamp", parse_iso(F.col("timestamp")))
         .withColumn("processing_time", processed)
         .withColumn("latency_ms", millis_between(F.col("processing_time"), F.col("event_timestamp")))
@@ -66,3 +83,13 @@ def quarantine(normalised: DataFrame) -> tuple[DataFrame, DataFrame]:
         "topic", "partition", "offset", F.col("raw_data").alias("value"), "reject_reason"
     )
     return good, bad
+
+
+def quarantine_flat(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split flat stream messages into (usable ones, rejected ones with a reason)."""
+    text = F.col("value").cast("string")
+    reason = F.when(F.col("value").isNull(), "empty message").when(
+        not_one_object(text) | F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"}).isNull(), "not JSON"
+    )
+    judged = evaluated_once(messages, reason, "reject_reason")
+    return judged.filter("reject_reason is null").drop("reject_reason"), judged.filter("reject_reason is not null")

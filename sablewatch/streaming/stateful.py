@@ -66,16 +66,17 @@ def _baseline(limit: float):
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat([b[["t", "seq", "value"]] for b in batches]).sort_values(["t", "seq"])
-        value = rows["value"].to_numpy()
+        value = rows["value"].to_numpy(dtype="float64")
+        valid = ~np.isnan(value)  # NULL and NaN get no verdict and enter no baseline
         n0, mean0, m20, low0, high0 = state.get if state.exists else (0, 0.0, 0.0, np.inf, -np.inf)
-        centre = mean0 if n0 else value[0]
-        off = value - centre
+        centre = mean0 if n0 else value[valid][0] if valid.any() else 0.0
+        off = np.where(valid, value - centre, 0.0)
         # Sums of everything before each row, around a fixed centre.
-        n = n0 + np.arange(len(value))
+        n = n0 + np.cumsum(valid) - valid
         s1 = np.concatenate([[0.0], np.cumsum(off)[:-1]])
         s2 = m20 + np.concatenate([[0.0], np.cumsum(off * off)[:-1]])
-        low = np.minimum.accumulate(np.concatenate([[low0], value]))[:-1]
-        high = np.maximum.accumulate(np.concatenate([[high0], value]))[:-1]
+        low = np.minimum.accumulate(np.concatenate([[low0], np.where(valid, value, np.inf)]))[:-1]
+        high = np.maximum.accumulate(np.concatenate([[high0], np.where(valid, value, -np.inf)]))[:-1]
         with np.errstate(invalid="ignore", divide="ignore"):
             mean = np.where(low == high, low, centre + s1 / n)
             var = np.maximum((s2 - s1 * s1 / n) / (n - 1), 0.0)
@@ -83,16 +84,16 @@ def _baseline(limit: float):
             mean = np.where(n == 0, np.nan, mean)
             z = np.where(std > 0, np.abs(value - mean) / std, np.nan)
         flat = std == 0
-        odd = np.where(n == 0, False, np.where(flat, value != mean, np.nan_to_num(z, nan=0.0) > limit))
+        odd = np.where((n == 0) | ~valid, False, np.where(flat, value != mean, np.nan_to_num(z, nan=0.0) > limit))
         reason = [
-            "no_baseline" if a == 0 else "zero_variance" if f else f"z_score_{s:.2f}" if o else "within_baseline"
-            for a, f, s, o in zip(n, flat, z, odd)
+            "no_value" if not v else "no_baseline" if a == 0 else "zero_variance" if f else f"z_score_{s:.2f}" if o else "within_baseline"
+            for v, a, f, s, o in zip(valid, n, flat, z, odd)
         ]
-        total = n0 + len(value)
+        total = n0 + int(valid.sum())
         end1, end2 = off.sum(), m20 + (off * off).sum()
-        new_mean = centre + end1 / total
+        new_mean = centre + end1 / max(total, 1)
         state.update(
-            (int(total), float(new_mean), float(max(end2 - end1 * end1 / total, 0.0)), float(min(low0, value.min())), float(max(high0, value.max())))
+            (int(total), float(new_mean), float(max(end2 - end1 * end1 / max(total, 1), 0.0)), float(np.min(value[valid], initial=low0)), float(np.max(value[valid], initial=high0)))
         )
         yield pd.DataFrame(
             dict(zip(names, [key[0], rows["seq"].to_numpy(), value, n, mean, std, z, odd.astype(bool), reason]))
@@ -111,5 +112,5 @@ def metric_anomalies(
         "metric string, seq long, value double, n long, mean double, std double, z_score double, is_anomaly boolean, reason string",
         "n long, mean double, m2 double, low double, high double", "append", GroupStateTimeout.NoTimeout,
     )
-    numbers = [F.nullif(F.col(c), F.lit(float("nan"))).alias(c) for c in ("mean", "std", "z_score")]
-    return out.select("metric", "seq", "value", "n", *numbers, "is_anomaly", "reason")
+    numbers = [F.nullif(F.col(c), F.lit(float("nan"))).alias(c) for c in ("value", "mean", "std", "z_score")]
+    return out.select("metric", "seq", numbers[0], "n", *numbers[1:], "is_anomaly", "reason")
