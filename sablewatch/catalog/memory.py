@@ -125,6 +125,24 @@ def similar_cases(spark, sf):
     return found.withColumn("distance", F.round("distance", 6))
 
 
+@query(
+    "similar_cases_cosine",
+    """WITH x AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+      m AS (SELECT label, pos, avg(cast(v AS double)) AS v FROM x GROUP BY label, pos),
+      c AS (SELECT label, list(v ORDER BY pos) AS centre FROM m GROUP BY label),
+      d AS (SELECT cast(c.label AS bigint) AS query_id, e.vec_id AS case_id, cast(e.label AS bigint) AS case_label,
+              1 - list_cosine_similarity(cast(e.embedding AS double[]), c.centre) AS distance FROM embeddings e, c WHERE e.label <> 0),
+      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, case_id) AS rank FROM d)
+      SELECT query_id, case_id, case_label, round(distance, 6) AS distance, rank FROM r WHERE rank <= 3""",
+)
+def similar_cases_cosine(spark, sf):
+    """The three cases nearest by direction, filtered by a property, with their stored properties."""
+    stored = table(spark, sf, "embeddings")
+    corpus = stored.select(F.col("vec_id").alias("case_id"), "embedding", "label")
+    found = cases.nearest_cases(corpus, cases.label_centroids(stored), k=3, metric="cosine", where=F.col("label") != 0)
+    return cases.with_case(found, corpus.select("case_id", F.col("label").alias("case_label"))).withColumn("distance", F.round("distance", 6))
+
+
 @query(
     "procedures_for_task",
     """WITH p(task_type, procedure, step_no, step) AS (VALUES

@@ -114,6 +114,11 @@ def nearest_cases(
     return local.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def with_case(found: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Search results with the stored columns of their cases (one row per ``case_id``)."""
+    return found.join(corpus, "case_id")
+
+
 def label_centroids(cases: DataFrame) -> DataFrame:
     """Mean vector per label, as query vectors: averages per label and position."""
     flat = cases.select("label", F.posexplode("embedding").alias("pos", "x"))

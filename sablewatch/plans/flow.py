@@ -51,11 +51,15 @@ def run_batch(
     rejected = write_zone(bad, root, "raw", "rejected")
     steps = enrich.default_enrichment(assets, users, ranges)
     enriched = write_zone(steps.apply(detectable(good.drop("date"))), root, "enriched", "events", "event_timestamp")
-    alerts = write_zone(triaged_alerts(enriched), root, "curated", "alerts")
-    tasks = write_zone(
-        triage.routed_tasks(alerts.withColumn("tactics", F.array().cast("array<string>"))), root, "curated", "tasks"
-    )
-    return {"canonical": canonical, "rejected": rejected, "enriched": enriched, "alerts": alerts, "tasks": tasks}
+    alerts = write_zone(triaged_alerts(enriched, "event_timestamp", "techniques"), root, "curated", "alerts", "event_timestamp")
+    found = alerts.withColumn("tactics", F.col("techniques.tactic_name"))
+    tasks = write_zone(triage.routed_tasks(found), root, "curated", "tasks")
+    judged = triage.escalations(found.withColumn("techniques", F.col("techniques.technique_id")))
+    escalated = write_zone(judged.filter("escalate"), root, "curated", "escalations")
+    return {
+        "canonical": canonical, "rejected": rejected, "enriched": enriched, "alerts": alerts, "tasks": tasks,
+        "escalations": escalated,
+    }
 
 
 def overview(messages: DataFrame, assets: DataFrame, users: DataFrame) -> DataFrame:

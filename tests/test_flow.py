@@ -3,6 +3,7 @@
 import __spark_entry__ as entry
 from sablewatch.catalog import ORACLES, QUERIES
 from sablewatch.fixtures.views import view
+from sablewatch.operators import triage
 from sablewatch.plans import flow
 from sablewatch.session import shared_dir
 
@@ -26,5 +27,15 @@ def test_batch_flow_writes_the_zones(spark, sf):
     counts = {name: df.count() for name, df in out.items()}
     assert counts["canonical"] == 1000
     assert counts["enriched"] + counts["rejected"] == counts["canonical"]
-    assert 0 < counts["alerts"] <= counts["enriched"] and counts["tasks"] == 2 * counts["alerts"]
-    assert "date" in out["enriched"].columns
+    assert 0 < counts["alerts"] <= counts["enriched"] and counts["tasks"] >= 2 * counts["alerts"]
+    assert "date" in out["enriched"].columns and "date" in out["alerts"].columns
+    severe = out["alerts"].filter("severity in ('critical', 'high')").count()
+    assert severe <= counts["escalations"] <= counts["alerts"]
+
+
+def test_tasks_follow_the_techniques_tactics(spark):
+    alerts = spark.createDataFrame(
+        [("a", "high", ["Execution"]), ("b", "low", []), ("c", "low", None)], "alert_id string, severity string, tactics array<string>",
+    )
+    agents = {i: {r.agent_type for r in triage.routed_tasks(alerts).collect() if r.alert_id == i} for i in "abc"}
+    assert agents["b"] == agents["c"] == {"triage", "threat_intel"} and agents["a"] > agents["b"]
