@@ -10,7 +10,10 @@ Equal word sequences become one class first. Improved consistent weighted sampli
 ROWS samples of each class; classes that agree on a band are compared with the least of the
 bucket, exactly, by weighted Jaccard similarity. Links make components; buckets that still hold
 several components are compared again, each component by two of its members with those of the
-next ones. Work in a bucket grows with its size, never with its square.
+next ones. What these cheap passes leave in several components is settled exactly: in the order of
+falling weight, similar texts share a shingle among those that make up the first 1 - SIMILARITY of
+each text's weight, so members of different components are compared where they share such a
+shingle and their weights allow it, and all other pairs of the bucket are excluded by proof.
 """
 
 from __future__ import annotations
@@ -194,6 +197,75 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> Data
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def prefixes(members: DataFrame, idf, similarity: float) -> DataFrame:
+    """node, root, shingle, total of rows (node, root, text): each text's first shingles, in the
+    order of falling idf, up to where the rest weighs less than ``similarity`` of the total. Two
+    similar texts have more than that in common, so their first common shingle is in both lists."""
+
+    def run(batches):
+        known, table = per_worker("words", 0, WordHashes), idf.value
+        for batch in slices(batches, 64):
+            at, found, totals = [], [], []
+            for i, text in enumerate(texts_of(batch)):
+                s, w = weights(text, known, table)
+                order = np.lexsort((s, -table[buckets(s)]))
+                sums = np.cumsum(w[order], dtype=np.float64)
+                n = np.searchsorted(sums, (1 - similarity + 1e-6) * sums[-1], side="right") + 1
+                own = s[order[:n]]
+                at.append(np.full(len(own), i))
+                found.append(own)
+                totals.append(np.full(len(own), sums[-1]))
+            if at:
+                rows = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(totals))],
+                    names=["node", "root", "shingle", "total"],
+                )
+
+    return members.select("node", "root", "text").mapInArrow(run, "node binary, root binary, shingle bigint, total double")
+
+
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _able(similarity: float):
+    """Weights of a pair that do not yet exclude the similarity."""
+    return F.least("total_a", "total_b") >= (similarity - 1e-6) * F.greatest("total_a", "total_b")
+
+
+def crowded_links(members: DataFrame, roots: DataFrame, texts: DataFrame, idf, similarity: float, links: DataFrame) -> DataFrame:
+    """The roots after buckets (``members``: key, node) that hold several components
+    are settled: no pair of different components of a bucket that is similar stays apart."""
+    crowded = _rooted(members, roots).groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q").select("key")
+    nodes = members.join(crowded, "key").select("node").distinct()
+    listed = materialised(prefixes(_rooted(nodes, roots).join(texts, "node"), idf, similarity), "near-prefixes")
+
+    # First each member with the least of its shingle, which joins most large groups.
+    met = listed.groupBy("shingle").agg(F.min(F.struct("node", "root", "total")).alias("x"), F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q")
+    star = listed.join(met, "shingle").where("root <> x.root").select(
+        F.col("x.node").alias("a"), F.col("node").alias("b"), F.col("x.total").alias("total_a"), F.col("total").alias("total_b")
+    )
+    tried = materialised(star.where(_able(similarity)).select("a", "b").distinct(), "near-tried")
+    fresh = materialised(verified(tried, texts, idf, similarity), "near-links")
+    if not fresh.isEmpty():
+        links = links.unionByName(fresh)
+        roots = components(links)
+        listed = materialised(_rooted(listed.drop("root"), roots), "near-prefixes")
+
+    # Then every pair of different components.
+    groups = listed.select("shingle", "root").distinct()
+    apart = groups.withColumnRenamed("root", "root_a").join(groups.withColumnRenamed("root", "root_b"), "shingle").where("root_a < root_b")
+    own = listed.select("shingle", F.col("root").alias("root_a"), F.col("node").alias("a"), F.col("total").alias("total_a"))
+    other = listed.select("shingle", F.col("root").alias("root_b"), F.col("node").alias("b"), F.col("total").alias("total_b"))
+    pairs = apart.join(own, ["shingle", "root_a"]).join(other, ["shingle", "root_b"]).where(_able(similarity))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    fresh = materialised(verified(pairs, texts, idf, similarity), "near-links")
+    if not fresh.isEmpty():
+        roots = components(links.unionByName(fresh))
+    return roots
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) by alternating large and small stars."""
     state = None
@@ -251,9 +323,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     again = [ahead.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x, y in (("lo", "lo1"), ("hi", "hi1"), ("lo", "hi1"), ("lo", "lo2"))]
     more = again[0].unionByName(again[1]).unionByName(again[2]).unionByName(again[3]).where("a is not null and b is not null")
     more = more.distinct().join(pairs, ["a", "b"], "left_anti")
-    roots = components(links.unionByName(verified(more, texts, idf, similarity)))
+    links = links.unionByName(materialised(verified(more, texts, idf, similarity), "near-links"))
+    roots = components(links)
+    roots = crowded_links(members.select("key", F.col("b").alias("node")), roots, texts, idf, similarity, links)
 
-    named = nodes.select("node", "name").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = _rooted(nodes.select("node", "name"), roots)
     first = named.groupBy("root").agg(F.min("name").alias("first"))
     by_node = named.join(first, "root").select("node", "first")
     return signed.select("doc_id", "text_key", "node").join(by_node, "node", "left").select(

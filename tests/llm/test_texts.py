@@ -149,6 +149,31 @@ def test_near_classes(make_docs):
     assert near.stage(make_docs([])).count() == 0
 
 
+def test_near_pairs_of_crowded_buckets(make_docs):
+    """Texts alike by a common part, far below the threshold, hide pairs that reach it."""
+    import numpy as np
+
+    rng = random.Random(6)
+    common, texts = sentences(rng, 180), []
+    for _ in range(100):
+        own = sentences(rng, 18).split()
+        edited = own[:-12] + sentences(rng, 12).split()
+        texts += [common + " " + " ".join(own), common + " " + " ".join(edited)]
+    rng.shuffle(texts)
+    known, df = near.WordHashes(), np.zeros(1 << near.BUCKET_BITS, np.int64)
+    for t in texts:
+        df[np.unique(near.buckets(near.shingles(near.word_hashes(t, known))[0]))] += 1
+    idf = near.idf_table(df, len(texts))
+    weighed = [near.weights(t, known, idf) for t in texts]
+    expected = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if near.weighted_jaccard(weighed[i], weighed[j]) >= near.SIMILARITY:
+                expected[i] = j
+    assert sum(e != i for i, e in enumerate(expected)) == 100
+    assert [r.class_doc for r in near.near_classes(make_docs(texts)).orderBy("doc_id").collect()] == expected
+
+
 def luhn(d):
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
 
