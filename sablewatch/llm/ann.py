@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sablewatch.llm.base import slices
 from sablewatch.session import materialised
@@ -23,7 +24,7 @@ from sablewatch.session import materialised
 NEIGHBOURS, REVERSE, ORDERS, BLOCK, ROUNDS = 24, 16, 4, 128, 6
 PIVOTS, BEAM, EXPAND, STEPS = 1024, 320, 64, 8
 
-EDGE = "u bigint, v bigint, s float"
+EDGE = "u bigint, v bigint, s double"
 
 
 def _usable(rows: DataFrame) -> DataFrame:
@@ -42,8 +43,9 @@ def _dots(a: np.ndarray) -> np.ndarray:
 
 
 def _unpacked(raw: list[bytes]) -> np.ndarray:
-    """Unit vectors again from bytes that hold components scaled to -127..127."""
-    x = np.frombuffer(b"".join(raw), np.int8).reshape(len(raw), -1).astype(np.float32)
+    """Unit vectors in double precision from bytes: the width of a component, then components."""
+    kind = f"<f{raw[0][0]}" if raw else "<f8"
+    x = np.frombuffer(b"".join(r[1:] for r in raw), kind).reshape(len(raw), -1).astype(np.float64)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -52,24 +54,28 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def _edges(u, v, s) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float32())], names=["u", "v", "s"])
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["u", "v", "s"])
 
 
-def _unit(rows: DataFrame) -> DataFrame:
-    """node, unit: the vector's components scaled to whole bytes, for the graph and the walk (the
-    result is scored on the vectors themselves). One dimension is expected."""
+def _unit(rows: DataFrame, width: int) -> DataFrame:
+    """node, unit: the components as floats of ``width`` bytes, for the graph and the walk. Four
+    are exact where the table holds floats; doubles are scaled to at most 1. One dimension is expected."""
 
     def run(batches):
         for batch in slices(batches, 1024):
             out = []
             for v in batch.column(1).to_pylist():
                 x = np.array(v, np.float64)
-                out.append(np.rint(x / np.abs(x).max() * 127).astype(np.int8).tobytes())
+                out.append(bytes([width]) + (x if width == 4 else x / np.abs(x).max()).astype(f"<f{width}").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "unit"])
 
     return rows.select("node", "vec").mapInArrow(run, "node bigint, unit binary")
 
 
+def _width(rows: DataFrame) -> int:
+    return 4 if isinstance(rows.schema["embedding"].dataType.elementType, T.FloatType) else 8
+
+
 def _first_lists(units: DataFrame, order: int) -> DataFrame:
     """Best neighbours inside blocks of nodes next to each other in one random order."""
 
@@ -78,10 +84,10 @@ def _first_lists(units: DataFrame, order: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             x = _vectors(batch.column(1))
-            planes = np.random.default_rng(order).standard_normal((13, x.shape[1])).astype(np.float32)
+            planes = np.random.default_rng(order).standard_normal((13, x.shape[1]))
             got = x @ planes.T
             bits = (got[:, :12] > 0) @ (1 << np.arange(12))
-            at = bits.astype(np.float64) + 1 / (1 + np.exp(-got[:, 12].astype(np.float64)))
+            at = bits.astype(np.float64) + 1 / (1 + np.exp(-got[:, 12]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.float64())], names=["node", "unit", "at"])
 
     def blocks(batches):
@@ -100,7 +106,7 @@ def _first_lists(units: DataFrame, order: int) -> DataFrame:
 
 def _best(edges: DataFrame, n: int = NEIGHBOURS) -> DataFrame:
     once = edges.groupBy("u", "v").agg(F.max("s").alias("s"))
-    order = Window.partitionBy("u").orderBy(F.col("s").desc(), "v")
+    order = Window.partitionBy("u").orderBy(F.col("s").desc(), F.xxhash64("u", "v"), "v")
     return once.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).drop("k")
 
 
@@ -116,7 +122,7 @@ def _proposals(edges: DataFrame, units: DataFrame) -> DataFrame:
     """One round: around every node its neighbours propose each other."""
     worst = edges.groupBy("u").agg(F.min("s").alias("worst"), F.count(F.lit(1)).alias("n"))
     member = units.join(worst, units.node == worst.u, "left").select(
-        F.col("node").alias("v"), F.when(F.col("n") >= NEIGHBOURS, F.col("worst")).otherwise(F.lit(-2.0)).cast("float").alias("worst"), "unit"
+        F.col("node").alias("v"), F.when(F.col("n") >= NEIGHBOURS, F.col("worst")).otherwise(F.lit(-2.0)).alias("worst"), "unit"
     )
     groups = _both_ways(edges).join(member, "v").groupBy("u").agg(F.collect_list(F.struct("v", "worst", "unit")).alias("near"))
 
@@ -130,7 +136,7 @@ def _proposals(edges: DataFrame, units: DataFrame) -> DataFrame:
                 ids = np.array([m["v"] for m in near])
                 s = _dots(_unpacked([m["unit"] for m in near]))
                 np.fill_diagonal(s, -3)
-                i, j = np.nonzero(s > np.array([m["worst"] for m in near], np.float32)[:, None])
+                i, j = np.nonzero(s > np.array([m["worst"] for m in near])[:, None])
                 us.append(ids[i])
                 vs.append(ids[j])
                 ss.append(s[i, j])
@@ -158,10 +164,10 @@ def _scored(pairs: DataFrame, queries: DataFrame) -> DataFrame:
         for batch in slices(batches, 2048):
             if batch.num_rows:
                 s = np.einsum("ij,ij->i", _vectors(batch.column(2)), _vectors(batch.column(3)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float32())], names=["q", "v", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["q", "v", "s"])
 
     own = queries.select("q", F.col("unit").alias("own"))
-    return pairs.join(own, "q").select("q", "v", "unit", "own").mapInArrow(run, "q bigint, v bigint, s float")
+    return pairs.join(own, "q").select("q", "v", "unit", "own").mapInArrow(run, "q bigint, v bigint, s double")
 
 
 def greedy_search(queries: DataFrame, units: DataFrame, edges: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -182,12 +188,12 @@ def greedy_search(queries: DataFrame, units: DataFrame, edges: DataFrame, steps:
                 best = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(np.array(batch.column(0).to_pylist()), k), pa.int64()), pa.array(ids[best].ravel(), pa.int64()),
-                     pa.array(np.take_along_axis(s, best, 1).ravel(), pa.float32())], names=["q", "v", "s"])
+                     pa.array(np.take_along_axis(s, best, 1).ravel(), pa.float64())], names=["q", "v", "s"])
 
     adjacent = _both_ways(edges).join(units.withColumnRenamed("node", "v"), "v")
     adjacent = materialised(adjacent.select("u", "v", "unit"), "nn-adjacent")
-    beam = materialised(queries.select("q", "unit").mapInArrow(enter, "q bigint, v bigint, s float").withColumn("open", F.lit(True)), "nn-beam")
-    near = Window.partitionBy("q").orderBy(F.col("s").desc(), "v")
+    beam = materialised(queries.select("q", "unit").mapInArrow(enter, "q bigint, v bigint, s double").withColumn("open", F.lit(True)), "nn-beam")
+    near = Window.partitionBy("q").orderBy(F.col("s").desc(), F.xxhash64("q", "v"), "v")
     for _ in range(steps):
         front = beam.where("open").withColumn("k", F.row_number().over(near)).where(F.col("k") <= EXPAND).select("q", F.col("v").alias("u"))
         met = front.join(adjacent, "u").groupBy("q", "v").agg(F.first("unit").alias("unit")).join(beam.select("q", "v"), ["q", "v"], "left_anti")
@@ -210,9 +216,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     order = Window.partitionBy("key").orderBy("vec_id")
     copies = usable.select("key", "vec_id").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     nodes = materialised(usable.groupBy("key").agg(F.min("vec_id").alias("node"), F.first("vec").alias("vec")), "nn-nodes")
-    units = materialised(_unit(nodes), "nn-units")
+    units = materialised(_unit(nodes, _width(rows)), "nn-units")
     asked = materialised(_usable(queries).dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "node"), "nn-asked")
-    starts = materialised(_unit(asked).withColumnRenamed("node", "q"), "nn-starts")
+    starts = materialised(_unit(asked, _width(queries)).withColumnRenamed("node", "q"), "nn-starts")
     found = greedy_search(starts, units, build_graph(units))
 
     def exact(batches):

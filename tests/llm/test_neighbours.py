@@ -34,6 +34,19 @@ def test_recall_and_scores(spark):
     assert hits >= 0.9 * 5 * len(want)
 
 
+def test_recall_in_a_tight_group(spark):
+    """A third of the rows differ by far less than a hundredth of their largest component."""
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.standard_normal((800, 16)), rng.standard_normal(16) + 1e-4 * rng.standard_normal((400, 16))]).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    asked = list(range(800, 1200, 16))
+    got = {}
+    for r in ann.nearest(rows, rows.where("vec_id >= 800 and vec_id % 16 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = exact(list(range(1200)), x.astype(float), asked, 5)
+    assert sum(len({v for _, v in want[q]} & got[q]) for q in asked) >= 0.9 * 5 * len(asked)
+
+
 def test_copies_ties_and_unusable_rows(spark):
     nan, inf = float("nan"), float("inf")
     data = [(i, [1.0, 0.0]) for i in (0, 9, 8, 7, 6, 5, 4, 3)] + [(50, [0.0, 1.0]), (50, [0.0, 1.0]), (51, [1.0, 1.0])]
