@@ -3,8 +3,9 @@
 Equal vectors are one node, so copies cost nothing and cannot crowd a neighbour list. The graph
 starts from blocks of nodes that lie together in a few random orders. Each round joins every
 node's neighbours, both ways, with their vectors and lets them propose each other
-(neighbours of neighbours); lists keep the best. A query starts at its best pivots and walks the
-graph, a bounded beam of the best nodes at a time; what it found is scored exactly.
+(neighbours of neighbours); lists keep the best, until few edges change. A query starts at its
+best pivots, of which a larger table has more, and walks the graph, a bounded beam of the best
+nodes at a time, until all nodes of its beam have been expanded; what it found is scored exactly.
 
 Neighbour lists, reverse lists, blocks, pivots and beams have fixed lengths, as the method has
 it; every node is in the graph.
@@ -21,8 +22,12 @@ from pyspark.sql import types as T
 from sablewatch.llm.base import slices
 from sablewatch.session import materialised
 
-NEIGHBOURS, REVERSE, ORDERS, BLOCK, ROUNDS = 24, 16, 4, 128, 6
-PIVOTS, BEAM, EXPAND, STEPS = 1024, 320, 64, 8
+NEIGHBOURS, REVERSE, ORDERS, BLOCK = 24, 16, 4, 128
+BEAM, EXPAND = 320, 64
+#: Rounds end when a smaller share of the graph's edges is new.
+STILL = 0.001
+#: Pivots at least, and for each square root of the number of nodes.
+PIVOTS, PIVOTS_A_ROOT = 1024, 4
 
 EDGE = "u bigint, v bigint, s double"
 
@@ -105,7 +110,8 @@ def _first_lists(units: DataFrame, order: int) -> DataFrame:
 
 
 def _best(edges: DataFrame, n: int = NEIGHBOURS) -> DataFrame:
-    once = edges.groupBy("u", "v").agg(F.max("s").alias("s"))
+    """The best ``n`` of each u; ``new`` (an edge not known before) holds if it does for all equal edges."""
+    once = edges.groupBy("u", "v").agg(F.max("s").alias("s"), F.min("new").alias("new"))
     order = Window.partitionBy("u").orderBy(F.col("s").desc(), F.xxhash64("u", "v"), "v")
     return once.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).drop("k")
 
@@ -146,15 +152,19 @@ def _proposals(edges: DataFrame, units: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, EDGE)
 
 
-def build_graph(units: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """u, v, s: at most NEIGHBOURS best known neighbours of every node."""
+def build_graph(units: DataFrame, still: float = STILL) -> DataFrame:
+    """u, v, s: at most NEIGHBOURS best known neighbours of every node; rounds go on until the
+    share of edges that a round replaced is at most ``still``. Lists only improve, so they end."""
     edges = _first_lists(units, 0)
     for order in range(1, ORDERS):
         edges = edges.unionByName(_first_lists(units, order))
-    edges = materialised(_best(edges), "nn-edges")
-    for _ in range(rounds):
-        edges = materialised(_best(edges.unionByName(_proposals(edges, units))), "nn-edges")
-    return edges
+    edges = materialised(_best(edges.withColumn("new", F.lit(True))), "nn-edges")
+    while True:
+        known = edges.withColumn("new", F.lit(False))
+        edges = materialised(_best(known.unionByName(_proposals(edges, units).withColumn("new", F.lit(True)))), "nn-edges")
+        total, new = edges.agg(F.count(F.lit(1)), F.count(F.when(F.col("new"), 1))).first()
+        if new <= still * total:
+            return edges.drop("new")
 
 
 def _scored(pairs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -170,31 +180,37 @@ def _scored(pairs: DataFrame, queries: DataFrame) -> DataFrame:
     return pairs.join(own, "q").select("q", "v", "unit", "own").mapInArrow(run, "q bigint, v bigint, s double")
 
 
-def greedy_search(queries: DataFrame, units: DataFrame, edges: DataFrame, steps: int = STEPS) -> DataFrame:
-    """q, v: the beam of every query (q, unit) after ``steps`` steps through the graph."""
+def greedy_search(queries: DataFrame, units: DataFrame, edges: DataFrame) -> DataFrame:
+    """q, v: the beam of every query (q, unit) when all its nodes have been expanded."""
     spark = units.sparkSession
-    pivots = units.orderBy(F.xxhash64("node"), "node").limit(PIVOTS).collect()
+    wanted = max(PIVOTS, int(PIVOTS_A_ROOT * units.count() ** 0.5))
+    pivots = units.orderBy(F.xxhash64("node"), "node").limit(wanted).collect()
     if not pivots:
         return units.select(F.col("node").alias("q"), F.col("node").alias("v"))
     shared = spark.sparkContext.broadcast(([r.node for r in pivots], [bytes(r.unit) for r in pivots]))
 
     def enter(batches):
         ids = np.array(shared.value[0])
-        x = _unpacked(shared.value[1])
-        k = min(BEAM, len(ids))
         for batch in slices(batches, 256):
-            if batch.num_rows:
-                s = _vectors(batch.column(1)) @ x.T
+            if not batch.num_rows:
+                continue
+            own, at, s = _vectors(batch.column(1)), np.zeros((batch.num_rows, 0), np.int64), np.zeros((batch.num_rows, 0))
+            for start in range(0, len(ids), PIVOTS):
+                block = own @ _unpacked(shared.value[1][start : start + PIVOTS]).T
+                s = np.hstack([s, block])
+                at = np.hstack([at, np.broadcast_to(np.arange(start, start + block.shape[1]), block.shape)])
+                k = min(BEAM, s.shape[1])
                 best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array(batch.column(0).to_pylist()), k), pa.int64()), pa.array(ids[best].ravel(), pa.int64()),
-                     pa.array(np.take_along_axis(s, best, 1).ravel(), pa.float64())], names=["q", "v", "s"])
+                s, at = np.take_along_axis(s, best, 1), np.take_along_axis(at, best, 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.array(batch.column(0).to_pylist()), s.shape[1]), pa.int64()), pa.array(ids[at].ravel(), pa.int64()),
+                 pa.array(s.ravel(), pa.float64())], names=["q", "v", "s"])
 
     adjacent = _both_ways(edges).join(units.withColumnRenamed("node", "v"), "v")
     adjacent = materialised(adjacent.select("u", "v", "unit"), "nn-adjacent")
     beam = materialised(queries.select("q", "unit").mapInArrow(enter, "q bigint, v bigint, s double").withColumn("open", F.lit(True)), "nn-beam")
     near = Window.partitionBy("q").orderBy(F.col("s").desc(), F.xxhash64("q", "v"), "v")
-    for _ in range(steps):
+    while not beam.where("open").isEmpty():
         front = beam.where("open").withColumn("k", F.row_number().over(near)).where(F.col("k") <= EXPAND).select("q", F.col("v").alias("u"))
         met = front.join(adjacent, "u").groupBy("q", "v").agg(F.first("unit").alias("unit")).join(beam.select("q", "v"), ["q", "v"], "left_anti")
         fresh = _scored(met, queries).withColumn("open", F.lit(True))

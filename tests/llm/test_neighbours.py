@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sablewatch.llm import ann
 
@@ -47,6 +48,25 @@ def test_recall_in_a_tight_group(spark):
     assert sum(len({v for _, v in want[q]} & got[q]) for q in asked) >= 0.9 * 5 * len(asked)
 
 
+def test_walk_goes_on_to_the_end(spark):
+    """Along a thin ring of many nodes a walk from pivots on one side needs more than a few steps."""
+    n, step = 3000, 2 * np.pi / 3000
+    x = np.array([[np.cos(i * step), np.sin(i * step)] for i in range(n)])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    nodes = rows.selectExpr("vec_id as node", "embedding as vec")
+    units = ann._unit(nodes, 8)
+    ring = spark.createDataFrame([(i, (i + d) % n, float(np.cos(d * step))) for i in range(n) for d in (-1, 1)], ann.EDGE)
+    pivots = {r.node for r in units.orderBy(F.xxhash64("node"), "node").limit(1).collect()}
+    saved = ann.PIVOTS, ann.PIVOTS_A_ROOT, ann.BEAM
+    ann.PIVOTS, ann.PIVOTS_A_ROOT, ann.BEAM = 1, 0, 4
+    try:
+        far = (next(iter(pivots)) + 30) % n
+        beam = ann.greedy_search(units.where(F.col("node") == far).withColumnRenamed("node", "q"), units, ring)
+        assert far in {r.v for r in beam.collect()}
+    finally:
+        ann.PIVOTS, ann.PIVOTS_A_ROOT, ann.BEAM = saved
+
+
 def test_copies_ties_and_unusable_rows(spark):
     nan, inf = float("nan"), float("inf")
     data = [(i, [1.0, 0.0]) for i in (0, 9, 8, 7, 6, 5, 4, 3)] + [(50, [0.0, 1.0]), (50, [0.0, 1.0]), (51, [1.0, 1.0])]
