@@ -77,25 +77,20 @@ def pieces(text: str, root: dict) -> int:
 
 
 def training_text(labelled: DataFrame, passages: int = PASSAGES, chars: int = PASSAGE_CHARS) -> dict[str, str]:
-    """A bounded sample of text per language: ``passages`` passages, by the order of a hash.
+    """A bounded sample of text per language: one passage of each of ``passages`` different texts
+    (all if there are fewer), by the order of a hash, at a hashed place in the whole text.
 
-    ``labelled`` has text and lang. Copies count once. Counts per language set the share of rows
-    looked at, so the shuffle is small whatever the table's size.
+    ``labelled`` has text and lang. Copies count once, however many there are.
     """
-    rows = labelled.select("text", "lang").where("text is not null and lang is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return {}
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 16 * passages / n))])
-    at = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    picked = (
-        rows.withColumn("at", at).where(F.col("at") < share[F.col("lang")] * (1 << 30))
-        .select("lang", "at", F.substring("text", 1, chars).alias("text")).distinct()
-    )
-    order = Window.partitionBy("lang").orderBy("at", "text")
-    sample = picked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= passages)
+    rows = labelled.select("lang", "text", F.xxhash64("text").alias("at")).where("text is not null and lang is not null")
+    order = Window.partitionBy("lang").orderBy("at")
+    first = rows.select("lang", "at").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= passages)
+    chosen = F.broadcast(first.select("lang", "at"))
+    start = F.pmod(F.xxhash64("at"), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
+    cut = F.col("text").substr(start.cast("int"), F.lit(chars))
+    sample = rows.join(chosen, ["lang", "at"]).groupBy("lang", "at").agg(F.min(cut).alias("text"))
     out: dict[str, list[str]] = {}
-    for r in sample.orderBy("lang", "k").collect():
+    for r in sample.orderBy("lang", "at").collect():
         out.setdefault(r.lang, []).append(plain(r.text))
     return {lang: "\n".join(parts) for lang, parts in sorted(out.items())}
 

@@ -97,6 +97,16 @@ def test_language(make_docs, odd_texts):
     assert kept.columns == test.columns and {r.doc_id for r in kept.collect()} == set(range(20, 40))
 
 
+def test_training_text_of_copies_and_headers(spark):
+    """A language of few texts in many copies is learnt whole, and bodies behind one long header."""
+    copies = spark.range(60000).select(F.concat(F.lit("copied words "), (F.col("id") % 3 + 7).cast("string"), F.lit(" stay")).alias("text"), F.lit("aa").alias("lang"))
+    body = F.concat(F.lit("licence header " * 40), F.expr("repeat(concat('corpo', char(97 + id % 20), ' '), 200)"))
+    headed = spark.range(60).select(body.alias("text"), F.lit("bb").alias("lang"))
+    got = language.training_text(copies.unionByName(headed))
+    assert got["aa"].split("\n") == ["copied words stay "] * 3
+    assert got["bb"].count("corpo") > got["bb"].count("header")
+
+
 def test_fingerprints_like_brute_force(make_docs, odd_texts):
     texts = [*odd_texts, *[f"text number {i} about nothing much" * (1 + i % 4) for i in range(30)]]
     got = {r.doc_id: r for r in phrases.compare_edited(make_docs(texts).repartition(5)).collect()}
