@@ -10,16 +10,16 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sablewatch.llm.base import per_worker, slices, texts_of
-from sablewatch.session import materialised
+from sablewatch.session import materialised, shared_dir
 
 #: Hashed features (a power of two); words and shapes share them.
 FEATURES = 1 << 18
@@ -62,12 +62,12 @@ def _bins(h: np.ndarray, kind: int) -> np.ndarray:
     return (h >> np.uint64(40)) & np.uint64(FEATURES - 1)
 
 
-def features(text: str, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Bins and values (unit length) of a whole text: words, word pairs, and up to three shapes
-    in a row, a shape telling too whether the word repeats the one before."""
+def counts_of(text: str, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Bins and counts of a whole text: words, word pairs, and up to three shapes in a row, a
+    shape telling too whether the word repeats the one before."""
     pairs = [tokens[t] for t in _TOKEN.findall(text)]
     if not pairs:
-        return np.zeros(0, np.int32), np.zeros(0)
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     both = np.array(pairs, np.uint64)
     word, shape = both[:, 0], both[:, 1].copy()
     shape[1:] += (word[1:] == word[:-1]).astype(np.uint64)
@@ -75,8 +75,11 @@ def features(text: str, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
     found = np.concatenate([
         _bins(word, 1), _bins(two, 2), _bins(shape, 3), _bins(twice, 4), _bins(twice[:-1] * _STEP + shape[2:], 5),
     ])
-    at, n = np.unique(found.astype(np.int32), return_counts=True)
-    return at, n / math.sqrt(float(n @ n))
+    return np.unique(found.astype(np.int32), return_counts=True)
+
+
+def unit(n: np.ndarray) -> np.ndarray:
+    return n / math.sqrt(float(n @ n)) if len(n) else n.astype(float)
 
 
 @dataclass(frozen=True)
@@ -135,33 +138,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = LABELLED) ->
 def _vectors(batches):
     tokens = per_worker("quality-tokens", WORD_CACHE, Tokens)
     for batch in slices(batches):
-        found = [features(t, tokens) for t in texts_of(batch)]
+        found = [counts_of(t, tokens) for t in texts_of(batch)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float64()))],
-            names=["at", "label", "bins", "vals"],
+            [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.int32) for f in found], pa.list_(pa.int32()))],
+            names=["at", "label", "bins", "counts"],
         )
 
 
 def _one_pass(state):
-    """Updates of the shards that a task holds, in the order of the texts' hashes."""
-
-    def changes(learner):
-        z, n = state.value
-        dz, dn = learner.z - z, learner.n - n
-        at = np.flatnonzero((dz != 0) | (dn != 0))
-        return pd.DataFrame({"feature": at.astype(np.int32), "dz": dz[at], "dn": dn[at]})
+    """What one shard's rows, in the order of their hashes, change in the common state."""
 
     def run(batches):
-        current = learner = None
-        for pdf in batches:
-            for shard, label, bins, vals in zip(pdf["shard"], pdf["label"], pdf["bins"], pdf["vals"]):
-                if shard != current:
-                    if learner is not None:
-                        yield changes(learner)
-                    current, learner = shard, Learner(*state.value)
-                learner.see(np.asarray(bins), np.asarray(vals), label)
-        if learner is not None:
-            yield changes(learner)
+        z, n = state.value
+        learner = Learner(z, n)
+        for batch in batches:
+            for label, bins, counts in zip(*(batch.column(c) for c in ("label", "bins", "counts"))):
+                learner.see(bins.values.to_numpy(), unit(counts.values.to_numpy().astype(np.int64)), label.as_py())
+        at = np.flatnonzero((learner.z != z) | (learner.n != n)).astype(np.int32)
+        yield pa.RecordBatch.from_pydict({k: pa.array([v.tobytes()]) for k, v in (("at", at), ("dz", (learner.z - z)[at]), ("dn", (learner.n - n)[at]))})
 
     return run
 
@@ -173,18 +167,23 @@ def train(sample: DataFrame, share: dict[int, float], shards: int = SHARDS, pass
     if len(share) < 2:
         known = next(iter(share), None)
         return Model(np.zeros(FEATURES), 0.0 if known is None else math.log(99) * (1 if known else -1))
-    vectors = sample.select("at", "label", "text").mapInArrow(_vectors, "at long, label int, bins array<int>, vals array<double>")
-    vectors = materialised(vectors.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "at"), F.lit(shards)).cast("int")), "quality-vectors")
+    spark, path = sample.sparkSession, shared_dir(sample.sparkSession, "quality-vectors")
+    vectors = sample.select("at", "label", "text").mapInArrow(_vectors, "at long, label int, bins array<int>, counts array<int>")
+    vectors.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "at"), F.lit(shards)).cast("int")).repartition(shards, "shard").write.partitionBy("shard").parquet(path)
+    whole = spark.read.parquet(path)
+    own = [r.shard for r in whole.select("shard").distinct().orderBy("shard").collect()]
+    # Each shard is read from its own folder by one task, so a pass shuffles nothing.
+    by_shard = [whole.where(F.col("shard") == s).drop("shard").coalesce(1).sortWithinPartitions("at") for s in own]
     z, n = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
     for _ in range(passes):
-        state = vectors.sparkSession.sparkContext.broadcast((z, n))
-        one = vectors.repartition(shards, "shard").sortWithinPartitions("shard", "at").mapInPandas(_one_pass(state), "feature int, dz double, dn double")
-        # At most FEATURES + 1 rows reach the driver, whatever the input.
-        changed = one.groupBy("feature").agg((F.sum("dz") / shards).alias("dz"), (F.sum("dn") / shards).alias("dn")).toPandas()
-        at = changed["feature"].to_numpy()
+        state = spark.sparkContext.broadcast((z, n))
+        # One row per shard, of at most FEATURES + 1 places, reaches the driver, whatever the input.
+        changed = reduce(DataFrame.unionAll, [s.mapInArrow(_one_pass(state), "at binary, dz binary, dn binary") for s in by_shard]).collect()
         z, n = z.copy(), n.copy()
-        z[at] += changed["dz"].to_numpy()
-        n[at] += changed["dn"].to_numpy()
+        for r in changed:
+            at = np.frombuffer(r.at, np.int32)
+            z[at] += np.frombuffer(r.dz) / shards
+            n[at] += np.frombuffer(r.dn) / shards
         state.destroy()
     constant = float(weights_of(z[-1:], n[-1:], 0.0)[0]) - math.log(share[1]) + math.log(share[0])
     return Model(weights_of(z[:-1], n[:-1]), constant)
@@ -201,7 +200,8 @@ def score(docs: DataFrame, model: Model, good: float = GOOD) -> DataFrame:
     def run(batches):
         tokens = per_worker("quality-tokens", WORD_CACHE, Tokens)
         for batch in slices(batches):
-            got = np.array([shared.value.score(*features(t, tokens)) for t in texts_of(batch)])
+            found = (counts_of(t, tokens) for t in texts_of(batch))
+            got = np.array([shared.value.score(at, unit(n)) for at, n in found])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(got, pa.float64()), pa.array((got >= good).astype(np.int32))],
                 names=["doc_id", "score", "predicted"],
