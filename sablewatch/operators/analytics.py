@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -11,12 +12,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import bucket_of
+from ..session import materialised
 
 # --- fixed values: defaults of anomaly detection and alerting -------------------------
 Z_THRESHOLD, SENSITIVITY, WINDOW_HOURS, COOLDOWN_MINUTES = 3.0, 0.8, 24, 15
 # --------------------------------------------------------------------------------------
 
-DAY, MINUTE = 86_400, 60
+HOUR, MINUTE = 3600, 60
 
 
 def windowed(events: DataFrame, exact: bool = True, window: str = "5 minutes") -> DataFrame:
@@ -174,58 +176,79 @@ def anomalies(
     )
 
 
+def _cells(metrics: DataFrame) -> DataFrame:
+    """Per (metric, second): count, moments around the metric's mean, range.
+
+    However many rows a metric has, it has at most one cell a second.
+    """
+    centres = metrics.groupBy("metric").agg(F.avg("value").alias("centre"))
+    off = F.col("value") - F.col("centre")
+    return (
+        metrics.join(centres, "metric")
+        .groupBy("metric", "centre", F.unix_seconds("observed_at").alias("sec"))
+        .agg(
+            F.count("value").alias("n"), F.coalesce(F.sum(off), F.lit(0.0)).alias("s1"), F.coalesce(F.sum(off * off), F.lit(0.0)).alias("s2"),
+            F.min("value").alias("low"), F.max("value").alias("high"),
+        )
+        .withColumn("hour", F.floor(F.col("sec") / HOUR).cast("long"))
+    )
+
+
+_PARTS = {"n": F.sum, "s1": F.sum, "s2": F.sum, "low": F.min, "high": F.max}
+
+
+def _edge_entries(cells: DataFrame, hours: int) -> DataFrame:
+    """Each cell in its own hour, and as a question in the hour in which its frame begins.
+
+    An (metric, hour) group thus holds at most two rows for each of its seconds.
+    """
+    nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"), *[F.lit(None).cast("double").alias(c) for c in ("low", "high")])
+    places = F.array(
+        F.struct(F.col("hour").alias("at"), F.lit(True).alias("own"), F.struct(*_PARTS).alias("part")),
+        F.struct((F.col("hour") - hours).alias("at"), F.lit(False).alias("own"), nothing.alias("part")),
+    )
+    return cells.select("metric", "sec", F.explode(places).alias("e")).select("metric", "sec", "e.at", "e.own", "e.part.*", F.pmod("sec", F.lit(HOUR)).alias("offset"))
+
+
+def _frames(cells: DataFrame, hours: int) -> DataFrame:
+    """Sums per (metric, second) over the ``hours`` before it.
+
+    A frame is the end of its first hour, whole hours, and the beginning of its last hour.
+    Nothing is subtracted, so nothing cancels.
+    """
+    within = W.partitionBy("metric", "at")
+    before = within.orderBy("offset").rangeBetween(W.unboundedPreceding, -1)
+    rest = within.orderBy(F.desc("offset")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    edges = _edge_entries(cells, hours).select(
+        "metric", "sec", *[F.when(F.col("own"), agg(c).over(before)).otherwise(agg(c).over(rest)).alias(c) for c, agg in _PARTS.items()]
+    )
+    parts = edges
+    if hours > 1:
+        whole = W.partitionBy("metric").orderBy("hour").rangeBetween(1 - hours, -1)
+        hourly = cells.groupBy("metric", "hour").agg(*[agg(c).alias(c) for c, agg in _PARTS.items()])
+        between = hourly.select("metric", "hour", *[agg(c).over(whole).alias(c) for c, agg in _PARTS.items()])
+        parts = edges.unionByName(cells.select("metric", "sec", "hour").join(between, ["metric", "hour"]).drop("hour"))
+    return parts.groupBy("metric", "sec").agg(*[agg(c).alias(c) for c, agg in _PARTS.items()])
+
+
 def anomalies_in_window(
     metrics: DataFrame, hours: int = WINDOW_HOURS, z: float = Z_THRESHOLD, sensitivity: float = SENSITIVITY
 ) -> DataFrame:
-    """Each value against the values of its metric in the preceding hours.
+    """Each value against the values of its metric in the preceding hours (of earlier seconds).
 
-    A sliding range frame re-reads its whole content per row. Here each value is a signed
-    entry, added one second after it occurs and taken out when it leaves the window, so a
-    running sum gives the frame. With slices as long as the window, a row's frame lies in
-    its own and the preceding slice; entries are copied to the slice after their own, and
-    each (metric, slice) is independent.
+    All rows of a second share one frame, so frames are made from per-second cells and joined back. No task gets more
+    than an hour of one metric's seconds, or the hours of one metric, whatever share of the rows it has.
     """
-    span = hours * 3600
     metrics = _numbers_only(metrics)
-    centres = _slices(metrics, DAY).groupBy("metric").agg(
-        F.max("centre").alias("centre"), (F.sum("s2") / F.sum("n")).alias("spread")
-    )
-    base = (
-        metrics.join(centres, "metric")
-        .withColumn("sec", F.unix_seconds("observed_at")).withColumn("off", F.col("value") - F.col("centre"))
-        .withColumn("slice", F.floor(F.col("sec") / span).cast("long"))
+    cells = _cells(metrics)
+    frames = _frames(cells, hours).join(cells.select("metric", "sec", "centre"), ["metric", "sec"])
+    same = F.col("low") == F.col("high")
+    rows = (
+        metrics.withColumn("sec", F.unix_seconds("observed_at")).join(frames, ["metric", "sec"])
+        .withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+        .withColumn("mean", F.when(same, F.col("low")).otherwise(F.col("centre") + F.col("s1") / F.nullif("n", F.lit(0))))
+        .withColumn("std", F.when(same, 0.0).when(F.col("n") > 1, _deviation(F.col("n"), F.col("s1"), F.col("s2"))))
     )
-
-    def entry(slice_, at, probe: bool, sign: int) -> Column:
-        return F.struct(
-            slice_.alias("slice"), at.alias("tick"), F.lit(probe).alias("probe"),
-            F.when(F.col("off").isNotNull(), F.lit(sign)).otherwise(0).cast("long").alias("dn"), (F.lit(float(sign)) * F.col("off")).alias("d1"),
-            (F.lit(float(sign)) * F.col("off") * F.col("off")).alias("d2"),
-        )
-
-    own, following = F.col("slice"), F.col("slice") + 1
-    entries = base.select(
-        "metric", "observed_at", "seq", "value", "centre", "spread",
-        F.explode(
-            F.array(
-                entry(own, F.col("sec"), True, 0), entry(own, F.col("sec") + 1, False, 1),
-                entry(following, F.col("sec") + 1, False, 1), entry(following, F.col("sec") + span + 1, False, -1),
-            )
-        ).alias("e"),
-    ).select("metric", "observed_at", "seq", "value", "centre", "spread", "e.*")
-    running = W.partitionBy("metric", "slice").orderBy("tick", "probe").rowsBetween(W.unboundedPreceding, 0)
-    summed = entries.select(
-        "*", F.sum("dn").over(running).alias("n"), F.sum("d1").over(running).alias("s1"),
-        F.sum("d2").over(running).alias("s2"),
-    ).filter("probe")
-    deviation = _deviation(F.col("n"), F.col("s1"), F.col("s2"))
-    rows = summed.withColumn("mean", F.col("centre") + F.col("s1") / F.nullif("n", F.lit(0))).withColumn(
-        "std",
-        # Below rounding noise of the sums the frame holds equal values.
-        F.when(F.col("n") == 1, 0.0).when(
-            F.col("n") > 1, F.when(deviation * deviation > F.col("spread") * 1e-12, deviation).otherwise(0.0)
-        ),
-    ).withColumn("mean", F.when(F.col("std") == 0, F.round("mean", 9)).otherwise(F.col("mean")))
     return _judged(rows, z, sensitivity).select(
         "metric", "observed_at", "seq", "value", "n", "mean", "std", "z_score", "is_anomaly", "reason"
     )
@@ -234,88 +257,108 @@ def anomalies_in_window(
 # --- cooldown ---------------------------------------------------------------------------
 #
 # An alert is sent unless one with the same key was sent less than the cooldown before: a
-# greedy chain, in which each decision depends on the one before. To cut a hot key into
-# pieces, time is sliced. What a slice does depends on the past only through the time of the
-# last sent alert, and only while that is less than a cooldown away. So each slice first
-# works out, independently, where the chain ends for each possible start; the short per-slice
-# tables are then followed in time order per key; and each slice is replayed from its now
-# known start.
+# greedy chain, in which each decision depends on the one before. What a stretch of time does
+# depends on the past only through the time of the last sent alert, and it does so as a step
+# function: "if the chain is ready by this time, the stretch's last sent alert is that one".
+# An alert by itself is such a function of one step. Functions of neighbouring stretches compose
+# to one function, so a tree of stretches, each FAN_OUT times as long as the ones below, is
+# composed upwards; downwards each stretch learns when the chain is ready at its start; and the
+# lowest stretches are replayed from there. A hot key is in as many tasks as it has stretches.
 
 
-_ENTRY = np.iinfo(np.int64).min  # time of the row that carries a slice's start
+FAN_OUT = 64
+_NEVER = np.iinfo(np.int64).min  # ready since ever; also the time of the row that carries a start
 
 
-def _groups(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
-    """Consecutive (key, slice) groups of sorted batches as numpy columns.
-
-    At most one group and one batch are held at a time.
-    """
-    rest: pd.DataFrame | None = None
+def _runs(batches: Iterator[pd.DataFrame], by: list[str], columns: list[str]) -> Iterator[tuple]:
+    """(identity, columns) of the runs of equal ``by`` inside each batch; a group longer than a
+    batch comes as several runs, so no group is ever held as a whole."""
     for pdf in batches:
-        if rest is not None:
-            pdf = pd.concat([rest, pdf], ignore_index=True)
-        keys, slices = pdf["key"].to_numpy(), pdf["slice"].to_numpy()
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (slices[1:] != slices[:-1])) + 1
+        ids = [pdf[c].to_numpy() for c in by]
         arrays = [pdf[c].to_numpy() for c in columns]
-        lo = 0
-        for hi in cuts:
-            yield keys[lo], slices[lo], [a[lo:hi] for a in arrays]
-            lo = hi
-        rest = pdf.iloc[lo:]
-    if rest is not None and len(rest):
-        yield rest["key"].iloc[0], rest["slice"].iloc[0], [rest[c].to_numpy() for c in columns]
-
-
-def _frames(parts: Iterator[tuple], names: list[str], rows: int = 20_000) -> Iterator[pd.DataFrame]:
-    """Pack (scalar or array) column tuples into frames of a useful size."""
-    held: list[list[np.ndarray]] = []
-    size = 0
-    for part in parts:
-        length = max((len(c) for c in part if isinstance(c, np.ndarray)), default=1)
-        held.append([c if isinstance(c, np.ndarray) else np.repeat(np.array([c], dtype=object if isinstance(c, str) else None), length) for c in part])
-        size += length
-        if size >= rows:
-            yield pd.DataFrame({n: np.concatenate([h[i] for h in held]) for i, n in enumerate(names)})
-            held, size = [], 0
-    if held:
-        yield pd.DataFrame({n: np.concatenate([h[i] for h in held]) for i, n in enumerate(names)})
-
-
-def _slice_tables(gap: int, slice_us: int):
+        changed = np.zeros(max(len(pdf) - 1, 0), bool)
+        for a in ids:
+            changed |= a[1:] != a[:-1]
+        cuts = [0, *(np.flatnonzero(changed) + 1), len(pdf)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi > lo:
+                yield tuple(a[lo] for a in ids), [a[lo:hi] for a in arrays]
+
+
+def _framed(rows: Iterator[tuple], names: list[str], size: int = 20_000) -> Iterator[pd.DataFrame]:
+    rows = iter(rows)
+    while some := list(islice(rows, size)):
+        yield pd.DataFrame(some, columns=names)
+
+
+class _Steps:
+    """The step function of a stretch, composed while its parts' steps pass by in time order."""
+
+    def __init__(self, start: int, gap: int) -> None:
+        self.zone, self.gap, self.open = start + gap, gap, True
+        # If ready by upto (and not by the upto before), the last one sent is last.
+        self.upto = self.last = np.zeros(0, np.int64)
+
+    def see(self, upto: np.ndarray, last: np.ndarray) -> None:
+        while len(self.last):
+            hit = np.searchsorted(upto, self.last + self.gap, side="left")
+            on = hit < len(upto)
+            if not on.any():
+                break
+            self.last = np.where(on, last[np.minimum(hit, len(upto) - 1)], self.last)
+        if self.open:
+            # A chain is ready at most one cooldown after the start: later steps but the next one are never first.
+            first = int(np.searchsorted(upto, self.zone, side="left")) + 1
+            self.open = first > len(upto)
+            new = last[:first]
+            while True:
+                hit = np.searchsorted(upto, new + self.gap, side="left")
+                on = hit < len(upto)
+                if not on.any():
+                    break
+                new = np.where(on, last[np.minimum(hit, len(upto) - 1)], new)
+            self.upto, self.last = np.append(self.upto, upto[:first]), np.append(self.last, new)
+        keep = np.append(self.last[1:] != self.last[:-1], True)
+        self.upto, self.last = self.upto[keep], self.last[keep]
+
+
+def _compose(gap: int, width: int):
     def run(batches):
-        def tables():
-            for key, slice_, (times,) in _groups(batches, ["t"]):
-                n = len(times)
-                nxt = np.searchsorted(times, times + gap, side="left")
-                end = np.where(nxt < n, nxt, np.arange(n))
-                while True:  # pointer doubling: each pass squares the distance covered
-                    further = end[end]
-                    if np.array_equal(further, end):
-                        break
-                    end = further
-                starts = int(np.searchsorted(times, slice_ * slice_us + gap, side="left"))
-                upto, ends = times[: starts + 1], times[end[: starts + 1]]
-                keep = np.append(ends[1:] != ends[:-1], True)
-                yield key, slice_, upto[keep], ends[keep]
-
-        return _frames(tables(), ["key", "slice", "start_upto", "last_sent"])
+        def functions():
+            current = own = None
+            for identity, (upto, last) in _runs(batches, ["key", "stretch"], ["upto", "last"]):
+                if identity != current:
+                    if own is not None:
+                        yield from ((*current, int(u), int(s)) for u, s in zip(own.upto, own.last))
+                    current, own = identity, _Steps(int(identity[1]) * width, gap)
+                own.see(upto, last)
+            if own is not None:
+                yield from ((*current, int(u), int(s)) for u, s in zip(own.upto, own.last))
+
+        return _framed(functions(), ["key", "stretch", "upto", "last"])
 
     return run
 
 
-def _follow(gap: int):
+def _descend(gap: int):
+    """From each stretch's start (its first row) to the starts of its parts."""
+
     def run(batches):
-        def entries():
-            current, ready = None, _ENTRY
-            for key, slice_, (upto, last) in _groups(batches, ["start_upto", "last_sent"]):
-                if key != current:
-                    current, ready = key, _ENTRY
-                yield key, slice_, ready
-                i = int(np.searchsorted(upto, ready, side="left"))
-                if i < len(upto):
-                    ready = int(last[i]) + gap
-
-        return _frames(entries(), ["key", "slice", "ready_at"])
+        def starts():
+            current, part, ready = None, None, _NEVER
+            for identity, (parts, upto, last) in _runs(batches, ["key", "stretch"], ["part", "upto", "last"]):
+                for p, u, s in zip(parts, upto, last):
+                    if u == _NEVER:
+                        current, part, ready = identity, None, int(s)
+                        continue
+                    if p != part:
+                        part, done = p, False
+                        yield identity[0], int(p), ready
+                    if not done and ready <= u:
+                        # Of a part only the step that applies counts.
+                        ready, done = int(s) + gap, True
+
+        return _framed(starts(), ["key", "stretch", "ready"])
 
     return run
 
@@ -323,50 +366,64 @@ def _follow(gap: int):
 def _replay(gap: int):
     def run(batches):
         def sent():
-            for key, _, (times, ids, ready) in _groups(batches, ["t", "id", "ready_at"]):
-                # The slice's start sorts first and carries no alert.
-                times, ids, ready_at = times[1:], ids[1:], ready[0]
-                nxt = np.searchsorted(times, times + gap, side="left")
-                i, chosen = int(np.searchsorted(times, ready_at, side="left")), []
-                while i < len(times):
-                    chosen.append(i)
-                    i = int(nxt[i])
-                if chosen:
-                    yield key, times[chosen], ids[chosen]
-
-        return _frames(sent(), ["key", "t", "id"])
+            ready = _NEVER
+            for (key, _), (times, ids, starts) in _runs(batches, ["key", "stretch"], ["t", "id", "ready"]):
+                i = 0
+                if times[0] == _NEVER:
+                    ready, i = int(starts[0]), 1
+                while (i := i + int(np.searchsorted(times[i:], ready, side="left"))) < len(times):
+                    yield key, int(times[i]), ids[i]
+                    ready = int(times[i]) + gap
+
+        return _framed(sent(), ["key", "t", "id"])
 
     return run
 
 
 def cooldown(
-    alerts: DataFrame, key: Column, time: str, tie: str, minutes: int = COOLDOWN_MINUTES, slice_hours: int = 6
+    alerts: DataFrame, key: Column, time: str, tie: str, minutes: int = COOLDOWN_MINUTES, fan_out: int = FAN_OUT
 ) -> DataFrame:
-    """Alerts that are sent: ``(key, id, sent_at)``, id being the text value of column ``tie``."""
-    gap, slice_us = minutes * 60_000_000, slice_hours * 3_600_000_000
-    if slice_us < gap:
-        raise ValueError("a slice must not be shorter than the cooldown")
+    """Alerts that are sent: ``(key, id, sent_at)``, id being the text value of column ``tie``.
+
+    Alerts without key or time are never sent. Workers hold, of one key, at most the steps of one
+    cooldown; composing merges steps as soon as their chains meet.
+    """
+    gap = minutes * 60_000_000
     # Of several alerts with one key at one instant only the first can be sent.
-    firsts = (
+    firsts = materialised(
         alerts.select(key.alias("key"), F.unix_micros(time).alias("t"), F.col(tie).cast("string").alias("id"))
-        .groupBy("key", "t").agg(F.min("id").alias("id"))
-        .withColumn("slice", F.floor(F.col("t") / slice_us).cast("long"))
-    )
-    by_slice = ["key", "slice"]
-    tables = (
-        firsts.select("key", "slice", "t").repartition(*by_slice).sortWithinPartitions("key", "slice", "t")
-        .mapInPandas(_slice_tables(gap, slice_us), "key string, slice long, start_upto long, last_sent long")
+        .where("key is not null and t is not null").groupBy("key", "t").agg(F.min("id").alias("id")),
+        "cooldown-firsts",
     )
-    # Sorted runs of one key pass through a task as a stream, never as a whole.
-    entries = (
-        tables.repartition("key").sortWithinPartitions("key", "slice", "start_upto")
-        .mapInPandas(_follow(gap), "key string, slice long, ready_at long")
-    )
-    rows = firsts.select("key", "slice", "t", "id", F.lit(0).cast("long").alias("ready_at")).unionByName(
-        entries.select("key", "slice", F.lit(_ENTRY).alias("t"), F.lit(None).cast("string").alias("id"), "ready_at")
+
+    def stretch(at: str, width: int) -> Column:
+        return F.floor(F.col(at) / F.lit(width)).cast("long")
+
+    low, high = firsts.agg(F.min("t"), F.max("t")).first()
+    widths = [gap * fan_out]
+    while low is not None and low // widths[-1] != high // widths[-1]:
+        widths.append(widths[-1] * fan_out)
+    steps, levels = firsts.select("key", F.col("t").alias("upto"), F.col("t").alias("last")), []
+    for width in widths:
+        steps = materialised(
+            steps.withColumn("stretch", stretch("upto", width)).repartition("key", "stretch").sortWithinPartitions("key", "stretch", "upto")
+            .mapInPandas(_compose(gap, width), "key string, stretch long, upto long, last long"),
+            "cooldown-steps",
+        )
+        levels.append(steps)
+    starts = levels[-1].select("key", "stretch").distinct().withColumn("ready", F.lit(_NEVER))
+    for below, width, part_width in zip(levels[-2::-1], widths[:0:-1], widths[-2::-1]):
+        parts = below.select("key", stretch("upto", width).alias("stretch"), F.col("stretch").alias("part"), "upto", "last")
+        lead = starts.select("key", "stretch", F.lit(_NEVER).alias("part"), F.lit(_NEVER).alias("upto"), F.col("ready").alias("last"))
+        starts = (
+            parts.unionByName(lead).repartition("key", "stretch").sortWithinPartitions("key", "stretch", "upto")
+            .mapInPandas(_descend(gap), "key string, stretch long, ready long")
+        )
+    rows = firsts.select("key", stretch("t", widths[0]).alias("stretch"), "t", "id", F.lit(0).cast("long").alias("ready")).unionByName(
+        starts.select("key", "stretch", F.lit(_NEVER).alias("t"), F.lit(None).cast("string").alias("id"), "ready")
     )
     sent = (
-        rows.repartition(*by_slice).sortWithinPartitions("key", "slice", "t")
+        rows.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "t")
         .mapInPandas(_replay(gap), "key string, t long, id string")
     )
     return sent.select("key", "id", F.timestamp_micros("t").alias("sent_at"))

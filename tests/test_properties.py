@@ -104,9 +104,36 @@ def cooldown_rows(n=3000, seed=1):
 def test_cooldown_against_brute_force(spark):
     rows = cooldown_rows()
     df = spark.createDataFrame(rows, "key string, at timestamp, id string")
-    for hours in (1, 6, 24):
-        got = {(r["key"], r["id"]) for r in analytics.cooldown(df, F.col("key"), "at", "id", slice_hours=hours).collect()}
-        assert got == sent_by_brute_force(rows), hours
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")  # groups span many batches
+    try:
+        for fan_out in (2, 5, 64):
+            got = {(r["key"], r["id"]) for r in analytics.cooldown(df, F.col("key"), "at", "id", fan_out=fan_out).collect()}
+            assert got == sent_by_brute_force(rows), fan_out
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    odd = spark.createDataFrame([(None, BASE, "x"), ("k", None, "y"), ("", BASE, "z"), ("", BASE, None)], df.schema)
+    assert [(r["key"], r["id"]) for r in analytics.cooldown(odd, F.col("key"), "at", "id").collect()] == [("", "z")]
+    assert analytics.cooldown(odd.where("key = 'k'"), F.col("key"), "at", "id").count() == 0
+
+
+def test_cooldown_of_one_hot_key_stays_in_steps(spark):
+    """A key with nearly all alerts: stretches keep a few steps, and every level has many groups."""
+    rnd = random.Random(4)
+    gap, times = 15 * 60_000_000, sorted(rnd.randrange(9 * 86_400_000_000) for _ in range(60_000))
+    steps = analytics._Steps(0, gap)
+    for i in range(0, len(times), 997):
+        chunk = np.array(times[i:i + 997], np.int64)
+        steps.see(chunk, chunk)
+        assert len(steps.upto) <= 1 + sum(t < gap for t in times)
+    assert len(steps.upto) < 5  # chains from all entries have met
+    last, ready = None, -1
+    for t in times:
+        if t >= ready:
+            last, ready = t, t + gap
+    assert steps.last[0] == last
+    rows = [("hot", BASE + dt.timedelta(microseconds=t), str(t)) for t in times[:6000]] + [("k", BASE, "0")]
+    df = spark.createDataFrame(rows, "key string, at timestamp, id string")
+    assert {(r["key"], r["id"]) for r in analytics.cooldown(df, F.col("key"), "at", "id", fan_out=4).collect()} == sent_by_brute_force(rows)
 
 
 def test_anomalies_against_running_moments(spark):
@@ -133,6 +160,34 @@ def test_anomalies_against_running_moments(spark):
                     assert row.is_anomaly == (abs(value - np.mean(seen)) / std > 2.1)
 
 
+def test_frames_of_one_hot_metric(spark):
+    """Nine tenths of the rows in one metric and many in one second: groups hold seconds, not rows."""
+    rnd = random.Random(6)
+    seconds = sorted({rnd.randrange(40 * 3600) for _ in range(700)})
+    rows = [("hot" if rnd.random() < 0.9 else "m", BASE + dt.timedelta(seconds=rnd.choice(seconds), milliseconds=rnd.randrange(1000)), i, float(rnd.randrange(5))) for i in range(3000)]
+    rows += [("hot", BASE + dt.timedelta(hours=3, milliseconds=i % 1000), 3000 + i, 2.0) for i in range(3000)]
+    rows += [("hot", BASE + dt.timedelta(hours=3 + h), 6000 + h, v) for h, v in ((1, None), (2, float("nan")), (24, 1.0))]
+    df = spark.createDataFrame(rows, "metric string, observed_at timestamp, seq long, value double")
+    entries = analytics._edge_entries(analytics._cells(analytics._numbers_only(df)), 24)
+    assert entries.groupBy("metric", "at").count().agg(F.max("count")).first()[0] <= 2 * len(seconds) // 10
+    for hours in (1, 2, 24):
+        got = {r.seq: r for r in analytics.anomalies_in_window(df, hours=hours).collect()}
+        assert len(got) == len(rows)
+        by = defaultdict(list)
+        for metric, at, seq, value in rows:
+            sec = int((at - BASE).total_seconds())
+            by[metric].append((sec, seq, value if value is not None and value == value else None))
+        for own in by.values():
+            own.sort()
+            at = np.array([r[0] for r in own])
+            for sec, seq, _ in own[::7]:
+                lo, hi = np.searchsorted(at, [sec - hours * 3600, sec])
+                near = [r[2] for r in own[lo:hi] if r[2] is not None]
+                assert got[seq].n == len(near)
+                if len(near) > 1:
+                    assert math.isclose(got[seq].mean, np.mean(near), abs_tol=1e-9) and math.isclose(got[seq].std, np.std(near, ddof=1), abs_tol=1e-9)
+
+
 def test_nearest_cases_both_ways_equal_brute_force(spark, sf):
     stored = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("case_id"), "embedding")
     data = {r.case_id: np.array(r.embedding, dtype="float64") for r in stored.collect()}
