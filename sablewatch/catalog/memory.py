@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures.text import AS_OF
 from ..fixtures.views import table, view
-from ..operators import cases, graph, records, workflow
+from ..operators import cases, casetext, graph, records, workflow
 from .registry import query
 
 _T = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')".format
@@ -143,6 +143,34 @@ def similar_cases_cosine(spark, sf):
     return cases.with_case(found, corpus.select("case_id", F.col("label").alias("case_label"))).withColumn("distance", F.round("distance", 6))
 
 
+_ALERT_WORDS = "concat_ws(' ', title, description, hostname, command_line)"
+
+
+@query(
+    "top3_cases_per_alert",
+    f"""WITH t AS (SELECT alert_id, status, {_ALERT_WORDS} AS text FROM alerts),
+      cases AS (SELECT alert_id, text FROM t WHERE status IN ('resolved', 'false_positive')),
+      total AS (SELECT count(*) AS n FROM cases),
+      texts AS (SELECT DISTINCT text FROM t),
+      words AS (SELECT text, word, 1 + ln(count(*)) AS tf FROM (SELECT text, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS word FROM texts) GROUP BY text, word),
+      df AS (SELECT word, count(*) AS df FROM cases JOIN words USING (text) GROUP BY word),
+      w AS (SELECT text, word, tf * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM words LEFT JOIN df USING (word), total),
+      u AS (SELECT text, word, w / sqrt(sum(w * w) OVER (PARTITION BY text)) AS w FROM w),
+      pairs AS (SELECT a.text AS asked, b.text AS found, round(sum(a.w * b.w), 9) AS score FROM u a JOIN u b USING (word)
+        WHERE a.text IN (SELECT text FROM t WHERE status IN ('new', 'triaging')) AND b.text IN (SELECT text FROM cases) GROUP BY ALL),
+      r AS (SELECT t.alert_id, c.alert_id AS case_id, score, row_number() OVER (PARTITION BY t.alert_id ORDER BY score DESC, c.alert_id) AS rank
+        FROM t JOIN pairs p ON p.asked = t.text JOIN cases c ON c.text = p.found WHERE t.status IN ('new', 'triaging') AND score > 0)
+      SELECT alert_id, rank, case_id, round(score, 6) AS score FROM r WHERE rank <= 3""",
+)
+def top3_cases_per_alert(spark, sf):
+    """For each open alert the three closed ones most alike in text."""
+    alerts = view(spark, sf, "alerts").select("alert_id", "status", F.expr(_ALERT_WORDS).alias("text"))
+    closed = alerts.where("status in ('resolved', 'false_positive')").select(F.col("alert_id").alias("case_id"), "text")
+    asked = alerts.where("status in ('new', 'triaging')").select(F.col("alert_id").alias("query_id"), "text")
+    found = casetext.top_cases_by_text(closed, asked, k=3)
+    return found.select(F.col("query_id").alias("alert_id"), "rank", "case_id", F.round("score", 6).alias("score"))
+
+
 @query(
     "procedures_for_task",
     """WITH p(task_type, procedure, step_no, step) AS (VALUES

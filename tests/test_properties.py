@@ -3,13 +3,14 @@
 import datetime as dt
 import math
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from sablewatch.fixtures.views import view
-from sablewatch.operators import analytics, cases, enrich, graph, similarity
+from sablewatch.operators import analytics, cases, casetext, enrich, graph, similarity
 
 BASE = dt.datetime(2024, 1, 1)
 
@@ -205,6 +206,52 @@ def test_nearest_cases_both_ways_equal_brute_force(spark, sf):
             assert {q: ids[1:] for q, ids in found.items()} == {q: ids[1:] for q, ids in expected.items()}
 
 
+def text_scores(stored, asked):
+    """All pairs by hand: {query: [(-score, case)]}."""
+    words = {t: re.findall(r"[^\W_]+", t.lower()) for _, t in stored + asked if t is not None}
+    df = Counter(w for _, t in stored if t is not None for w in set(words[t]))
+    total = sum(t is not None for _, t in stored)
+
+    def vector(t):
+        v = {w: (1 + math.log(n)) * (math.log((1 + total) / (1 + df[w])) + 1) for w, n in Counter(words[t]).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    vectors = {t: vector(t) for t in words}
+    out = {}
+    for q, t in asked:
+        scores = [] if t is None else [(-round(sum(x * vectors[c].get(w, 0) for w, x in vectors[t].items()), 9), i) for i, c in stored if c is not None]
+        out[q] = sorted(s for s in scores if s[0] < 0)
+    return out
+
+
+def test_cases_by_text_against_all_pairs(spark):
+    rnd = random.Random(11)
+    vocabulary = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(4000)]
+    texts = [" ".join(rnd.choices(vocabulary, k=rnd.randrange(1, 25))) for _ in range(400)]
+    stored = [(i, rnd.choice(texts[:250])) for i in range(600)] + [(600 + i, "Hot text, same for a third") for i in range(300)]
+    stored += [(900, None), (901, ""), (902, " .,! "), (903, "long " * 20000 + "tail"), (904, "é Ünïted 日本")]
+    asked = [(i, t) for i, t in enumerate(texts[150:])] + [(1000, None), (1001, ""), (1002, "unheard-of"), (1003, "hot HOT text"), (1004, "ünïted tail")] * 2
+    cases_df = spark.createDataFrame(stored, "case_id long, text string")
+    index = casetext.CaseIndex(cases_df, k=3)
+    got = defaultdict(list)
+    for r in index.search(spark.createDataFrame(asked, "query_id long, text string")).collect():
+        got[r.query_id].append((r["rank"], -r.score, r.case_id))
+    expected = text_scores(stored, asked)
+    for q, best in expected.items():
+        copies = 2 if q >= 1000 else 1
+        assert sorted(got.get(q, [])) == sorted([(k + 1, *s) for k, s in enumerate(best[:3])] * copies), q
+    # Most of the pairs that share a word are left out.
+    plain = spark.createDataFrame([(q, t) for q, t in asked if t], "query_id long, text string")
+    weights = casetext._weighed(casetext._words(casetext._classes(plain, F.col("text"))), index.frequencies, index.cases).withColumnRenamed("cls", "q")
+    floor = weights.select("q").distinct().withColumn("floor", F.lit(0.8))
+    sharing = weights.join(index.postings.select("word", "cls"), "word").select("q", "cls").distinct().count()
+    assert index._partial(weights, floor).count() < sharing / 2
+    none = cases_df.where("case_id < 0")
+    assert casetext.top_cases_by_text(none, plain).count() == 0
+    assert index.search(plain.where("query_id < 0")).count() == 0
+
+
 def test_case_append_keeps_first_or_latest(spark):
     schema = "case_id string, content string, stored_at int"
     corpus = spark.createDataFrame([("a", "old", 1)], schema)
