@@ -114,35 +114,71 @@ def similarity(left: dict[str, Column], right: dict[str, Column]) -> Column:
 _GROUP = ["combo", "key"]
 
 
-def _near_titles(titles: DataFrame) -> DataFrame:
-    """Per title of a group: its other titles with Jaccard >= 1/2 and >= 1/5, counted in alerts,
-    and the smallest alert id of the latter.
+#: Titles of up to so many tokens are counted through their subsets; pairs with a longer one meet.
+SHORT = 7
+
+
+def _needed(m: Column, other: Column, least: Column) -> Column:
+    """Tokens two titles of ``m`` and ``other`` tokens must share for an index of 1 / ``least``."""
+    return F.ceil((m + other) / (least + 1)).cast("int")
+
 
-    Titles that share enough tokens share one of their rarest: a title of m tokens is listed
-    under its m - ceil(m t) + 1 rarest tokens of the group only, t being the index that matters
-    there (1/5 where all five fields are equal, 1/2 elsewhere). Titles of too different length
-    never meet.
+def _counted_titles(titles: DataFrame) -> DataFrame:
+    """Sums over a group's other short titles without meeting any of them.
+
+    Each title is listed under every subset of its tokens that may be shared enough; per subset and length
+    there is one row, however many titles contain it. From the numbers containing the subsets of a title
+    follow, by inclusion and exclusion, the numbers sharing at least so many tokens with it.
     """
-    held = titles.select(*_GROUP, F.explode("tokens").alias("token")).groupBy(*_GROUP, "token").agg(F.count(F.lit(1)).alias("held"))
-    payload = [*_GROUP, "title", "n_title", "first_id"]
+    m, mask = F.size("tokens"), F.col("mask")
+    listed = (
+        titles.where(m <= SHORT).select(*_GROUP, "title", "n_title", "first_id", "tokens", m.alias("m"), F.when(F.col("combo") == "hrsdo", 5).otherwise(2).alias("least"))
+        .withColumn("mask", F.explode(F.sequence(F.lit(1), F.shiftleft(F.lit(1), (SHORT)) - 1)))
+        .where((mask < F.expr("shiftleft(1, m)")) & (F.bit_count(mask) * F.col("least") >= F.col("m")))
+        .select(*_GROUP, "title", "n_title", "first_id", "m", "least", F.bit_count(mask).alias("i"), F.expr(f"array_join(filter(tokens, (t, p) -> getbit(mask, p) = 1), '{_SEP}')").alias("subset"))
+    )
+    holding = listed.groupBy(*_GROUP, "subset", F.col("m").alias("other_m")).agg(F.sum("n_title").alias("n"), F.min("first_id").alias("other_id"))
+    near = listed.join(holding, [*_GROUP, "subset"]).where((F.col("m") * F.col("least") >= F.col("other_m")) & (F.col("other_m") * F.col("least") >= F.col("m")))
+
+    def at_least(least: int) -> Column:
+        j, i = _needed(F.col("m"), F.col("other_m"), F.lit(least)), F.col("i")
+        ways = F.factorial(i - 1) / (F.factorial(j - 1) * F.factorial(i - j))
+        signed = F.when((i - j) % 2 == 0, ways).otherwise(-ways)
+        return F.sum(F.when(i >= j, F.round(signed).cast("long") * F.col("n")).otherwise(0))
+
+    exact = F.col("i") == _needed(F.col("m"), F.col("other_m"), F.lit(5))
+    # A title finds itself, too.
+    return near.groupBy(*_GROUP, "title", "n_title").agg(
+        at_least(2).alias("n_half"), at_least(5).alias("n_fifth"), F.min(F.when(exact, F.col("other_id"))).alias("near_id")
+    ).select(*_GROUP, "title", (F.col("n_half") - F.col("n_title")).alias("n_half"), (F.col("n_fifth") - F.col("n_title")).alias("n_fifth"), "near_id")
+
+
+def _met_titles(titles: DataFrame) -> DataFrame:
+    """The same sums over pairs of which at least one title is long.
+
+    Titles of m and L tokens that share k share one of their m - k + 1 and L - k + 1 rarest of the
+    group, so for each other length a title is listed under so many: a token that many long titles have
+    is a place to meet only if sharing the rarer ones alone could not suffice.
+    """
+    m = F.size("tokens")
+    sized = titles.select(*_GROUP, "title", "n_title", "first_id", "tokens", m.alias("m"), F.when(F.col("combo") == "hrsdo", 5).otherwise(2).alias("least"))
+    long_groups = sized.where(F.col("m") > SHORT).select(*_GROUP).distinct()
+    sized = sized.join(long_groups, _GROUP)
+    lengths = sized.select(*_GROUP, F.col("m").alias("other_m")).distinct()
+    held = sized.select(*_GROUP, F.explode("tokens").alias("token")).groupBy(*_GROUP, "token").agg(F.count(F.lit(1)).alias("held"))
+    payload = [*_GROUP, "title", "n_title", "first_id", "m", "least"]
     ranked = (
-        titles.select(*payload, F.explode("tokens").alias("token")).join(held, [*_GROUP, "token"])
+        sized.select(*payload, F.explode("tokens").alias("token")).join(held, [*_GROUP, "token"])
         .groupBy(*payload).agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("ranked"))
     )
-    m, least = F.size("ranked"), F.when(F.col("combo") == "hrsdo", 5).otherwise(2)
-    listed = ranked.select(
-        *payload, m.alias("m"), least.alias("least"),
-        F.explode(F.slice("ranked", F.lit(1), (m - F.ceil(m / least) + 1).cast("int"))).alias("r"),
-    ).select(*payload, "m", "least", "r.token")
+    fits = (F.greatest("m", "other_m") > SHORT) & (F.col("m") * F.col("least") >= F.col("other_m")) & (F.col("other_m") * F.col("least") >= F.col("m"))
+    rarest = F.slice("ranked", F.lit(1), F.col("m") - _needed(F.col("m"), F.col("other_m"), F.col("least")) + 1)
+    listed = ranked.join(lengths, _GROUP).where(fits).select(*payload, "other_m", F.explode(rarest).alias("r")).select(*payload, "other_m", "r.token")
     other = listed.select(
-        *_GROUP, "token", F.col("title").alias("other_title"), F.col("n_title").alias("n"),
-        F.col("first_id").alias("other_id"), F.col("m").alias("other_m"),
-    )
-    met = (
-        listed.join(other, [*_GROUP, "token"])
-        .filter((F.col("title") != F.col("other_title")) & (F.col("m") * F.col("least") >= F.col("other_m")) & (F.col("other_m") * F.col("least") >= F.col("m")))
-        .select(*_GROUP, "title", "other_title", "n", "other_id").distinct()
+        *_GROUP, "token", F.col("other_m").alias("m"), F.col("m").alias("other_m"), F.col("title").alias("other_title"),
+        F.col("n_title").alias("n"), F.col("first_id").alias("other_id"),
     )
+    met = listed.join(other, [*_GROUP, "token", "m", "other_m"]).where("title <> other_title").select(*_GROUP, "title", "other_title", "n", "other_id").distinct()
     shared, union = _overlap(F.split("title", _SEP), F.split("other_title", _SEP))
     fifth = shared * 5 >= union
     return met.groupBy(*_GROUP, "title").agg(
@@ -152,6 +188,14 @@ def _near_titles(titles: DataFrame) -> DataFrame:
     )
 
 
+def _near_titles(titles: DataFrame) -> DataFrame:
+    """Per title of a group: its other titles with Jaccard >= 1/2 and >= 1/5, counted in alerts,
+    and the smallest alert id of the latter and itself. Above 1/5 only all five equal fields matter.
+    """
+    both = _counted_titles(titles).unionByName(_met_titles(titles))
+    return both.groupBy(*_GROUP, "title").agg(F.sum("n_half").alias("n_half"), F.sum("n_fifth").alias("n_fifth"), F.min("near_id").alias("near_id"))
+
+
 def related_counts(alerts: DataFrame) -> DataFrame:
     """Per alert: number of duplicates and of related alerts among all others.
 

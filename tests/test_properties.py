@@ -53,6 +53,60 @@ def test_related_counts_against_all_pairs(spark):
     assert {r.alert_id: (r.cluster, r.duplicates, r.related, r.total_compared) for r in counts.collect()} == expected
 
 
+def near_by_hand(group):
+    out = {}
+    for t, _, _ in group:
+        a, half, fifth, ids = set(t.split()), 0, 0, []
+        for u, n, first in group:
+            b = set(u.split())
+            shared, union = len(a & b), len(a | b)
+            if 5 * shared >= union:
+                ids.append(first)
+                fifth += n * (u != t)
+            half += n * (u != t and 2 * shared >= union)
+        out[t] = (half, fifth, min(ids))
+    return out
+
+
+def titles_of(spark, groups):
+    rows = [(combo, "k", t.replace(" ", similarity._SEP), n, first, t.split()) for combo, group in groups.items() for t, n, first in group]
+    return spark.createDataFrame(rows, "combo string, key string, title string, n_title long, first_id string, tokens array<string>")
+
+
+def test_titles_counted_without_pairs(spark):
+    """Short and long titles, subsets of each other, some tokens in nearly all: sums equal all pairs."""
+    rnd = random.Random(8)
+    groups = {}
+    for combo in ("hrsdo", "hrs"):
+        seen = set()
+        while len(seen) < 160:
+            size = rnd.choice([1, 1, 2, 2, 3, 4, 5, 6, 7, 8, 9, 12, 20])
+            seen.add(" ".join(sorted({"t0" if rnd.random() < 0.3 else f"t{int(rnd.paretovariate(0.6)) % 60}" for _ in range(size)})))
+        groups[combo] = [(t, rnd.randrange(1, 4), f"a{rnd.randrange(10**6):06d}") for t in sorted(seen)]
+    got = {}
+    for r in similarity._near_titles(titles_of(spark, groups)).collect():
+        got[r.combo, r.title.replace(similarity._SEP, " ")] = (r.n_half, r.n_fifth, r.near_id)
+    for combo, group in groups.items():
+        for t, (half, fifth, near) in near_by_hand(group).items():
+            row = got.get((combo, t), (0, 0, None))
+            assert row[0] == half
+            if combo == "hrsdo":
+                first = next(f for u, _, f in group if u == t)
+                assert row[1] == fifth and min(first, row[2] or first) == near
+
+
+def test_one_token_shared_by_all_titles_of_a_group(spark):
+    """Each of 100,000 titles is a fifth like all others; no pair is ever made."""
+    n = 100_000
+    ids = spark.range(n)
+    titles = ids.select(
+        F.lit("hrsdo").alias("combo"), F.lit("k").alias("key"), F.concat(F.lit("hot" + similarity._SEP), F.col("id")).alias("title"), F.lit(1).cast("long").alias("n_title"),
+        F.lpad(F.col("id").cast("string"), 9, "0").alias("first_id"), F.array(F.lit("hot"), F.col("id").cast("string")).alias("tokens"),
+    )
+    out = similarity._near_titles(titles).agg(F.count(F.lit(1)), F.min("n_fifth"), F.max("n_fifth"), F.max("n_half"), F.max("near_id")).first()
+    assert tuple(out) == (n, n - 1, n - 1, 0, "000000000")
+
+
 def test_similar_to_against_all_pairs(spark):
     rows = random_alerts(150, seed=3)
     df = spark.createDataFrame(rows, SCHEMA)
