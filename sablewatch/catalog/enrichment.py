@@ -127,6 +127,25 @@ def enrich_geo(spark, sf):
     )
 
 
+_NARROWEST = " UNION ALL ".join(
+    f"""SELECT e.event_id, '{side}' AS side, g.country, g.asn, g.end_ip - g.start_ip AS width, g.start_ip
+      FROM sec_events e JOIN geo_overlaps g ON {_public(f'e.{side}_ip')} AND {_number(f'e.{side}_ip')} BETWEEN g.start_ip AND g.end_ip"""
+    for side in ("source", "destination")
+)
+
+
+@query(
+    "enrich_geo_overlaps",
+    f"""SELECT event_id, side, country, asn FROM
+      (SELECT *, row_number() OVER (PARTITION BY event_id, side ORDER BY width, start_ip, country, asn) AS place FROM ({_NARROWEST}) x) y WHERE place = 1""",
+)
+def enrich_geo_overlaps(spark, sf):
+    """Where ranges overlap the narrowest holds an address."""
+    out = enrich.with_geo_by_block(view(spark, sf, "sec_events"), view(spark, sf, "geo_overlaps"))
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{side}_ip_geo").alias("geo")) for side in ("source", "destination")])
+    return out.select("event_id", F.explode(sides).alias("s")).where("s.geo is not null").select("event_id", "s.side", "s.geo.country", "s.geo.asn")
+
+
 _ENRICHED = f"""SELECT e.event_id, a.criticality AS asset_criticality,
   coalesce(u.department, CASE WHEN {_SVC} THEN 'IT' WHEN e.user_name IS NOT NULL THEN 'Unknown' END) AS user_department,
   concat_ws(',', CASE WHEN {_bad_ip('e.source_ip')} THEN 'ip:' || e.source_ip END, CASE WHEN {_bad_ip('e.destination_ip')} THEN 'ip:' || e.destination_ip END,

@@ -241,6 +241,17 @@ FROM (SELECT n_nationkey, n_name, n_nationkey + 25 * j AS i FROM (SELECT n_natio
 WHERE i < 256
 """
 
+# Overlapping ranges: nested ones, neighbours that cross, equal bounds, and one that holds all.
+VIEWS["geo_overlaps"] = """
+SELECT start_ip, end_ip, country, asn FROM geo_ranges
+UNION ALL SELECT cast(0 AS bigint), cast(4294967295 AS bigint), 'ANYWHERE', 'AS0'
+UNION ALL SELECT k * 16777216 + (c_custkey % 256) * 65536 + (c_custkey % 7) * 40, k * 16777216 + (c_custkey % 256) * 65536 + (c_custkey % 7) * 40 + 70000 * (1 + c_custkey % 3),
+  n_name, 'AS' || cast(1000 + c_custkey % 50 AS string)
+FROM (SELECT c_custkey, n_name, cast(CASE c_custkey % 6 WHEN 0 THEN 185 WHEN 1 THEN 8 WHEN 2 THEN 45 WHEN 3 THEN 93 WHEN 4 THEN 10 ELSE 172 END AS bigint) AS k
+  FROM customer JOIN nation ON n_nationkey = c_nationkey) x
+UNION ALL SELECT 3111944192 + c_custkey * 64, 3111944192 + c_custkey * 64 + 63, 'LAB', 'AS' || cast(c_custkey % 3 AS string) FROM customer WHERE c_custkey < 500
+"""
+
 VIEWS["node_writes"] = """
 SELECT 'Asset' AS node_type, hostname AS node_id, 'criticality' AS prop,
   CASE k % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS val, event_timestamp AS written_at, event_id AS seq

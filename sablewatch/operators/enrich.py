@@ -7,12 +7,16 @@ join shuffles.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import evaluated_once, ipv4_number, is_private_number, is_service_account, non_empty, picked, rows_of
+from ..session import materialised
 from .detect import contains_any
 
 # --- fixed values of the built-in threat rules ---------------------------------------
@@ -250,27 +254,96 @@ def built_in_feed(spark) -> DataFrame:
 # --- geolocation ------------------------------------------------------------------------
 
 
-def locate(ips: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Narrowest range that holds each distinct public address of column ``ip``.
-
-    The range join becomes an equi-join on the upper 16 bits: a range is listed once per
-    /16 it touches, an address probes one, and the bounds are the residual test.
+#: IPv4 addresses of a block, in which ranges are cut and looked up.
+BLOCK_BITS = 16
+
+
+def _sweep(batches):
+    """Ranges of each block in the order of their starts to disjoint intervals, the narrowest on top."""
+    def intervals(rows):
+        block, heap, at, last = None, [], 0, None
+
+        def upto(limit):
+            """Intervals from ``at`` to before ``limit``; adjoining ones of one range are joined."""
+            nonlocal at, last
+            while heap and at < limit:
+                if heap[0][3] < at:
+                    heapq.heappop(heap)
+                    continue
+                _, _, order, end, geo = heap[0]
+                end = min(end, limit - 1)
+                if last is not None and last[4] == order and last[2] + 1 == at:
+                    last = (*last[:2], end, *last[3:])
+                else:
+                    if last is not None:
+                        yield last[:4]
+                    last = (block, at, end, geo, order)
+                at = end + 1
+            at = max(at, limit)
+
+        for number, row in enumerate(rows):
+            if row["block"] != block:
+                yield from upto(1 << 32)
+                if last is not None:
+                    yield last[:4]
+                block, at, last = row["block"], row["lo"], None
+                heap.clear()
+            yield from upto(row["lo"])
+            heapq.heappush(heap, (row["width"], row["start"], (row["tie"], number), row["hi"], row["geo"]))
+        yield from upto(1 << 32)
+        if last is not None:
+            yield last[:4]
+
+    def packed(rows, kind):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), kind))], names=["block", "lo", "hi", "geo"])
+
+    kinds, held = [], []
+
+    def rows():
+        for batch in batches:
+            kinds[:1] = [batch.schema.field("geo").type]
+            yield from batch.to_pylist()
+
+    for interval in intervals(rows()):
+        held.append(interval)
+        if len(held) >= 5000:
+            yield packed(held, kinds[0])
+            held.clear()
+    if held:
+        yield packed(held, kinds[0])
+
+
+def disjoint_ranges(ranges: DataFrame) -> DataFrame:
+    """Ranges ``(start_ip, end_ip, ...)`` as disjoint intervals ``(block, lo, hi, geo)``, cut at blocks of 65,536 addresses.
+
+    Where ranges overlap the narrowest wins, of equally wide ones that with the smaller start, of equal ones the
+    least payload. Of ranges that agree inside a block only the winner is kept before the shuffle, so a block
+    never holds more than its different cuts. Ranges without a bound, or ending before they start, hold no address.
     """
     payload = [c for c in ranges.columns if c not in ("start_ip", "end_ip")]
+    size, top = 1 << BLOCK_BITS, (1 << 32) - 1
+    clean = ranges.where("start_ip <= end_ip").where((F.col("end_ip") >= 0) & (F.col("start_ip") <= top)).select(
+        F.greatest("start_ip", F.lit(0)).cast("long").alias("first"), F.least("end_ip", F.lit(top)).cast("long").alias("final"),
+        (F.col("end_ip") - F.col("start_ip")).cast("long").alias("width"), F.col("start_ip").cast("long").alias("start"), F.struct(*payload).alias("geo"),
+    )
+    cut = clean.withColumn("block", F.explode(F.sequence(F.shiftright("first", BLOCK_BITS), F.shiftright("final", BLOCK_BITS)))).select(
+        "block", F.greatest("first", F.col("block") * size).alias("lo"), F.least("final", F.col("block") * size + size - 1).alias("hi"),
+        F.struct("width", "start", F.to_json("geo").alias("tie"), "geo").alias("own"),
+    )
+    best = cut.groupBy("block", "lo", "hi").agg(F.min_by("own", F.struct("own.width", "own.start", "own.tie")).alias("own")).select("block", "lo", "hi", "own.*")
+    out = T.StructType([*[T.StructField(c, T.LongType()) for c in ("block", "lo", "hi")], T.StructField("geo", best.schema["geo"].dataType)])
+    return best.repartition("block").sortWithinPartitions("block", "lo", "width").mapInArrow(_sweep, out)
+
+
+def locate(ips: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Narrowest range that holds each distinct public address of column ``ip``: an equi-join on
+    the upper 16 bits finds the one interval that holds it."""
     public = (
         evaluated_once(ips.select("ip").distinct(), ipv4_number(F.col("ip")), "n")
         .filter(F.col("n").isNotNull() & ~is_private_number(F.col("n")))
-        .withColumn("block", F.shiftright("n", 16))
-    )
-    blocks = ranges.withColumn(
-        "block", F.explode(F.sequence(F.shiftright("start_ip", 16), F.shiftright("end_ip", 16)))
-    )
-    return (
-        public.join(blocks, "block")
-        .filter(F.col("n").between(F.col("start_ip"), F.col("end_ip")))
-        .groupBy("ip")
-        .agg(F.min_by(F.struct(*payload), F.struct(F.col("end_ip") - F.col("start_ip"), "start_ip")).alias("geo"))
+        .withColumn("block", F.shiftright("n", BLOCK_BITS).cast("long"))
     )
+    return public.join(disjoint_ranges(ranges), "block").filter(F.col("n").between(F.col("lo"), F.col("hi"))).select("ip", "geo")
 
 
 def with_geo(events: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -287,34 +360,19 @@ def with_geo_by_block(events: DataFrame, ranges: DataFrame) -> DataFrame:
     """Same result as :func:`with_geo` by one lookup per address; fits a stream, and a batch of
     which the events are already enriched, as it reads them once.
 
-    The ranges are gathered per /16 block, a unique key, so the left join keeps every event
-    even where ranges overlap; a block holds the ranges inside 65,536 addresses.
+    A block's disjoint intervals are one row, a unique key, so the left join keeps every event. They
+    are as many as the block's addresses at most, however many ranges overlap there.
     """
-    payload = [c for c in ranges.columns if c not in ("start_ip", "end_ip")]
-    blocks = (
-        ranges.withColumn(
-            "block", F.explode(F.sequence(F.shiftright("start_ip", 16), F.shiftright("end_ip", 16)))
-        )
-        .groupBy("block")
-        .agg(
-            F.collect_list(
-                F.struct(
-                    (F.col("end_ip") - F.col("start_ip")).alias("width"), "start_ip", "end_ip",
-                    F.struct(*payload).alias("geo"),
-                )
-            ).alias("ranges")
-        )
-    )
+    cuts = materialised(disjoint_ranges(ranges), "geo-intervals")
+    blocks = cuts.groupBy("block").agg(F.collect_list(F.struct("lo", "hi", "geo")).alias("intervals"))
     for name in ("source_ip", "destination_ip"):
         columns = events.columns
         number = ipv4_number(F.col(name))
         keyed = evaluated_once(events, number, "n").withColumn(
-            "block", F.when(~is_private_number(F.col("n")), F.shiftright("n", 16))
-        )
-        holding = F.filter("ranges", lambda r: F.col("n").between(r["start_ip"], r["end_ip"]))
-        events = keyed.join(blocks, "block", "left").select(
-            *columns, F.array_min(holding)["geo"].alias(f"{name}_geo")
+            "block", F.when(~is_private_number(F.col("n")), F.shiftright("n", BLOCK_BITS).cast("long"))
         )
+        holding = F.filter("intervals", lambda r: F.col("n").between(r["lo"], r["hi"]))
+        events = keyed.join(blocks, "block", "left").select(*columns, F.get(holding, F.lit(0))["geo"].alias(f"{name}_geo"))
     return events
 
 

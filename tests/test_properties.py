@@ -1,5 +1,6 @@
 """Operators against brute force on small random data, hot groups included."""
 
+import bisect
 import datetime as dt
 import math
 import random
@@ -331,6 +332,26 @@ def test_enrichment_keeps_every_event(spark, sf):
     assert enrich.unenriched(events, assets).count() + enrich.enriched_only(events, assets).count() == events.count()
 
 
+def test_flattened_ranges_against_every_address(spark):
+    """Nested, crossing, equal, repeated and broken ranges; a third of them share one block."""
+    rnd = random.Random(12)
+    base, rows = 185 << 24, [(0, (1 << 32) - 1, "all"), (5, 4, "broken"), (None, 9, "broken"), (-9, -1, "below"), (1 << 33, 1 << 34, "above"), (-5, 70_000, "low"), ((1 << 32) - 9, (1 << 32) + 99, "high")]
+    for i in range(250):
+        start = base + rnd.randrange(3 * 65536) if i % 3 else base + rnd.randrange(300)
+        rows.append((start, start + int(rnd.paretovariate(0.5)) % 150_000, f"g{rnd.randrange(40)}"))
+    rows += rows[-30:] + [(*r[:2], "other") for r in rows[-20:]]
+    ranges = spark.createDataFrame(rows, "start_ip long, end_ip long, country string")
+    flat = sorted((r.lo, r.hi, r.geo.country) for r in enrich.disjoint_ranges(ranges).where(F.col("block").between(base >> 16, (base >> 16) + 5)).collect())
+    assert all(a[1] < b[0] for a, b in zip(flat, flat[1:])) and flat[0][0] == base and flat[-1][1] == base + 6 * 65536 - 1
+    starts = [f[0] for f in flat]
+    for n in [base + rnd.randrange(6 * 65536) for _ in range(2000)] + [base, base + 65535, base + 65536]:
+        best = min((e - s, s, c) for s, e, c in rows if s is not None and s <= n <= e)
+        lo, hi, country = flat[bisect.bisect_right(starts, n) - 1]
+        assert lo <= n <= hi and country == best[2]
+    edge = {r.lo: r.geo.country for r in enrich.disjoint_ranges(ranges).where("block in (0, 1, 65535)").collect()}
+    assert edge[0] == "low" and edge[70_001] == "all" and edge[(1 << 32) - 9] == "high"
+
+
 def test_both_geo_lookups_agree(spark, sf):
     events = view(spark, sf, "sec_events").select("event_id", "source_ip", "destination_ip")
     ranges = view(spark, sf, "geo_ranges").unionByName(
