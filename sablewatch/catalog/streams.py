@@ -87,16 +87,24 @@ def st_window_distinct(spark, sf):
     return _drained(spark, jobs.window_distinct(_events(spark, sf), "hostname"), "distinct")
 
 
+_JUDGED = "metric string, observed_at timestamp, seq long, value double, n long, mean double, std double, z_score double, is_anomaly boolean, reason string"
+
+
 @query("st_alert_cooldown", COOLDOWN_SQL)
 def st_alert_cooldown(spark, sf):
     alerts = view(spark, sf, "alerts", streamed=True)
     key = F.concat_ws(":", "severity", "title")
-    return _drained(spark, stateful.alert_cooldown(alerts, key, "created_at", "alert_id"), "cooldown")
+    root = shared_dir(spark, "cooldown")
+    stateful.alert_cooldown(alerts, key, "created_at", "alert_id", root, "sent", f"{root}/checkpoint", drain=True).awaitTermination()
+    return stateful.result(spark, root, "sent", "key string, id string, sent_at timestamp").drop("batch")
 
 
 @query("st_metric_baseline", _anomaly_sql("ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING", "observed_at, seq"))
 def st_metric_baseline(spark, sf):
-    return _rounded(_drained(spark, stateful.metric_anomalies(view(spark, sf, "metrics", streamed=True)), "baseline"))
+    root = shared_dir(spark, "baseline")
+    metrics = view(spark, sf, "metrics", streamed=True)
+    stateful.metric_anomalies(metrics, root, "judged", f"{root}/checkpoint", drain=True).awaitTermination()
+    return _rounded(stateful.result(spark, root, "judged", _JUDGED))
 
 
 @query(

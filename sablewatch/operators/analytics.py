@@ -132,23 +132,52 @@ def _deviation(n: Column, s1: Column, s2: Column) -> Column:
     return F.sqrt(F.greatest((s2 - s1 * s1 / n) / (n - 1), F.lit(0.0)))
 
 
+def moments_after(judged: DataFrame, prior: DataFrame) -> DataFrame:
+    """Per metric ``(metric, n, mean, m2, low, high)`` of all values judged so far: those of ``prior``
+    and the ones just judged."""
+    new = judged.groupBy("metric").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("value")).alias("m2"),
+        F.min("value").alias("low"), F.max("value").alias("high"),
+    ).where("n > 0")
+    n = F.sum("n")
+    mean = F.sum(F.col("n") * (F.col("mean") - F.col("first"))) / n + F.max("first")
+    both = prior.unionByName(new).withColumn("first", F.min("mean").over(W.partitionBy("metric")))
+    merged = both.groupBy("metric").agg(
+        n.alias("n"), mean.alias("mean"),
+        (F.sum("m2") + F.sum(F.col("n") * (F.col("mean") - F.col("first")) ** 2) - F.sum(F.col("n") * (F.col("mean") - F.col("first"))) ** 2 / n).alias("m2"),
+        F.min("low").alias("low"), F.max("high").alias("high"),
+    )
+    return merged.withColumn("m2", F.greatest("m2", F.lit(0.0)))
+
+
 def anomalies(
-    metrics: DataFrame, z: float = Z_THRESHOLD, sensitivity: float = SENSITIVITY, slice_seconds: int = MINUTE
+    metrics: DataFrame, z: float = Z_THRESHOLD, sensitivity: float = SENSITIVITY, slice_seconds: int = MINUTE, prior: DataFrame | None = None
 ) -> DataFrame:
     """Each value against the baseline of all earlier values of its metric.
 
     Two levels: sums of whole earlier slices come from a small per-slice table, and the
     running window covers one (metric, slice) only. A metric with a third of all rows is
-    thereby spread over as many tasks as it has slices.
+    thereby spread over as many tasks as it has slices. ``prior`` gives moments
+    (``moments_after``) of values that came before all of these.
     """
     metrics = _numbers_only(metrics)
     small = _slices(metrics, slice_seconds)
     before = W.partitionBy("metric").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    prior = small.select(
+    before_all = small.select(
         "metric", "slice", "centre",
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"p_{c}") for c in ("n", "s1", "s2")],
         F.min("low").over(before).alias("p_low"), F.max("high").over(before).alias("p_high"),
     )
+    if prior is not None:
+        # Moments around the mean they had, moved to the centre used here (their own where no value has one).
+        earlier = prior.select("metric", *[F.col(c).alias(f"e_{c}") for c in ("n", "mean", "m2", "low", "high")])
+        centre = F.coalesce("centre", "e_mean")
+        away, n = F.coalesce(F.col("e_mean") - centre, F.lit(0.0)), F.coalesce("e_n", F.lit(0))
+        before_all = before_all.join(earlier, "metric", "left").select(
+            "metric", "slice", centre.alias("centre"), (F.col("p_n") + n).alias("p_n"), (F.col("p_s1") + n * away).alias("p_s1"),
+            (F.col("p_s2") + F.coalesce("e_m2", F.lit(0.0)) + n * away * away).alias("p_s2"),
+            F.least("p_low", "e_low").alias("p_low"), F.greatest("p_high", "e_high").alias("p_high"),
+        )
     off = F.col("value") - F.col("centre")
     inside = W.partitionBy("metric", "slice").orderBy("observed_at", "seq").rowsBetween(W.unboundedPreceding, -1)
 
@@ -157,7 +186,7 @@ def anomalies(
 
     rows = (
         metrics.withColumn("slice", bucket_of(F.col("observed_at"), slice_seconds))
-        .join(prior, ["metric", "slice"])
+        .join(before_all, ["metric", "slice"])
         .select(
             "metric", "observed_at", "seq", "value", "centre",
             running(F.when(F.col("value").isNotNull(), 1), "p_n").alias("n"), running(off, "p_s1").alias("s1"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -53,3 +55,28 @@ def send_alerts(
     else:
         writer = writer.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
     return _start(writer, interval, drain)
+
+
+def by_batch(
+    stream: DataFrame, write: Callable[[DataFrame, int, str], None], path: str, checkpoint: str,
+    interval: str = LAKE_TRIGGER, drain: bool = False,
+) -> StreamingQuery:
+    """Call ``write(rows, batch, folder)`` for each trigger, each with a folder of its own below ``path``.
+
+    A trigger that failed is repeated with the same rows and number, so a writer that overwrites its
+    folder delivers each row once.
+    """
+    folder = f"{path.rstrip('/')}/batch={{}}".format
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, batch: write(rows, batch, folder(batch)))
+    return _start(writer, interval, drain)
+
+
+def written(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+    """All rows a ``by_batch`` query wrote, with their batch."""
+    return spark.read.schema(f"{schema}, batch long").format(fmt).load(path)
+
+
+def progress(query: StreamingQuery) -> DataFrame:
+    """The query's recent triggers that had input: ``(batch, rows)``. Spark keeps the last hundred."""
+    rows = [(p["batchId"], p["numInputRows"]) for p in query.recentProgress if p["numInputRows"]]
+    return SparkSession.active().createDataFrame(rows, "batch long, rows long")

@@ -1,116 +1,99 @@
-"""Stateful stream operators: cooldown and running baseline per key."""
+"""Stateful stream operators: cooldown and running baseline per key.
+
+State is a table: each trigger reads the version the one before it wrote and writes its own. A
+trigger's rows go through the operators batch uses, which split a hot key over tasks, so no worker
+ever holds a key's rows, not even while a stream catches up.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..operators.analytics import COOLDOWN_MINUTES, SENSITIVITY, Z_THRESHOLD, threshold
-
-
-def _cooldown(gap: int):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        # Only instants and ids are kept of the key's rows in this trigger.
-        rows = pd.concat([b[["t", "id"]] for b in batches]).sort_values(["t", "id"])
-        times, ids = rows["t"].to_numpy(), rows["id"].to_numpy()
-        ready = state.get[0] + gap if state.exists else np.iinfo(np.int64).min
-        i, sent = int(np.searchsorted(times, ready, side="left")), []
-        while i < len(times):
-            sent.append(i)
-            i = int(np.searchsorted(times, times[i] + gap, side="left"))
-        if sent:
-            last = int(times[sent[-1]])
-            state.update((last,))
-            yield pd.DataFrame({"key": key[0], "t": times[sent], "id": ids[sent]})
-        elif state.exists:
-            last = state.get[0]
-        else:
-            return
-        # Once the watermark is past the cooldown the key cannot suppress anything.
-        wake = (last + gap) // 1000 + 1
-        if wake > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(wake)
-        else:
-            state.remove()
-
-    return step
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators import analytics
+from ..operators.analytics import COOLDOWN_MINUTES, SENSITIVITY, Z_THRESHOLD
+from .sinks import by_batch, written, zone_path
+
+#: (rows of a trigger, state before) -> (rows to write, (the written rows) -> state after)
+Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]]
+
+
+def run_stateful(
+    stream: DataFrame, step: Step, state: T.StructType, root: str, name: str, checkpoint: str, drain: bool = False, **more
+) -> StreamingQuery:
+    """Write what ``step`` makes of each trigger to the curated zone, with its state beside it.
+
+    Both are written under the trigger's number, so a trigger that is repeated after a failure replaces
+    what it wrote. The folder belongs to this checkpoint: a fresh checkpoint needs a fresh one.
+    """
+    spark = stream.sparkSession
+    version = f"{root.rstrip('/')}/state/{name}/batch={{}}".format
+
+    def trigger(rows: DataFrame, batch: int, path: str) -> None:
+        before = spark.read.schema(state).parquet(version(batch - 1)) if batch else spark.createDataFrame([], state)
+        out, after = step(rows, before)
+        out.write.mode("overwrite").parquet(path)
+        # The state follows from what was just written, not from a second run over the trigger's rows.
+        after(spark.read.schema(out.schema).parquet(path)).write.mode("overwrite").parquet(version(batch))
+
+    return by_batch(stream, trigger, zone_path(root, "curated", name), checkpoint, drain=drain, **more)
+
+
+COOLDOWN_STATE = T.StructType([T.StructField("key", T.StringType()), T.StructField("last_sent", T.LongType())])
 
 
 def alert_cooldown(
-    alerts: DataFrame, key: Column, time: str, tie: str, minutes: int = COOLDOWN_MINUTES, lateness: str = "10 minutes"
-) -> DataFrame:
-    """Alerts to send: none with the same key within the cooldown after a sent one.
+    alerts: DataFrame, key: Column, time: str, tie: str, root: str, name: str, checkpoint: str,
+    minutes: int = COOLDOWN_MINUTES, lateness_minutes: int = 10, drain: bool = False,
+) -> StreamingQuery:
+    """Alerts to send ``(key, id, sent_at)``: none with the same key within the cooldown after a sent one.
 
-    State is one timestamp per key and is dropped when it can no longer matter.
+    State is one instant per key; it goes once an alert has come that is later by more than cooldown and
+    lateness. An alert older than its key's last sent one counts as within the cooldown.
     """
-    gap = minutes * 60_000_000
-    keyed = alerts.withWatermark(time, lateness).select(
-        key.alias("key"), F.col(time), F.unix_micros(time).alias("t"), F.col(tie).cast("string").alias("id")
-    )
-    sent = keyed.groupBy("key").applyInPandasWithState(
-        _cooldown(gap), "key string, t long, id string", "last_sent long", "append", GroupStateTimeout.EventTimeTimeout
-    )
-    return sent.select("key", "id", F.timestamp_micros("t").alias("sent_at"))
-
-
-def _baseline(limit: float):
-    names = ["metric", "seq", "value", "n", "mean", "std", "z_score", "is_anomaly", "reason"]
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([b[["t", "seq", "value"]] for b in batches]).sort_values(["t", "seq"])
-        value = rows["value"].to_numpy(dtype="float64")
-        valid = ~np.isnan(value)  # NULL and NaN get no verdict and enter no baseline
-        n0, mean0, m20, low0, high0 = state.get if state.exists else (0, 0.0, 0.0, np.inf, -np.inf)
-        centre = mean0 if n0 else value[valid][0] if valid.any() else 0.0
-        off = np.where(valid, value - centre, 0.0)
-        # Sums of everything before each row, around a fixed centre.
-        n = n0 + np.cumsum(valid) - valid
-        s1 = np.concatenate([[0.0], np.cumsum(off)[:-1]])
-        s2 = m20 + np.concatenate([[0.0], np.cumsum(off * off)[:-1]])
-        low = np.minimum.accumulate(np.concatenate([[low0], np.where(valid, value, np.inf)]))[:-1]
-        high = np.maximum.accumulate(np.concatenate([[high0], np.where(valid, value, -np.inf)]))[:-1]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            mean = np.where(low == high, low, centre + s1 / n)
-            var = np.maximum((s2 - s1 * s1 / n) / (n - 1), 0.0)
-            std = np.where(n == 0, np.nan, np.where(low == high, 0.0, np.sqrt(var)))
-            mean = np.where(n == 0, np.nan, mean)
-            z = np.where(std > 0, np.abs(value - mean) / std, np.nan)
-        flat = std == 0
-        odd = np.where((n == 0) | ~valid, False, np.where(flat, value != mean, np.nan_to_num(z, nan=0.0) > limit))
-        reason = [
-            "no_value" if not v else "no_baseline" if a == 0 else "zero_variance" if f else f"z_score_{s:.2f}" if o else "within_baseline"
-            for v, a, f, s, o in zip(valid, n, flat, z, odd)
-        ]
-        total = n0 + int(valid.sum())
-        end1, end2 = off.sum(), m20 + (off * off).sum()
-        new_mean = centre + end1 / max(total, 1)
-        state.update(
-            (int(total), float(new_mean), float(max(end2 - end1 * end1 / max(total, 1), 0.0)), float(np.min(value[valid], initial=low0)), float(np.max(value[valid], initial=high0)))
-        )
-        yield pd.DataFrame(
-            dict(zip(names, [key[0], rows["seq"].to_numpy(), value, n, mean, std, z, odd.astype(bool), reason]))
-        )
-
-    return step
+    gap, late = minutes * 60_000_000, lateness_minutes * 60_000_000
+
+    def step(rows: DataFrame, before: DataFrame):
+        keyed = rows.select(key.alias("key"), F.col(time).alias("at"), F.col(tie).alias("id"))
+        open_ = keyed.join(before, "key", "left").where(F.col("last_sent").isNull() | (F.unix_micros("at") >= F.col("last_sent") + gap))
+        sent = analytics.cooldown(open_, F.col("key"), "at", "id", minutes)
+        newest = keyed.agg(F.max(F.unix_micros("at"))).first()[0]
+
+        def after(sent: DataFrame) -> DataFrame:
+            both = before.unionByName(sent.select("key", F.unix_micros("sent_at").alias("last_sent")))
+            latest = both.groupBy("key").agg(F.max("last_sent").alias("last_sent"))
+            return latest if newest is None else latest.where(F.col("last_sent") + gap + late >= newest)
+
+        return sent, after
+
+    return run_stateful(alerts, step, COOLDOWN_STATE, root, name, checkpoint, drain)
+
+
+BASELINE_STATE = T.StructType([
+    T.StructField("metric", T.StringType()), T.StructField("n", T.LongType()),
+    *[T.StructField(c, T.DoubleType()) for c in ("mean", "m2", "low", "high")],
+])
 
 
 def metric_anomalies(
-    metrics: DataFrame, z: float = Z_THRESHOLD, sensitivity: float = SENSITIVITY
-) -> DataFrame:
-    """Each value against the running baseline of its metric; state is five numbers."""
-    keyed = metrics.select("metric", F.unix_micros("observed_at").alias("t"), "seq", "value")
-    out = keyed.groupBy("metric").applyInPandasWithState(
-        _baseline(threshold(z, sensitivity)),
-        "metric string, seq long, value double, n long, mean double, std double, z_score double, is_anomaly boolean, reason string",
-        "n long, mean double, m2 double, low double, high double", "append", GroupStateTimeout.NoTimeout,
-    )
-    numbers = [F.nullif(F.col(c), F.lit(float("nan"))).alias(c) for c in ("value", "mean", "std", "z_score")]
-    return out.select("metric", "seq", numbers[0], "n", *numbers[1:], "is_anomaly", "reason")
+    metrics: DataFrame, root: str, name: str, checkpoint: str, z: float = Z_THRESHOLD, sensitivity: float = SENSITIVITY, drain: bool = False
+) -> StreamingQuery:
+    """Each value against the running baseline of its metric; state is five numbers a metric.
+
+    Triggers count in the order they come, the values of one trigger in the order of time.
+    """
+
+    def step(rows: DataFrame, before: DataFrame):
+        out = analytics.anomalies(rows.select("metric", "observed_at", "seq", "value"), z, sensitivity, prior=before)
+        return out, lambda out: analytics.moments_after(out, before)
+
+    return run_stateful(metrics, step, BASELINE_STATE, root, name, checkpoint, drain)
+
+
+def result(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """What a stateful query has written so far."""
+    return written(spark, zone_path(root, "curated", name), schema)

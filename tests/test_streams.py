@@ -89,7 +89,11 @@ def test_stream_cooldown_over_batches(spark):
     for i in range(0, len(rows), step):
         write_batches(spark, f"{root}/in", [spark.createDataFrame(rows[i : i + step], schema)])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    out = drain(spark, stateful.alert_cooldown(stream, F.col("key"), "at", "id"), root)
+    stateful.alert_cooldown(stream, F.col("key"), "at", "id", root, "sent", f"{root}/cp", drain=True).awaitTermination()
+    out = stateful.result(spark, root, "sent", "key string, id string, sent_at timestamp")
+    # Keys that can suppress nothing more are gone from the last state.
+    kept = spark.read.parquet(f"{root}/state/sent/batch=3").count()
+    assert out.select("batch").distinct().count() == 4 and 0 < kept < 10
     assert {(r["key"], r["id"]) for r in out.collect()} == sent_by_brute_force(rows)
 
 
@@ -100,7 +104,10 @@ def test_stream_baseline_equals_batch(spark):
     for i in range(0, 120, 40):
         write_batches(spark, f"{root}/in", [spark.createDataFrame(rows[i : i + 40], schema)])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    got = {r.seq: r for r in drain(spark, stateful.metric_anomalies(stream), root).collect()}
+    stateful.metric_anomalies(stream, root, "judged", f"{root}/cp", drain=True).awaitTermination()
+    out = stateful.result(spark, root, "judged", "metric string, seq long, n long, mean double, std double, is_anomaly boolean, reason string")
+    assert out.select("batch").distinct().count() == 3
+    got = {r.seq: r for r in out.collect()}
     for r in analytics.anomalies(spark.createDataFrame(rows, schema)).collect():
         other = got[r.seq]
         assert (r.n, r.is_anomaly, r.reason) == (other.n, other.is_anomaly, other.reason)
