@@ -1,12 +1,13 @@
 """Streaming jobs run over the events table until it is drained; the written result is returned."""
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..fixtures.views import view
 from ..functions import severity_rank
 from ..session import shared_dir
 from ..sources import parse_flat_events
-from ..streaming import jobs, sinks, stateful
+from ..streaming import jobs, sinks, sources, stateful
 from .analytics import COOLDOWN_SQL, WINDOW_SQL, _anomaly_sql, _rounded
 from .enrichment import _ASSET_KEY, _GEO_JOIN
 from .registry import query
@@ -128,14 +129,104 @@ def st_dedup_replay(spark, sf):
     return kept.groupBy("topic", "offset").agg(F.count(F.lit(1)).alias("deliveries"))
 
 
+_BROKEN = "(event_id % 37 = 0 OR event_id % 41 = 0 OR event_id % 43 = 0 OR event_id % 47 = 0 OR event_id % 53 = 0)"
+
+
+def _detected(spark, sf):
+    root = shared_dir(spark, "alerts")
+    jobs.detect_with_dead_letters(view(spark, sf, "stream_mixed_in", streamed=True), root, f"{root}/checkpoint", drain=True).awaitTermination()
+    return root
+
+
 @query(
     "st_detect_to_sink",
-    """SELECT sha256('alert:' || event_id) AS key, 'Suspicious activity: ' || coalesce(process_name, 'Unknown process') AS title, severity
-      FROM sec_events WHERE lower(severity) IN ('high', 'critical') OR event_id % 9 IN (0, 1, 7)""",
+    f"""SELECT sha256('alert:' || event_id) AS key, 'Suspicious activity: ' || coalesce(process_name, 'Unknown process') AS title, severity
+      FROM sec_events WHERE NOT {_BROKEN} AND (lower(severity) IN ('high', 'critical') OR event_id % 9 IN (0, 1, 7))""",
 )
 def st_detect_to_sink(spark, sf):
-    root = shared_dir(spark, "alerts")
-    alerts = jobs.detections(view(spark, sf, "stream_in", streamed=True))
-    sinks.send_alerts(alerts, f"{root}/checkpoint", path=f"{root}/messages", drain=True).awaitTermination()
-    sent = spark.read.schema("key string, value string").json(f"{root}/messages")
+    """Alerts of a stream with broken messages in it, as sent."""
+    sent = sinks.written(spark, sinks.zone_path(_detected(spark, sf), "curated", "alert_messages"), jobs.SENT_ALERTS, "json")
     return sent.select("key", *[F.get_json_object("value", f"$.{f}").alias(f) for f in ("title", "severity")])
+
+
+@query(
+    "st_dead_letter",
+    f"""SELECT 'soc.events.raw' AS topic, event_id % 4 AS partition, event_id AS "offset",
+       CASE WHEN event_id % 37 <> 0 AND event_id % 41 = 0 THEN 'empty message' ELSE 'not JSON' END AS reject_reason FROM sec_events WHERE {_BROKEN}""",
+)
+def st_dead_letter(spark, sf):
+    """The messages of the same stream that could not be used, each with its place and reason."""
+    dead = sinks.written(spark, sinks.zone_path(_detected(spark, sf), "raw", "dead_letters"), jobs.DEAD_LETTERS)
+    return dead.select("topic", "partition", "offset", "reject_reason")
+
+
+def _in_files(spark, sf, root):
+    """The messages as four files in the order of their partitions, as if they had come one after the other."""
+    messages = view(spark, sf, "stream_in").drop("event_id")
+    for part in range(4):
+        messages.where(F.col("partition") == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return sources.file_stream(spark, f"{root}/in", files_per_trigger=1, schema=messages.schema)
+
+
+class _Stopped(Exception):
+    """The failure the checkpoint query provokes."""
+
+
+@query(
+    "st_checkpoint",
+    """SELECT event_id % 4 AS partition, event_id AS "offset", cast(1 AS bigint) AS deliveries, event_id % 4 AS batch FROM sec_events""",
+)
+def st_checkpoint(spark, sf):
+    """Messages of a query that fails after writing its second trigger, before that is committed, and is started again.
+
+    The repeated trigger replaces what it wrote: each message is there once, in the trigger of its file.
+    """
+    root = shared_dir(spark, "restart")
+    stream = _in_files(spark, sf, root).select("partition", "offset")
+    path, tries = f"{root}/out", []
+
+    def write(rows, batch, folder):
+        rows.write.mode("overwrite").parquet(folder)
+        tries.append(batch)
+        if tries == [0, 1]:
+            raise _Stopped("stopped between writing and committing")
+
+    for attempt in range(2):
+        try:
+            sinks.by_batch(stream, write, path, f"{root}/checkpoint", drain=True).awaitTermination()
+        except StreamingQueryException:
+            if attempt or tries != [0, 1]:
+                raise
+    if tries != [0, 1, 1, 2, 3]:
+        raise RuntimeError(f"triggers ran as {tries}")
+    delivered = sinks.written(spark, path, "partition int, offset long")
+    return delivered.groupBy("partition", "offset").agg(F.count(F.lit(1)).alias("deliveries"), F.max("batch").alias("batch"))
+
+
+@query("st_rate_limit", """SELECT event_id % 4 AS batch, count(*) AS rows FROM sec_events GROUP BY ALL""")
+def st_rate_limit(spark, sf):
+    """Rows of each trigger when the source gives one file a trigger."""
+    root = shared_dir(spark, "rate")
+    running = sinks.append_to_zone(_in_files(spark, sf, root), root, "raw", "messages", f"{root}/checkpoint", drain=True)
+    running.awaitTermination()
+    return sinks.progress(running)
+
+
+@query(
+    "st_triggers",
+    """SELECT t AS "trigger", count(*) AS batches, cast(sum(n) AS bigint) AS rows FROM (VALUES ('available now'), ('1 second')) v(t),
+      (SELECT event_id % 4 AS part, count(*) AS n FROM sec_events GROUP BY ALL) x GROUP BY t""",
+)
+def st_triggers(spark, sf):
+    """Triggers and rows of the same query drained at once, and by processing time until nothing is left."""
+    root = shared_dir(spark, "triggers")
+    stream, found = _in_files(spark, sf, root), []
+    for name, drain in (("available now", True), ("1 second", False)):
+        place = f"{root}/{name.replace(' ', '-')}"
+        running = sinks.append_to_zone(stream, place, "raw", "messages", f"{place}/checkpoint", interval="1 second", drain=drain)
+        try:
+            running.processAllAvailable() if not drain else running.awaitTermination()
+            found.append(sinks.progress(running).withColumn("trigger", F.lit(name)))
+        finally:
+            running.stop()
+    return found[0].unionByName(found[1]).groupBy("trigger").agg(F.count(F.lit(1)).alias("batches"), F.sum("rows").alias("rows"))

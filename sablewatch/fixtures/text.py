@@ -170,6 +170,13 @@ SELECT event_id, cast(event_id AS string) AS key,
 FROM sec_events
 """
 
+# The same with unusable ones among them: cut off, missing, blank, with more behind the object, no object.
+VIEWS["stream_mixed_in"] = """
+SELECT event_id, key, CASE WHEN event_id % 37 = 0 THEN substr(value, 1, 40) WHEN event_id % 41 = 0 THEN NULL WHEN event_id % 43 = 0 THEN ' '
+   WHEN event_id % 47 = 0 THEN value || ' {}' WHEN event_id % 53 = 0 THEN '[1, 2]' ELSE value END AS value, topic, partition, offset, timestamp
+FROM stream_in
+"""
+
 VIEWS["alerts"] = """
 SELECT H['alert:' || cast(event_id AS string)] AS alert_id, event_id, k,
   'Suspicious activity: ' || coalesce(process_name, 'Unknown process') AS title,

@@ -47,6 +47,18 @@ def by_id(rows: DataFrame, id_col: str, value: str) -> DataFrame:
     return rows.filter(F.col(id_col) == value)
 
 
+def write_for_lookup(rows: DataFrame, id_col: str, path: str, group_bytes: int | None = None) -> DataFrame:
+    """Write rows so that :func:`by_id` reads little: files hold ranges of ids, row groups are sorted by
+    id and carry a Bloom filter of it. Statistics rule out files and groups whose range does not hold an id,
+    the filters those that merely could. Returns the table as read back.
+    """
+    writer = rows.repartitionByRange(id_col).sortWithinPartitions(id_col).write.option(f"parquet.bloom.filter.enabled#{id_col}", "true")
+    if group_bytes is not None:
+        writer = writer.option("parquet.block.size", group_bytes)
+    writer.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def page(rows: DataFrame, limit: int = 50, offset: int = 0, newest: str = "created_at", tie: str = "alert_id") -> DataFrame:
     """One page, newest first, with the total of the filtered rows in each row."""
     total = rows.agg(F.count(F.lit(1))).scalar()

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import analytics, enrich
 from ..operators.detect import stream_detections
-from ..operators.records import alert_rows
+from ..operators.records import alert_messages, alert_rows
 from ..sources import parse_flat_events
+from ..sources.topics import quarantine_flat
+from .sinks import ALERT_TRIGGER, by_batch, zone_path
 
 # --- fixed values: lateness and window -------------------------------------------------
 LATENESS, WINDOW = "10 minutes", "5 minutes"
@@ -20,6 +23,33 @@ def detections(messages: DataFrame, strict: bool = False) -> DataFrame:
     return alert_rows(stream_detections(parse_flat_events(messages), strict))
 
 
+def detect_with_dead_letters(
+    messages: DataFrame, root: str, checkpoint: str, strict: bool = False, interval: str = ALERT_TRIGGER, drain: bool = False
+) -> StreamingQuery:
+    """One query, two tables: alerts of the usable messages to the curated zone as JSON messages, and the
+    others with their reason and place to ``raw/dead_letters``.
+
+    Both are written under the trigger's number, so a repeated trigger delivers nothing twice and loses nothing.
+    """
+    dead = f"{zone_path(root, 'raw', 'dead_letters')}/batch={{}}".format
+
+    def write(rows: DataFrame, batch: int, path: str) -> None:
+        rows = rows.persist()
+        try:
+            good, bad = quarantine_flat(rows)
+            alert_messages(detections(good, strict)).write.mode("overwrite").json(path)
+            bad.select("topic", "partition", "offset", F.col("value").cast("string").alias("value"), "timestamp", "reject_reason").write.mode("overwrite").parquet(dead(batch))
+        finally:
+            rows.unpersist()
+
+    return by_batch(messages, write, zone_path(root, "curated", "alert_messages"), checkpoint, interval, drain)
+
+
+#: Schemas of the two tables, for ``sinks.written``.
+SENT_ALERTS = "key string, value string"
+DEAD_LETTERS = "topic string, partition int, offset long, value string, timestamp timestamp, reject_reason string"
+
+
 def window_counts(events: DataFrame, lateness: str = LATENESS, window: str = WINDOW) -> DataFrame:
     """Five-minute aggregates with a watermark; distinct counts are approximate."""
     return analytics.windowed(events.withWatermark("event_timestamp", lateness), exact=False, window=window)
