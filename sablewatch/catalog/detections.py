@@ -1,10 +1,13 @@
 """Detection rules and command-line analysis."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..fixtures.text import AS_OF
 from ..fixtures.views import view
 from ..operators import commands, detect, triage, workflow
+from ..session import shared_dir
 from .registry import query
 
 _SEVERE = "coalesce(lower(severity) IN ('high', 'critical'), false)"
@@ -169,6 +172,17 @@ def pred_benign_process(spark, sf):
     return triage.benign_indicators(view(spark, sf, "alert_event_ids"), view(spark, sf, "sec_events"))
 
 
+@query(
+    "alert_by_id",
+    "SELECT alert_id, title, severity, status FROM alerts WHERE alert_id = sha256('alert:9')",
+)
+def alert_by_id(spark, sf):
+    """One alert out of the table kept for lookups."""
+    alerts = view(spark, sf, "alerts").select("alert_id", "title", "severity", "status")
+    stored = workflow.write_for_lookup(alerts, "alert_id", shared_dir(spark, "alerts-by-id"))
+    return workflow.by_id(stored, "alert_id", hashlib.sha256(b"alert:9").hexdigest())
+
+
 @query("filter_alerts", "SELECT alert_id, status, severity FROM alerts WHERE status = 'investigating' AND severity = 'high'")
 def filter_alerts(spark, sf):
     found = workflow.filtered(view(spark, sf, "alerts"), status="investigating", severity="high")

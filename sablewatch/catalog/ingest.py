@@ -6,6 +6,8 @@ from ..fixtures.text import AS_OF
 from ..fixtures.views import view
 from ..functions import numeric_severity, severity_rank
 from ..operators import records
+from ..plans import flow
+from ..session import materialised, shared_dir
 from ..sources import default_registry, latest_indicators, normalise, parse_flat_events, parse_topics, quarantine
 from ..sources.products import EDR_TOPIC, GENERIC_TOPIC, NDR_TOPIC, PRODUCTS, SIEM_TOPIC
 from ..sources.topics import CORRUPT
@@ -287,3 +289,32 @@ def alert_from_submission(spark, sf):
 )
 def incident_from_alerts(spark, sf):
     return records.manual_incidents(view(spark, sf, "incident_alerts"))
+
+
+@query(
+    "flow_batch",
+    f"""WITH m AS (SELECT count(*) AS n, count(*) FILTER (NOT json_valid(value)) AS bad FROM messages_in)
+      SELECT name, CASE name WHEN 'canonical' THEN n WHEN 'rejected' THEN bad WHEN 'enriched' THEN n - bad END AS rows, cast(0 AS bigint) AS repeated, cast(0 AS bigint) AS changed
+      FROM m, (VALUES ('canonical'), ('rejected'), ('violations'), ('enriched'), ('alerts'), ('tasks'), ('escalations'), ('sent')) t(name)""",
+)
+def flow_batch(spark, sf):
+    """The whole flow, run twice as one batch: its tables, ids that came up twice, and tables the second run changed."""
+    root, seen = shared_dir(spark, "flow"), []
+    for _ in range(2):
+        tables = flow.run_batch(
+            view(spark, sf, "messages_in").drop("event_id"), root, view(spark, sf, "assets"), view(spark, sf, "users"), view(spark, sf, "geo_ranges"),
+            batch="2024-01", as_of=F.lit(AS_OF).cast("timestamp"),
+        )
+        total = None
+        for name, df in tables.items():
+            ids = {"rejected": ["topic", "partition", "offset"], "tasks": ["task_id"], "alerts": ["alert_id"], "escalations": ["alert_id"], "sent": ["alert_id"]}.get(name, ["event_id"])
+            kept = [c for c in df.columns if c not in ("processing_time", "ingested_at")]
+            one = df.select(F.xxhash64(F.to_json(F.struct(*kept))).alias("h"), F.xxhash64(*ids).alias("id")).agg(
+                F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"), F.sum(F.col("h").cast("decimal(38,0)")).alias("content"),
+            )
+            total = one if total is None else total.unionByName(one)
+        seen.append(materialised(total, "flow-content"))
+    before = seen[0].select("name", F.col("rows").alias("was"), F.col("content").alias("had"))
+    same = (F.col("rows") == F.col("was")) & F.col("content").eqNullSafe(F.col("had"))
+    counted = F.when(F.col("name").isin("canonical", "rejected", "enriched"), F.col("rows"))
+    return seen[1].join(before, "name").select("name", counted.alias("rows"), (F.col("rows") - F.col("ids")).alias("repeated"), (~same).cast("bigint").alias("changed"))

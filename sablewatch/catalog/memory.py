@@ -240,6 +240,18 @@ def events_per_alert_head(spark, sf):
     return workflow.event_heads(view(spark, sf, "alert_event_ids"), view(spark, sf, "sec_events"))
 
 
+@query(
+    "routing_summary",
+    f"""WITH h AS (SELECT i.alert_id, e.*, row_number() OVER (PARTITION BY i.alert_id ORDER BY i.event_id) AS line_no
+        FROM alert_event_ids i JOIN sec_events e ON e.event_id = i.event_id),
+      s AS (SELECT alert_id, string_agg('- ' || event_type || ': ' || source_system || ' (' || lower(coalesce(severity, 'medium')) || ') at ' || {_T('event_timestamp')}, chr(10) ORDER BY line_no) AS lines
+        FROM h WHERE line_no <= 10 GROUP BY alert_id)
+      SELECT a.alert_id, coalesce(s.lines, 'No related events') AS summary FROM alerts a LEFT JOIN s ON s.alert_id = a.alert_id""",
+)
+def routing_summary(spark, sf):
+    return workflow.routing_summaries(view(spark, sf, "alerts"), view(spark, sf, "alert_event_ids"), view(spark, sf, "sec_events"))
+
+
 @query(
     "alert_status_current",
     f"""WITH t AS (SELECT *, lag(status) OVER (PARTITION BY alert_id ORDER BY changed_at, step) AS from_status,

@@ -133,8 +133,8 @@ def _counted_titles(titles: DataFrame) -> DataFrame:
     m, mask = F.size("tokens"), F.col("mask")
     listed = (
         titles.where(m <= SHORT).select(*_GROUP, "title", "n_title", "first_id", "tokens", m.alias("m"), F.when(F.col("combo") == "hrsdo", 5).otherwise(2).alias("least"))
-        .withColumn("mask", F.explode(F.sequence(F.lit(1), F.shiftleft(F.lit(1), (SHORT)) - 1)))
-        .where((mask < F.expr("shiftleft(1, m)")) & (F.bit_count(mask) * F.col("least") >= F.col("m")))
+        .withColumn("mask", F.explode(F.sequence(F.lit(1), F.expr("shiftleft(1, m) - 1"))))
+        .where(F.bit_count(mask) * F.col("least") >= F.col("m"))
         .select(*_GROUP, "title", "n_title", "first_id", "m", "least", F.bit_count(mask).alias("i"), F.expr(f"array_join(filter(tokens, (t, p) -> getbit(mask, p) = 1), '{_SEP}')").alias("subset"))
     )
     holding = listed.groupBy(*_GROUP, "subset", F.col("m").alias("other_m")).agg(F.sum("n_title").alias("n"), F.min("first_id").alias("other_id"))

@@ -31,6 +31,7 @@ PROCEDURES = {
         "Plan recovery actions",
     )),
 }
+NO_EVENTS = "No related events"
 # --------------------------------------------------------------------------------------
 
 
@@ -165,6 +166,24 @@ def event_heads(alert_events: DataFrame, events: DataFrame, size: int = 5) -> Da
     return heads.join(events, "event_id").select("alert_id", "line_no", line.alias("line"))
 
 
+def routing_summaries(alerts: DataFrame, alert_events: DataFrame, events: DataFrame, size: int = 10) -> DataFrame:
+    """Per alert the text of its first events a router is shown, one line each, or that there are none.
+
+    At most ``size`` lines per alert meet in one row, whatever the number of its events; events
+    that are not stored take no line.
+    """
+    stored = alert_events.join(events.select("event_id", "event_type", "source_system", "severity", "event_timestamp"), "event_id")
+    first = W.partitionBy("alert_id").orderBy("event_id")
+    line = F.concat(
+        F.lit("- "), F.col("event_type"), F.lit(": "), F.col("source_system"), F.lit(" ("), F.lower(F.coalesce("severity", F.lit("medium"))),
+        F.lit(") at "), F.date_format("event_timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+    )
+    heads = stored.withColumn("line_no", F.row_number().over(first)).filter(F.col("line_no") <= size)
+    lines = heads.groupBy("alert_id").agg(F.sort_array(F.collect_list(F.struct("line_no", line.alias("line")))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
+    return alerts.select("alert_id").join(lines, "alert_id", "left").select("alert_id", F.coalesce(text, F.lit(NO_EVENTS)).alias("summary"))
+
+
 def event_span(alert_events: DataFrame, events: DataFrame) -> DataFrame:
     """First and last event time and number of stored events per alert."""
     return (

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stable_id
-from ..operators import detect, enrich, triage
+from ..operators import analytics, detect, enrich, quality, similarity, triage
+from ..schemas import SEVERITIES
 from ..sources import normalise, quarantine
 from ..streaming.sinks import zone_path
 
@@ -24,42 +25,95 @@ def triaged_alerts(events: DataFrame, *keep: str) -> DataFrame:
     return triage.rule_scores(hits.withColumn("alert_id", stable_id(F.lit("alert"), F.col("event_id"), F.col("rule"))))
 
 
-def write_zone(df: DataFrame, root: str, zone: str, name: str, time: str | None = None, mode: str = "append") -> DataFrame:
-    """Write one zone table, partitioned by date, and return it as read back.
+def write_zone(df: DataFrame, root: str, zone: str, name: str, time: str | None = None, batch: str = "0") -> DataFrame:
+    """Write a batch's part of one zone table, by date, and return that part as read back.
 
-    Later stages read the written table, so parsing and joins run once and a lost executor
-    costs no recomputation beyond its own stage. The date keeps scans prunable; rows are
+    A batch owns the folder of its name in each table and replaces it, so running a batch again changes
+    nothing but that. Later stages read the written table, so parsing and joins run once and a lost
+    executor costs no recomputation beyond its own stage. The date keeps scans prunable; rows are
     placed by it so a day becomes few large files.
     """
-    path = zone_path(root, zone, name)
+    path = f"{zone_path(root, zone, name)}/batch={batch}"
+    writer = df.write
     if time is not None:
         df = df.withColumn("date", F.to_date(time))
         # REBALANCE sizes the output by date and splits a date that holds most rows.
-        df = df.hint("rebalance", "date")
-        df.write.mode(mode).partitionBy("date").parquet(path)
-    else:
-        df.write.mode(mode).parquet(path)
-    return df.sparkSession.read.parquet(path)
+        writer = df.hint("rebalance", "date").write.partitionBy("date")
+    writer.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def zone_table(spark: SparkSession, root: str, zone: str, name: str) -> DataFrame:
+    """A whole zone table: the parts of all batches."""
+    return spark.read.parquet(zone_path(root, zone, name))
+
+
+#: What a canonical event must meet to go on; a critical failure keeps it back.
+FLOW_RULES = (
+    quality.Rule("not_null", "event_id", "critical"), quality.Rule("not_null", "timestamp", "critical"),
+    quality.Rule("not_null", "event_type", "critical"), quality.Rule("in_set", "severity", "error", options={"values": SEVERITIES}),
+    quality.Rule("not_null", "hostname", "warning"),
+)
+
+
+def contract_gate(good: DataFrame, root: str, batch: str, rules=FLOW_RULES, contract: quality.Contract | None = None, as_of=None):
+    """Events that may go on, what the others and the merely doubtful failed, and the gate's verdict.
+
+    ``contract`` adds its rules and may halt the batch; without one only the rows with a critical failure stay back.
+    """
+    rules = (*rules, *(contract.rules if contract else ()))
+    validated = write_zone(quality.validate(good, rules, F.current_timestamp() if as_of is None else as_of), root, "raw", "validated", "timestamp", batch)
+    violations = write_zone(
+        quality.worst_severity(validated).select("event_id", "timestamp", "worst_severity", "failed_count", "failed_rules"),
+        root, "raw", "violations", "timestamp", batch,
+    )
+    critical = F.exists("results", lambda r: ~r["passed"] & (r["severity"] == "critical"))
+    verdict = quality.gate(validated, contract, halt_on_critical=False) if contract else None
+    proceed = verdict is None or verdict.first()["proceed"]
+    return validated.where(~critical).drop("results"), violations, proceed
+
+
+def deduplicated(alerts: DataFrame) -> DataFrame:
+    """Alerts with the cluster they belong to and whether they are its first (least id)."""
+    compared = alerts.select(
+        "alert_id", F.col("rule").alias("detection_rule"), *[c for c in similarity.FIELDS.values() if c != "detection_rule"], "title"
+    )
+    clusters = similarity.related_counts(compared).select("alert_id", "cluster", "duplicates")
+    return alerts.join(clusters, "alert_id").withColumn("is_first", F.col("cluster") == F.col("alert_id"))
+
+
+_ALERT_COLUMNS = ("event_timestamp", "techniques", "process_hash", "source_ip", "destination_ip", "hostname")
 
 
 def run_batch(
-    messages: DataFrame, root: str, assets: DataFrame, users: DataFrame, ranges: DataFrame
+    messages: DataFrame, root: str, assets: DataFrame, users: DataFrame, ranges: DataFrame, batch: str = "0",
+    contract: quality.Contract | None = None, as_of=None,
 ) -> dict[str, DataFrame]:
-    """One batch through raw, enriched and curated zones; returns the written tables."""
-    canonical = write_zone(normalise(messages), root, "raw", "events", "timestamp")
+    """One batch through raw, enriched and curated zones; returns the batch's part of each table.
+
+    Broken messages go to ``rejected``, events that fail the gate stay in ``violations``; duplicates of an alert
+    stay in ``alerts`` but only the first of a cluster makes tasks and escalations, and ``sent`` holds
+    those no equal alert was sent shortly before. A batch its contract halts ends after the gate. Running a batch
+    again replaces its parts; with the same messages (and ``as_of``) nothing changes.
+    """
+    canonical = write_zone(normalise(messages), root, "raw", "events", "timestamp", batch)
     good, bad = quarantine(canonical)
-    rejected = write_zone(bad, root, "raw", "rejected")
+    rejected = write_zone(bad, root, "raw", "rejected", batch=batch)
+    passing, violations, proceed = contract_gate(good.drop("date"), root, batch, contract=contract, as_of=as_of)
+    out = {"canonical": canonical, "rejected": rejected, "violations": violations}
+    if not proceed:
+        return out
     steps = enrich.default_enrichment(assets, users, ranges)
-    enriched = write_zone(steps.apply(detectable(good.drop("date"))), root, "enriched", "events", "event_timestamp")
-    alerts = write_zone(triaged_alerts(enriched, "event_timestamp", "techniques"), root, "curated", "alerts", "event_timestamp")
-    found = alerts.withColumn("tactics", F.col("techniques.tactic_name"))
-    tasks = write_zone(triage.routed_tasks(found), root, "curated", "tasks")
-    judged = triage.escalations(found.withColumn("techniques", F.col("techniques.technique_id")))
-    escalated = write_zone(judged.filter("escalate"), root, "curated", "escalations")
-    return {
-        "canonical": canonical, "rejected": rejected, "enriched": enriched, "alerts": alerts, "tasks": tasks,
-        "escalations": escalated,
-    }
+    enriched = write_zone(steps.apply(detectable(passing.drop("date"))), root, "enriched", "events", "event_timestamp", batch)
+    found = triaged_alerts(enriched, *_ALERT_COLUMNS)
+    alerts = write_zone(deduplicated(found), root, "curated", "alerts", "event_timestamp", batch)
+    first = alerts.where("is_first").withColumn("tactics", F.col("techniques.tactic_name"))
+    tasks = write_zone(triage.routed_tasks(first), root, "curated", "tasks", batch=batch)
+    judged = triage.escalations(first.withColumn("techniques", F.col("techniques.technique_id")))
+    escalated = write_zone(judged.filter("escalate"), root, "curated", "escalations", batch=batch)
+    sent = analytics.cooldown(first, F.concat_ws(":", "severity", "title"), "event_timestamp", "alert_id")
+    sent = write_zone(sent.withColumnRenamed("id", "alert_id"), root, "curated", "sent", "sent_at", batch)
+    return out | {"enriched": enriched, "alerts": alerts, "tasks": tasks, "escalations": escalated, "sent": sent}
 
 
 def overview(messages: DataFrame, assets: DataFrame, users: DataFrame) -> DataFrame:

@@ -1,11 +1,19 @@
 """The joined-up batch flow, the driver contract and the registered names."""
 
+import datetime as dt
+import hashlib
+import json
+
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from sablewatch.catalog import ORACLES, QUERIES
 from sablewatch.fixtures.views import view
-from sablewatch.operators import triage
+from sablewatch.operators import quality, triage, workflow
 from sablewatch.plans import flow
+from sablewatch.schemas import ENVELOPE
 from sablewatch.session import shared_dir
+from sablewatch.sources.products import GENERIC_TOPIC
 
 
 def test_entry(spark):
@@ -27,10 +35,68 @@ def test_batch_flow_writes_the_zones(spark, sf):
     counts = {name: df.count() for name, df in out.items()}
     assert counts["canonical"] == 1000
     assert counts["enriched"] + counts["rejected"] == counts["canonical"]
-    assert 0 < counts["alerts"] <= counts["enriched"] and counts["tasks"] >= 2 * counts["alerts"]
+    first = out["alerts"].filter("is_first")
+    assert 0 < counts["alerts"] <= counts["enriched"] and counts["tasks"] >= 2 * first.count()
     assert "date" in out["enriched"].columns and "date" in out["alerts"].columns
-    severe = out["alerts"].filter("severity in ('critical', 'high')").count()
-    assert severe <= counts["escalations"] <= counts["alerts"]
+    severe = first.filter("severity in ('critical', 'high')").count()
+    assert severe <= counts["escalations"] <= first.count() <= counts["alerts"]
+    assert 0 < counts["sent"] <= first.count()
+    assert out["sent"].join(first, "alert_id", "left_anti").count() == 0
+
+
+def envelope(spark, bodies):
+    at = dt.datetime(2024, 1, 5)
+    rows = [(str(i), json.dumps(b), GENERIC_TOPIC, 0, i, at) for i, b in enumerate(bodies)]
+    return spark.createDataFrame(rows, ENVELOPE)
+
+
+def test_batches_replace_only_themselves_and_contracts_halt(spark, sf):
+    root, dims = shared_dir(spark, "lake"), [view(spark, sf, n) for n in ("assets", "users", "geo_ranges")]
+    def body(second, severity="critical"):
+        return {"timestamp": f"2024-01-0{1 + second // 60}T10:00:{second % 60:02d}Z", "event_type": "process", "severity": severity}
+
+    def table(name, zone="curated"):
+        return flow.zone_table(spark, root, zone, name)
+
+    flow.run_batch(envelope(spark, [body(s) for s in (1, 2, 61)]), root, *dims, batch="a")
+    flow.run_batch(envelope(spark, [body(s) for s in (3,)]), root, *dims, batch="b")
+    assert table("events", "enriched").groupBy("batch").count().orderBy("batch").collect() == [("a", 3), ("b", 1)]
+    # A corrected batch has fewer days: nothing of its first run stays.
+    flow.run_batch(envelope(spark, [body(s) for s in (1,)]), root, *dims, batch="a")
+    assert table("events", "enriched").groupBy("batch").count().orderBy("batch").collect() == [("a", 1), ("b", 1)]
+    rule = quality.Rule("not_null", "hostname", "critical")
+    strict = quality.Contract("strict", "1", "p", rules=(rule,), halt_pipeline=True)
+    out = flow.run_batch(envelope(spark, [body(9)]), root, *dims, batch="c", contract=strict)
+    assert set(out) == {"canonical", "rejected", "violations"} and out["violations"].first().worst_severity == "critical"
+    # Without the halt, only the row with the critical failure stays back.
+    lenient = quality.Contract("lenient", "1", "p", rules=(rule,))
+    assert flow.run_batch(envelope(spark, [body(9)]), root, *dims, batch="d", contract=lenient)["enriched"].count() == 0
+
+
+def test_lookup_reads_few_rows(spark):
+    rows = spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 256).alias("alert_id"), "id")
+    stored = workflow.write_for_lookup(rows, "alert_id", shared_dir(spark, "lookup"), group_bytes=1 << 20)
+    wanted = hashlib.sha256(b"77777").hexdigest()
+    found = workflow.by_id(stored, "alert_id", wanted)
+    plan = found._jdf.queryExecution().executedPlan()
+    assert f"EqualTo(alert_id,{wanted[:40]}" in plan.toString()
+    assert [r.id for r in found.collect()] == [77777]
+    leaves, read = plan.collectLeaves(), 0
+    for i in range(leaves.size()):
+        read += leaves.apply(i).metrics().apply("numOutputRows").value()
+    assert 0 < read < 20_000
+    # An id inside every range that no group holds: the filters rule all groups out.
+    assert workflow.by_id(stored, "alert_id", hashlib.sha256(b"no such id").hexdigest()).count() == 0
+
+
+def test_routing_summary_has_ten_lines(spark):
+    at = dt.datetime(2024, 1, 1, 0, 0, 5)
+    events = spark.createDataFrame([(i, "dns", "zeek", "High" if i else None, at) for i in range(30)], "event_id long, event_type string, source_system string, severity string, event_timestamp timestamp")
+    links = spark.createDataFrame([("a", i) for i in range(30)] + [("b", 0), ("b", 99), ("c", 99)], "alert_id string, event_id long")
+    alerts = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "alert_id string")
+    got = {r.alert_id: r.summary for r in workflow.routing_summaries(alerts, links, events).collect()}
+    assert got["a"].split("\n")[1:] == ["- dns: zeek (high) at 2024-01-01 00:00:05.000000"] * 9
+    assert got["b"] == "- dns: zeek (medium) at 2024-01-01 00:00:05.000000" and got["c"] == got["d"] == "No related events"
 
 
 def test_tasks_follow_the_techniques_tactics(spark):
