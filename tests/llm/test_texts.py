@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sablewatch.llm import language, lines, near, phrases, pii, secrets
+from sablewatch.llm import language, lines, near, phrases, pii
 
 
 def key(line):
@@ -216,19 +216,6 @@ def test_pseudonyms_are_a_permutation(spark):
     assert odd.select(F.expr(pii.digits("d", "'t'", "k")).alias("x")).distinct().count() == 1000
 
 
-def test_secret_scan(make_docs):
-    rng = random.Random(4)
-    secret = lambda: "".join(rng.choices("abcdef0123456789", k=24))
-    rows = [f"some words password={secret()} and more" for _ in range(40)] + ["an " + "wordlike" * 3 + " here" for _ in range(40)]
-    rows += ["key AKIA" + "".join(rng.choices("ABCDEFGHIJ234567", k=16)) + " here" for _ in range(10)] + [None, "", "short"]
-    got = secrets.scan(make_docs(rows)).collect()
-    assert {r.doc_id for r in got} >= set(range(40)) and not {r.doc_id for r in got} & set(range(40, 80))
-    assert secrets.scan(make_docs([])).count() == secrets.scan(make_docs([None, ""])).count() == 0
-    docs = make_docs(rows)
-    found = secrets.candidates(docs).select("doc_id", "n").withColumn("label", (F.col("doc_id") >= 40).cast("int"))
-    assert {r.doc_id for r in secrets.scan(docs, found).collect()} >= set(range(40, 80))  # labels decide
-
-
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
