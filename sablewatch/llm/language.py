@@ -1,8 +1,9 @@
 """Language by cross-parsing entropy.
 
 A suffix automaton of labelled text stands for each language. A document is parsed from left to
-right into the longest pieces found in that text; the language that needs the fewest pieces for
-each character wins.
+right into the longest pieces found in that text. Its pieces are divided by those the language needs for
+as much text of its own that its automaton has not seen, since automata of more text find longer
+pieces in anything; the language with the fewest normalised pieces wins.
 """
 
 from __future__ import annotations
@@ -15,11 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sablewatch.llm.base import per_worker, slices
+from sablewatch.session import materialised
 
 #: The bounded training sample: passages of each language and characters of each passage.
 PASSAGES, PASSAGE_CHARS = 150, 400
-#: A text whose pieces are shorter than this on average for every language is in none of them.
-LEAST_PIECE = 1.5
+#: More languages than this cannot be held by a worker: learning then fails.
+LANGUAGES = 500
+#: Parts of a language's text that are parsed by the automaton of the others, to learn its rate.
+FOLDS = 4
+#: A text that needs more than so many times its language's pieces, and so many more, is in none.
+FOREIGN, SPARE = 2.2, 10
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -83,9 +89,14 @@ def training_text(labelled: DataFrame, passages: int = PASSAGES, chars: int = PA
     ``labelled`` has text and lang. Copies count once, however many there are.
     """
     rows = labelled.select("lang", "text", F.xxhash64("text").alias("at")).where("text is not null and lang is not null")
-    order = Window.partitionBy("lang").orderBy("at")
-    first = rows.select("lang", "at").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= passages)
-    chosen = F.broadcast(first.select("lang", "at"))
+    # The first of each salt, then of the language: a hot language is many groups first.
+    first = rows.select("lang", "at").distinct().withColumn("salt", F.pmod("at", F.lit(32)))
+    for by in (("lang", "salt"), ("lang",)):
+        first = first.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("at"))).where(F.col("k") <= passages)
+    first = materialised(first.select("lang", "at"), "language-sample")
+    if (n := first.select("lang").distinct().count()) > LANGUAGES:
+        raise ValueError(f"{n} languages; at most {LANGUAGES} can be learnt")
+    chosen = F.broadcast(first)  # at most LANGUAGES x passages rows
     start = F.pmod(F.xxhash64("at"), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
     cut = F.col("text").substr(start.cast("int"), F.lit(chars))
     sample = rows.join(chosen, ["lang", "at"]).groupBy("lang", "at").agg(F.min(cut).alias("text"))
@@ -95,19 +106,40 @@ def training_text(labelled: DataFrame, passages: int = PASSAGES, chars: int = PA
     return {lang: "\n".join(parts) for lang, parts in sorted(out.items())}
 
 
-def _judge(text: str | None, models: dict[str, dict]) -> tuple[str, float, float]:
-    """Language, score and characters per piece."""
+def rate(text: str, folds: int = FOLDS) -> float:
+    """Pieces per character that a language needs for its own text, each part of it parsed by the
+    automaton of the other parts; less one standard error of the count, so that a language of which
+    little is known does not win by a rate that came out high."""
+    words = text.split()
+    size = max(1, len(words) // (folds * 8))
+    parts = [" ".join(words[i : i + size]) + " " for i in range(0, len(words), size)]
+    cost = length = 0
+    for fold in range(min(folds, len(parts))):
+        held = "".join(parts[fold::folds])
+        cost += pieces(held, suffix_automaton("\n".join(p for i, p in enumerate(parts) if i % folds != fold)))
+        length += len(held)
+    return cost / length * (1 - 1 / (1 + cost) ** 0.5) if cost else 1.0
+
+
+def learnt(sample: dict[str, str]) -> dict[str, tuple[str, float]]:
+    """Text and rate of each language."""
+    return {lang: (text, rate(text)) for lang, text in sample.items()}
+
+
+def _judge(text: str | None, models: dict[str, tuple[dict, float]]) -> tuple[str, float, bool]:
+    """Language, score, and whether the text is in that language at all."""
     letters = plain(text)
     if not letters or not models:
-        return "und", 0.0, 0.0
-    cost = sorted((pieces(letters, root), lang) for lang, root in models.items())
-    best = cost[0][0]
-    second = cost[1][0] if len(cost) > 1 else len(letters) + 1
-    return cost[0][1], max(0.0, 1 - best / second), len(letters) / best
+        return "und", 0.0, False
+    cost = sorted((pieces(letters, root) / own, lang) for lang, (root, own) in models.items())
+    best, lang = cost[0]
+    second = cost[1][0] if len(cost) > 1 else (len(letters) + 1) / models[lang][1]
+    own = models[lang][1]
+    return lang, max(0.0, 1 - best / second), best * own <= FOREIGN * own * len(letters) + SPARE
 
 
 def _models(shared):
-    return per_worker("languages", shared.value, lambda: {k: suffix_automaton(v) for k, v in shared.value.items()})
+    return per_worker("languages", shared.value, lambda: {k: (suffix_automaton(v), own) for k, (v, own) in shared.value.items()})
 
 
 def predict(docs: DataFrame, sample: dict[str, str]) -> DataFrame:
@@ -115,10 +147,10 @@ def predict(docs: DataFrame, sample: dict[str, str]) -> DataFrame:
 
     ``sample`` is bounded (``training_text``) and broadcast. Null texts and texts without a letter
     are ``und`` with score 0, as is all if nothing was learnt. The score is the share of pieces
-    the winner saves over the next language; equal costs go to the first in alphabet, score 0.
+    the winner saves over the next language, both normalised; equal costs go to the first in alphabet, score 0.
     Repeated rows stay; other columns are not looked at; no rows give no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(sample)
+    shared = docs.sparkSession.sparkContext.broadcast(learnt(sample))
 
     def run(batches):
         models = _models(shared)
@@ -133,23 +165,18 @@ def predict(docs: DataFrame, sample: dict[str, str]) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, schema)
 
 
-def stage(docs: DataFrame, least_piece: float = LEAST_PIECE) -> DataFrame:
-    """The documents in a known language: those without letters, or in none of the learnt
-    languages (pieces shorter than ``least_piece``), go. Without labels nothing but ``und`` goes."""
+def stage(docs: DataFrame) -> DataFrame:
+    """The documents in a known language. Those without letters go, and those that need far more
+    pieces than text of the winning language does (FOREIGN, SPARE). Without labels only texts without letters go."""
     sample = training_text(docs) if "lang" in docs.columns else {}
-    shared = docs.sparkSession.sparkContext.broadcast(sample)
+    shared = docs.sparkSession.sparkContext.broadcast(learnt(sample))
     at = docs.columns.index("text")
 
     def run(batches):
         models = _models(shared)
         for batch in slices(batches):
-            keep = []
-            for text in batch.column(at).to_pylist():
-                if models:
-                    lang, _, piece = _judge(text, models)
-                    keep.append(lang != "und" and piece >= least_piece)
-                else:
-                    keep.append(bool(text and _LETTERS.search(text)))
+            texts = batch.column(at).to_pylist()
+            keep = [_judge(t, models)[2] if models else bool(t and _LETTERS.search(t)) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

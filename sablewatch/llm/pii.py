@@ -5,11 +5,11 @@ format, so equal values stay equal in all documents and different ones different
 
 * card numbers (13-19 digits, valid check digit): all digits but the first; the check digit is
   made anew;
-* phone numbers: the ten digits behind the country code;
+* phone numbers of ten digits in the groups usual in North America: these, behind the country code;
 * social security numbers: area, group and serial inside their valid ranges;
-* dates from 1900 to 2099 (2024-01-31, 31.01.2024, 01/31/2024): the day, in the same notation;
+* dates from 1900 to 2099 (2024-01-31, 31.01.2024, 01/31/2024, 31/01/2024): the day, in the same notation;
 * addresses a.b.c.d: 32 bits;
-* mail addresses: letters stay letters and digits digits in the local part.
+* mail addresses: letters stay letters and digits digits in the local part; the domain stays.
 
 Half A (of ``ra`` values) and half B (of ``rb``) take turns: A + F(round, B) mod ra, then
 B + F(round, A) mod rb. Any ra and rb will do, so no value is walked out of its domain.
@@ -111,15 +111,36 @@ def _ssn(v: str, key: str) -> str:
     return _let("d", _bare(v), f"if({valid}, {_let('h', halves, out)}, {v})")
 
 
+#: Days of 1900-2099 behind the twelfth of their month, and a grid that holds their numbers.
+LATE_DAYS, GRID = 44_249, (211, 210)
+
+
+def _late(x: str) -> str:
+    """SQL: the date with number x among the days behind the twelfth. Every month before leaves out twelve."""
+    start = "add_months(date'1900-01-01', k)"
+    before = f"datediff({start}, date'1900-01-01') - 12 * k"
+    near = f"sequence(greatest({x} * 2400 div {LATE_DAYS} - 4, 0), least({x} * 2400 div {LATE_DAYS} + 4, 2399))"
+    found = f"array_max(transform(filter({near}, k -> {before} <= {x}), k -> cast(k as int)))"
+    return f"element_at(transform(array({found}), k -> date_add({start}, cast(12 + {x} - ({before}) as int))), 1)"
+
+
 def _date(v: str, key: str) -> str:
+    """Dates are permuted among the strings that are read alike. A string with slashes is month, day, year
+    if that is a date; day, month, year is read only where the day is behind the twelfth, so it is
+    permuted among those days (numbers outside them are permuted again, at most once each)."""
     # 73,049 = 17 * 4,297 days.
-    day = f"datediff(t, date'1900-01-01')"
+    day = "datediff(t, date'1900-01-01')"
     halves = feistel(f"{day} div 4297", f"{day} % 4297", "17", "4297", _text("date"), key)
     form = f"case when {v} like '____-%' then 'yyyy-MM-dd' when {v} like '__.%' then 'dd.MM.yyyy' else 'MM/dd/yyyy' end"
-    read = f"coalesce(cast(try_to_timestamp({v}, {form}) as date), cast(try_to_timestamp({v}, 'dd/MM/yyyy') as date))"
-    write = f"if({v} like '__/%' and try_to_timestamp({v}, 'MM/dd/yyyy') is null, 'dd/MM/yyyy', {form})"
-    shown = _let("h", halves, f"date_format(date_add(date'1900-01-01', cast(h.a * 4297 + h.b as int)), {write})")
-    return _let("t", read, f"if(t between date'1900-01-01' and date'2099-12-31', {shown}, {v})")
+    shown = _let("h", halves, f"date_format(date_add(date'1900-01-01', cast(h.a * 4297 + h.b as int)), {form})")
+    ra, rb = GRID
+    again = _let("h", feistel(f"x div {rb}", f"x % {rb}", str(ra), str(rb), _text("late date"), key), f"h.a * {rb} + h.b")
+    first = f"cast(datediff(u, date'1900-01-01') - 12 * ((year(u) - 1900) * 12 + month(u)) as bigint)"
+    walked = f"aggregate(sequence(0, {ra * rb - LATE_DAYS}), {first}, (x, j) -> if(j = 0 or x >= {LATE_DAYS}, {again}, x))"
+    late = _let("y", walked, f"date_format({_late('y')}, 'dd/MM/yyyy')")
+    within = "between date'1900-01-01' and date'2099-12-31'"
+    other = _let("u", f"if({v} like '__/%', cast(try_to_timestamp({v}, 'dd/MM/yyyy') as date), null)", f"if(u {within}, {late}, {v})")
+    return _let("t", f"cast(try_to_timestamp({v}, {form}) as date)", f"if(t is null, {other}, if(t {within}, {shown}, {v}))")
 
 
 def _address(v: str, key: str) -> str:

@@ -1,6 +1,7 @@
 """Line dedup, language, fingerprints, near dedup, pseudonyms, secrets and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -97,6 +98,61 @@ def test_language(make_docs, odd_texts):
     assert kept.columns == test.columns and {r.doc_id for r in kept.collect()} == set(range(20, 40))
 
 
+def words_of(seed):
+    rng = random.Random(seed)
+    own = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 8))) for _ in range(400)]
+    return lambda n: " ".join(rng.choice(own[:100] if rng.random() < 0.6 else own) for _ in range(n))
+
+
+def plain_predict(text, sample):
+    """Longest matches by searching the training text; normalised pieces."""
+    letters = " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " " if text and re.search(r"[^\W\d_]", text) else ""
+    if not letters:
+        return "und"
+
+    def needed(x, known):
+        n = i = 0
+        while i < len(x):
+            j = i + 1
+            while j < len(x) and x[i : j + 1] in known:
+                j += 1
+            n, i = n + 1, j
+        return n
+
+    def own_rate(known):
+        words, cost, size = known.split(), 0, 0
+        m = max(1, len(words) // 32)
+        parts = [" ".join(words[i : i + m]) + " " for i in range(0, len(words), m)]
+        for f in range(min(4, len(parts))):
+            held = "".join(parts[f::4])
+            cost, size = cost + needed(held, "\n".join(p for i, p in enumerate(parts) if i % 4 != f)), size + len(held)
+        return cost / size * (1 - 1 / math.sqrt(1 + cost))
+
+    return min((needed(letters, known) / own_rate(known), lang) for lang, known in sample.items())[1]
+
+
+def test_languages_of_few_texts_and_of_none(make_docs, odd_texts):
+    """Languages over one alphabet: one with 150 texts, one with very few; letters at random are in neither."""
+    a, b, rng = words_of(1), words_of(2), random.Random(3)
+    test = make_docs([(i, x(80), "") for i, x in enumerate([a, b] * 25)])
+    for few in (1, 3):
+        sample = language.training_text(make_docs([(i, a(70), "a") for i in range(150)] + [(900 + i, b(70), "b") for i in range(few)]))
+        got = {r.doc_id: r.lang_pred for r in language.predict(test, sample).collect()}
+        assert sum(got[i] == "ab"[i % 2] for i in range(50)) >= 48
+    texts = [*odd_texts, *[a(n) for n in (1, 5, 3000)], *[b(n) for n in (2, 9, 40)]]
+    got = {r.doc_id: r.lang_pred for r in language.predict(make_docs(texts), sample).collect()}
+    assert got == {i: plain_predict(t, sample) for i, t in enumerate(texts)}
+    noise = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz   ", k=600)) for _ in range(20)]
+    mixed = make_docs([(i, a(60), "a") for i in range(100)] + [(200 + i, b(60), "b") for i in range(100)] + [(400 + i, t, None) for i, t in enumerate(noise)])
+    assert {r.doc_id for r in language.stage(mixed).collect()} == {*range(100), *range(200, 300)}
+
+
+def test_too_many_languages_fail(make_docs, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        language.training_text(make_docs([(i, "text", f"l{i}") for i in range(3)]))
+
+
 def test_training_text_of_copies_and_headers(spark):
     """A language of few texts in many copies is learnt whole, and bodies behind one long header."""
     copies = spark.range(60000).select(F.concat(F.lit("copied words "), (F.col("id") % 3 + 7).cast("string"), F.lit(" stay")).alias("text"), F.lit("aa").alias("lang"))
@@ -216,6 +272,25 @@ def test_pseudonyms_are_a_permutation(spark):
     assert odd.select(F.expr(pii.digits("d", "'t'", "k")).alias("x")).distinct().count() == 1000
 
 
+def test_all_dates_keep_apart(spark):
+    """Every date from 1900 to 2099 in each notation: as many different results, again of that notation."""
+    days = spark.range(73_049).select(F.expr("date_add(date'1900-01-01', cast(id as int))").alias("t"))
+    forms = {"yyyy-MM-dd": None, "dd.MM.yyyy": None, "MM/dd/yyyy": None, "dd/MM/yyyy": 12}
+    values = None
+    for form, after in forms.items():
+        own = (days.where(F.dayofmonth("t") > after) if after else days).select(F.date_format("t", form).alias("v"), F.lit(form).alias("form"))
+        values = own if values is None else values.unionByName(own)
+    out = values.select("form", "v", F.expr(pii.pseudonym("v", "k")).alias("x"))
+    rows = out.groupBy("form").agg(
+        F.count_distinct("v").alias("n"), F.count_distinct("x").alias("different"),
+        F.count_if(F.try_to_timestamp("x", F.col("form")).isNull()).alias("broken"), F.count_if(F.col("v") == F.col("x")).alias("same"),
+    ).collect()
+    assert {r.form: (r.n, r.different, r.broken) for r in rows} == {f: ((44_249 if a else 73_049),) * 2 + (0,) for f, a in forms.items()}
+    assert all(r.same < 20 for r in rows)
+    # The two readings of strings with slashes share no result.
+    assert out.where("form like '%/%'").select("x").distinct().count() == 117_298
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
