@@ -1,11 +1,15 @@
 """Approximate nearest neighbours by cosine: NN-descent and greedy graph search.
 
 Equal vectors are one node, so copies cost nothing and cannot crowd a neighbour list. The graph
-starts from blocks of nodes that lie together in a few random orders. Each round joins every
-node's neighbours, both ways, with their vectors and lets them propose each other
-(neighbours of neighbours); lists keep the best, until few edges change. A query starts at its
-best pivots, of which a larger table has more, and walks the graph, a bounded beam of the best
-nodes at a time, until all nodes of its beam have been expanded; what it found is scored exactly.
+starts from blocks of nodes that lie together in a few random orders. In each round the neighbours of
+a node, both ways, propose each other (neighbours of neighbours) where at least one of the two edges is new:
+a pair that met is not tried again, so rounds get cheaper. Lists keep the best, until few edges
+are new. A query starts at its best pivots, of which a larger table has more, and walks the graph, a
+bounded beam of the best nodes at a time, until all nodes of its beam have been expanded; what it
+found is scored exactly.
+
+Rounds and walk shuffle ids. The vectors they need are broadcast up to a checked size; beyond it they
+are joined.
 
 Neighbour lists, reverse lists, blocks, pivots and beams have fixed lengths, as the method has
 it; every node is in the graph.
@@ -13,17 +17,25 @@ it; every node is in the graph.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sablewatch.llm.base import slices
-from sablewatch.session import materialised
+from sablewatch.llm.base import per_worker, slices
+from sablewatch.session import materialised, shared_dir
 
 NEIGHBOURS, REVERSE, ORDERS, BLOCK = 24, 16, 4, 128
+#: New edges of a node, each way, that take part in one round; the others wait for the next.
+SAMPLE = 12
 BEAM, EXPAND = 320, 64
+#: The beam is for so many nodes; it grows with the fourth root of their number beyond that.
+BEAM_NODES = 10_000
+#: All unit vectors are broadcast if they take at most so many bytes.
+BROADCAST_BYTES = 64 << 20
 #: Rounds end when a smaller share of the graph's edges is new.
 STILL = 0.001
 #: Pivots at least, and for each square root of the number of nodes.
@@ -43,6 +55,24 @@ def _usable(rows: DataFrame) -> DataFrame:
     )
 
 
+def _dimension(usable: DataFrame) -> int:
+    """The commonest dimension, of equally common ones the least; 0 without rows."""
+    most = usable.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    return most.dim if most else 0
+
+
+def _replaced(new: DataFrame, name: str, old: list[str]) -> DataFrame:
+    """``new`` written to the shared folder; the generation written before it is deleted."""
+    spark = new.sparkSession
+    path = shared_dir(spark, name)
+    new.write.parquet(path)
+    for gone in old:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(gone)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    old[:] = [path]
+    return spark.read.schema(new.schema).parquet(path)
+
+
 def _dots(a: np.ndarray) -> np.ndarray:
     return a @ a.T
 
@@ -116,74 +146,126 @@ def _best(edges: DataFrame, n: int = NEIGHBOURS) -> DataFrame:
     return once.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).drop("k")
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    """u, v: neighbour lists joined by at most REVERSE nodes that list u themselves."""
-    order = Window.partitionBy("u").orderBy("k", "v")
-    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), F.xxhash64("u", "v").alias("k"))
-    back = back.withColumn("n", F.row_number().over(order)).where(F.col("n") <= REVERSE).select("u", "v")
-    return edges.select("u", "v").unionByName(back).distinct()
-
-
-def _proposals(edges: DataFrame, units: DataFrame) -> DataFrame:
-    """One round: around every node its neighbours propose each other."""
-    worst = edges.groupBy("u").agg(F.min("s").alias("worst"), F.count(F.lit(1)).alias("n"))
-    member = units.join(worst, units.node == worst.u, "left").select(
-        F.col("node").alias("v"), F.when(F.col("n") >= NEIGHBOURS, F.col("worst")).otherwise(F.lit(-2.0)).alias("worst"), "unit"
+class Vectors:
+    """Unit vectors by node: in every worker where they are few, else joined to the rows that need them."""
+
+    def __init__(self, units: DataFrame, most: int | None = None) -> None:
+        self.units, self.shared, self.token = units, None, uuid.uuid4().hex
+        size = units.agg(F.coalesce(F.sum(F.length("unit") + 8), F.lit(0))).first()[0]
+        if 0 < size <= (BROADCAST_BYTES if most is None else most):
+            rows = units.orderBy("node").collect()
+            self.shared = units.sparkSession.sparkContext.broadcast((np.array([r.node for r in rows]), [bytes(r.unit) for r in rows]))
+
+    def beside(self, rows: DataFrame, node: str = "v") -> DataFrame:
+        """The rows with a column ``unit``: null where workers look vectors up themselves."""
+        if self.shared is not None:
+            return rows.withColumn("unit", F.lit(None).cast("binary"))
+        return rows.join(self.units.select(F.col("node").alias(node), "unit"), node)
+
+    def reader(self):
+        """A function of (nodes, units of the rows) to a matrix of vectors; made once in a task."""
+        if self.shared is None:
+            return lambda nodes, raw: _unpacked(raw)
+        ids, raw = self.shared.value
+        known = per_worker("unit vectors", self.token, lambda: _unpacked(raw))
+        return lambda nodes, _: known[np.searchsorted(ids, nodes)]
+
+    def __getstate__(self):
+        return {"shared": self.shared, "token": self.token}
+
+
+def _members(edges: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
+    """u, v, active: who meets around each node in a round, and the edges with ``active``, whether a
+    new edge takes part. A node others list very often takes part in a bounded number of them."""
+    some = Window.partitionBy("u", "new").orderBy(F.xxhash64("u", "v", F.lit(salt)), "v")
+    marked = edges.withColumn("k", F.row_number().over(some)).withColumn("active", F.col("new") & (F.col("k") <= SAMPLE)).drop("k")
+    used = marked.where(~F.col("new") | F.col("active")).select("u", "v", "active")
+    back = used.select(F.col("v").alias("u"), F.col("u").alias("v"), "active")
+    few = Window.partitionBy("u", "active").orderBy(F.xxhash64("u", "v", F.lit(salt)), "v")
+    back = back.withColumn("k", F.row_number().over(few)).where(F.col("k") <= F.when(F.col("active"), SAMPLE).otherwise(REVERSE)).drop("k")
+    return used.unionByName(back).groupBy("u", "v").agg(F.max("active").alias("active")), marked
+
+
+def _proposals(members: DataFrame, edges: DataFrame, vectors: Vectors) -> DataFrame:
+    """Around every node with an active edge its neighbours propose each other where one edge is active."""
+    worst = edges.groupBy("u").agg(F.min("s").alias("worst"), F.count(F.lit(1)).alias("n")).select(
+        F.col("u").alias("v"), F.when(F.col("n") >= NEIGHBOURS, F.col("worst")).otherwise(F.lit(-2.0)).alias("worst")
     )
-    groups = _both_ways(edges).join(member, "v").groupBy("u").agg(F.collect_list(F.struct("v", "worst", "unit")).alias("near"))
+    stirred = members.where("active").select("u").distinct()
+    near = vectors.beside(members.join(stirred, "u").join(worst, "v", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0))))
+    groups = near.groupBy("u").agg(F.collect_list(F.struct("v", "active", "worst", "unit")).alias("near"))
 
     def run(batches):
+        read = vectors.reader()
         for batch in slices(batches, 256):
             us, vs, ss = [], [], []
             for near in batch.column(1).to_pylist():
-                if len(near) < 2:
-                    continue
                 near.sort(key=lambda m: m["v"])
-                ids = np.array([m["v"] for m in near])
-                s = _dots(_unpacked([m["unit"] for m in near]))
+                ids, active = np.array([m["v"] for m in near]), np.array([m["active"] for m in near])
+                s = _dots(read(ids, [m["unit"] for m in near]))
                 np.fill_diagonal(s, -3)
-                i, j = np.nonzero(s > np.array([m["worst"] for m in near])[:, None])
+                tried = (active[:, None] | active) & (s > np.array([m["worst"] for m in near])[:, None])
+                i, j = np.nonzero(tried)
                 us.append(ids[i])
                 vs.append(ids[j])
                 ss.append(s[i, j])
             if us:
-                yield _edges(np.concatenate(us), np.concatenate(vs), np.concatenate(ss))
+                u, v, s = np.concatenate(us), np.concatenate(vs), np.concatenate(ss)
+                # Pairs that met around several nodes of this batch go on once.
+                _, once = np.unique(np.stack([u, v]), axis=1, return_index=True)
+                yield _edges(u[once], v[once], s[once])
 
     return groups.mapInArrow(run, EDGE)
 
 
-def build_graph(units: DataFrame, still: float = STILL) -> DataFrame:
+def build_graph(vectors: Vectors, still: float = STILL) -> DataFrame:
     """u, v, s: at most NEIGHBOURS best known neighbours of every node; rounds go on until the
-    share of edges that a round replaced is at most ``still``. Lists only improve, so they end."""
-    edges = _first_lists(units, 0)
+    share of new edges is at most ``still``. Lists only improve, and what met does not meet again, so they end."""
+    edges, written = _first_lists(vectors.units, 0), []
     for order in range(1, ORDERS):
-        edges = edges.unionByName(_first_lists(units, order))
-    edges = materialised(_best(edges.withColumn("new", F.lit(True))), "nn-edges")
+        edges = edges.unionByName(_first_lists(vectors.units, order))
+    edges = _replaced(_best(edges.withColumn("new", F.lit(True))), "nn-edges", written)
+    salt = 0
     while True:
-        known = edges.withColumn("new", F.lit(False))
-        edges = materialised(_best(known.unionByName(_proposals(edges, units).withColumn("new", F.lit(True)))), "nn-edges")
+        members, marked = _members(edges, salt)
+        known = marked.select("u", "v", "s", (F.col("new") & ~F.col("active")).alias("new"))
+        fresh = _proposals(members, edges, vectors).withColumn("new", F.lit(True))
+        edges = _replaced(_best(known.unionByName(fresh)), "nn-edges", written)
         total, new = edges.agg(F.count(F.lit(1)), F.count(F.when(F.col("new"), 1))).first()
+        salt += 1
         if new <= still * total:
-            return edges.drop("new")
+            return edges.select("u", "v", "s")
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """u, v: neighbour lists joined by at most REVERSE nodes that list u themselves."""
+    order = Window.partitionBy("u").orderBy("k", "v")
+    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), F.xxhash64("u", "v").alias("k"))
+    back = back.withColumn("n", F.row_number().over(order)).where(F.col("n") <= REVERSE).select("u", "v")
+    return edges.select("u", "v").unionByName(back).distinct()
 
 
-def _scored(pairs: DataFrame, queries: DataFrame) -> DataFrame:
-    """q, v, s of rows (q, v, unit)."""
+def _scored(pairs: DataFrame, queries: DataFrame, vectors: Vectors) -> DataFrame:
+    """q, v, s of rows (q, v)."""
 
     def run(batches):
+        read = vectors.reader()
         for batch in slices(batches, 2048):
             if batch.num_rows:
-                s = np.einsum("ij,ij->i", _vectors(batch.column(2)), _vectors(batch.column(3)))
+                nodes = batch.column(1).to_numpy()
+                s = np.einsum("ij,ij->i", read(nodes, batch.column(2).to_pylist()), _vectors(batch.column(3)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["q", "v", "s"])
 
     own = queries.select("q", F.col("unit").alias("own"))
-    return pairs.join(own, "q").select("q", "v", "unit", "own").mapInArrow(run, "q bigint, v bigint, s double")
+    return vectors.beside(pairs).join(own, "q").select("q", "v", "unit", "own").mapInArrow(run, "q bigint, v bigint, s double")
 
 
-def greedy_search(queries: DataFrame, units: DataFrame, edges: DataFrame) -> DataFrame:
+def greedy_search(queries: DataFrame, vectors: Vectors, edges: DataFrame) -> DataFrame:
     """q, v: the beam of every query (q, unit) when all its nodes have been expanded."""
+    units = vectors.units
     spark = units.sparkSession
-    wanted = max(PIVOTS, int(PIVOTS_A_ROOT * units.count() ** 0.5))
+    n = units.count()
+    wanted, width = max(PIVOTS, int(PIVOTS_A_ROOT * n**0.5)), int(BEAM * max(1.0, n / BEAM_NODES) ** 0.25)
     pivots = units.orderBy(F.xxhash64("node"), "node").limit(wanted).collect()
     if not pivots:
         return units.select(F.col("node").alias("q"), F.col("node").alias("v"))
@@ -199,49 +281,53 @@ def greedy_search(queries: DataFrame, units: DataFrame, edges: DataFrame) -> Dat
                 block = own @ _unpacked(shared.value[1][start : start + PIVOTS]).T
                 s = np.hstack([s, block])
                 at = np.hstack([at, np.broadcast_to(np.arange(start, start + block.shape[1]), block.shape)])
-                k = min(BEAM, s.shape[1])
+                k = min(width, s.shape[1])
                 best = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 s, at = np.take_along_axis(s, best, 1), np.take_along_axis(at, best, 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(np.array(batch.column(0).to_pylist()), s.shape[1]), pa.int64()), pa.array(ids[at].ravel(), pa.int64()),
                  pa.array(s.ravel(), pa.float64())], names=["q", "v", "s"])
 
-    adjacent = _both_ways(edges).join(units.withColumnRenamed("node", "v"), "v")
-    adjacent = materialised(adjacent.select("u", "v", "unit"), "nn-adjacent")
-    beam = materialised(queries.select("q", "unit").mapInArrow(enter, "q bigint, v bigint, s double").withColumn("open", F.lit(True)), "nn-beam")
+    adjacent, written = materialised(_both_ways(edges), "nn-adjacent"), []
+    beam = _replaced(queries.select("q", "unit").mapInArrow(enter, "q bigint, v bigint, s double").withColumn("open", F.lit(True)), "nn-beam", written)
     near = Window.partitionBy("q").orderBy(F.col("s").desc(), F.xxhash64("q", "v"), "v")
     while not beam.where("open").isEmpty():
         front = beam.where("open").withColumn("k", F.row_number().over(near)).where(F.col("k") <= EXPAND).select("q", F.col("v").alias("u"))
-        met = front.join(adjacent, "u").groupBy("q", "v").agg(F.first("unit").alias("unit")).join(beam.select("q", "v"), ["q", "v"], "left_anti")
-        fresh = _scored(met, queries).withColumn("open", F.lit(True))
+        met = front.join(adjacent, "u").select("q", "v").distinct().join(beam.select("q", "v"), ["q", "v"], "left_anti")
+        fresh = _scored(met, queries, vectors).withColumn("open", F.lit(True))
         closed = beam.join(front.select("q", F.col("u").alias("v"), F.lit(True).alias("done")), ["q", "v"], "left")
         known = closed.select("q", "v", "s", (F.col("open") & F.col("done").isNull()).alias("open"))
-        beam = materialised(known.unionByName(fresh).withColumn("k", F.row_number().over(near)).where(F.col("k") <= BEAM).drop("k"), "nn-beam")
+        beam = _replaced(known.unionByName(fresh).withColumn("k", F.row_number().over(near)).where(F.col("k") <= width).drop("k"), "nn-beam", written)
     return beam.select("q", "v")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for every query, not itself.
 
-    Both tables have vec_id and embedding (of one dimension). Null, zero and not finite vectors
-    and rows without an id take no part; repeated rows count once; ties go to the smaller vec_id;
+    Both tables have vec_id and embedding. Null, zero and not finite vectors, those of another dimension than
+    the commonest of ``rows`` (of equal ones the least) and rows without an id take no part; repeated rows
+    count once; ties go to the smaller vec_id;
     other columns are not looked at; empty tables give no rows. Scores are cosines of the
     original vectors in double precision.
     """
     usable = materialised(_usable(rows), "nn-rows")
+    of_dimension = F.size("vec") == _dimension(usable)
+    usable = usable.where(of_dimension)
     order = Window.partitionBy("key").orderBy("vec_id")
     copies = usable.select("key", "vec_id").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     nodes = materialised(usable.groupBy("key").agg(F.min("vec_id").alias("node"), F.first("vec").alias("vec")), "nn-nodes")
     units = materialised(_unit(nodes, _width(rows)), "nn-units")
-    asked = materialised(_usable(queries).dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "node"), "nn-asked")
+    asked = materialised(_usable(queries).where(of_dimension).dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "node"), "nn-asked")
     starts = materialised(_unit(asked, _width(queries)).withColumnRenamed("node", "q"), "nn-starts")
-    found = greedy_search(starts, units, build_graph(units))
+    vectors = Vectors(units)
+    found = greedy_search(starts, vectors, build_graph(vectors))
 
     def exact(batches):
         for batch in slices(batches, 1024):
             out = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.array(a), np.array(b)
+                # Scaled first: squares of very large or small components leave the range.
+                x, y = (v / np.abs(v).max() for v in (np.array(a), np.array(b)))
                 out.append(float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["query_id", "node", "score"])
 

@@ -61,12 +61,46 @@ def test_walk_goes_on_to_the_end(spark):
     ann.PIVOTS, ann.PIVOTS_A_ROOT, ann.BEAM = 1, 0, 4
     try:
         far = (next(iter(pivots)) + 30) % n
-        beam = ann.greedy_search(units.where(F.col("node") == far).withColumnRenamed("node", "q"), units, ring)
+        beam = ann.greedy_search(units.where(F.col("node") == far).withColumnRenamed("node", "q"), ann.Vectors(units), ring)
         assert far in {r.v for r in beam.collect()}
     finally:
         ann.PIVOTS, ann.PIVOTS_A_ROOT, ann.BEAM = saved
 
 
+def test_joined_and_broadcast_vectors_agree(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((500, 8)))], "vec_id bigint, embedding array<double>")
+    asked = rows.where("vec_id % 50 = 0")
+    one = {tuple(r) for r in ann.nearest(rows, asked).collect()}
+    monkeypatch.setattr(ann, "BROADCAST_BYTES", 0)
+    assert {tuple(r) for r in ann.nearest(rows, asked).collect()} == one
+
+
+def test_pairs_meet_once(spark):
+    """A later round only tries pairs of which an edge is new."""
+    rng = np.random.default_rng(1)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 6)))], "node bigint, vec array<double>")
+    vectors = ann.Vectors(ann._unit(nodes, 8))
+    edges = ann._best(ann._first_lists(vectors.units, 0).withColumn("new", F.lit(False)))
+    members, _ = ann._members(edges, 0)
+    assert ann._proposals(members, edges, vectors).count() == 0
+    some = edges.withColumn("new", F.col("u") == 7)
+    members, marked = ann._members(some, 0)
+    assert marked.where("active").count() == ann.SAMPLE
+    around = {r.u for r in members.where("active").collect()}
+    assert 7 in around and len(around) <= 1 + ann.SAMPLE
+
+
+def test_very_large_components_and_other_dimensions(spark):
+    data = [(0, [1e200, 1e200]), (1, [1e-200, 2e-200]), (2, [3.0, -1.0]), (3, [1.0, 1.0, 1.0]), (4, [5.0]), (5, [2e200, 1e200])]
+    rows = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in ann.nearest(rows, rows).collect()}
+    assert {i for p in got for i in p} == {0, 1, 2, 5}
+    for (q, v), s in got.items():
+        a, b = (np.array(data[i][1]) / max(np.abs(data[i][1])) for i in (q, v))
+        assert abs(s - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-12
+
+
 def test_copies_ties_and_unusable_rows(spark):
     nan, inf = float("nan"), float("inf")
     data = [(i, [1.0, 0.0]) for i in (0, 9, 8, 7, 6, 5, 4, 3)] + [(50, [0.0, 1.0]), (50, [0.0, 1.0]), (51, [1.0, 1.0])]
