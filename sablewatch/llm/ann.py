@@ -292,11 +292,12 @@ def greedy_search(queries: DataFrame, vectors: Vectors, edges: DataFrame) -> Dat
     beam = _replaced(queries.select("q", "unit").mapInArrow(enter, "q bigint, v bigint, s double").withColumn("open", F.lit(True)), "nn-beam", written)
     near = Window.partitionBy("q").orderBy(F.col("s").desc(), F.xxhash64("q", "v"), "v")
     while not beam.where("open").isEmpty():
-        front = beam.where("open").withColumn("k", F.row_number().over(near)).where(F.col("k") <= EXPAND).select("q", F.col("v").alias("u"))
+        ranked = beam.withColumn("k", F.row_number().over(Window.partitionBy("q", "open").orderBy(F.col("s").desc(), F.xxhash64("q", "v"), "v")))
+        going = F.col("open") & (F.col("k") <= EXPAND)
+        front = ranked.where(going).select("q", F.col("v").alias("u"))
         met = front.join(adjacent, "u").select("q", "v").distinct().join(beam.select("q", "v"), ["q", "v"], "left_anti")
         fresh = _scored(met, queries, vectors).withColumn("open", F.lit(True))
-        closed = beam.join(front.select("q", F.col("u").alias("v"), F.lit(True).alias("done")), ["q", "v"], "left")
-        known = closed.select("q", "v", "s", (F.col("open") & F.col("done").isNull()).alias("open"))
+        known = ranked.select("q", "v", "s", (F.col("open") & ~going).alias("open"))
         beam = _replaced(known.unionByName(fresh).withColumn("k", F.row_number().over(near)).where(F.col("k") <= width).drop("k"), "nn-beam", written)
     return beam.select("q", "v")
 
