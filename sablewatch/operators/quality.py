@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions import all_of, evaluated_once, in_rank_order, ipv4_number, parse_iso, validation_rank
 
+# --- fixed values: formats of ids and hashes -------------------------------------------
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 SHA256 = r"^[a-fA-F0-9]{64}$"
+# --------------------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
