@@ -8,12 +8,13 @@ boilerplate weighs little, and equal texts have equal weights.
 
 Equal word sequences become one class first. Improved consistent weighted sampling gives BANDS x
 ROWS samples of each class; classes that agree on a band are compared with the least of the
-bucket, exactly, by weighted Jaccard similarity. Links make components; buckets that still hold
-several components are compared again, each component by two of its members with those of the
-next ones. What these cheap passes leave in several components is settled exactly: in the order of
-falling weight, similar texts share a shingle among those that make up the first 1 - SIMILARITY of
-each text's weight, so members of different components are compared where they share such a
-shingle and their weights allow it, and all other pairs of the bucket are excluded by proof.
+bucket, exactly, by weighted Jaccard similarity. Links make components. Buckets that still hold
+several components are settled exactly, over the shingles that two texts of such buckets hold: in the
+order of rising frequency, similar texts first meet where the rest of both still weighs enough. There
+each text is compared with one hub after another while that finds links, then every two texts
+of different components. Before any text is read, a pair must pass two bounds of what both can have in
+common: the lesser rest, and the sum over CLASSES classes of shingles of the lesser weight. So pairs
+are excluded by proof, never by a cap.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import string
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sablewatch.llm.base import per_worker, slices, texts_of
@@ -32,6 +33,8 @@ from sablewatch.session import materialised
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 13, 3
 BUCKET_BITS, POOL_BITS = 18, 16
+#: Classes of shingles whose weights bound what two texts share; slack for rounding in bounds.
+CLASSES, SLACK = 32, 1e-5
 WORD_CACHE = 300_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,6 +107,11 @@ def weights(text: str, known: WordHashes, idf: np.ndarray) -> tuple[np.ndarray,
     return s, count.astype(np.float32) * idf[buckets(s)]
 
 
+def class_sums(shingle: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weight of each class of shingles."""
+    return np.bincount((shingle & shingle.dtype.type(CLASSES - 1)).astype(np.intp), weight, CLASSES).astype(np.float32)
+
+
 def weighted_jaccard(a, b) -> float:
     (sa, wa), (sb, wb) = a, b
     _, i, j = np.intersect1d(sa, sb, assume_unique=True, return_indices=True)
@@ -140,25 +148,30 @@ class Sampler:
         return out
 
 
-SIGNED = "doc_id bigint, text_key bigint, node binary, bands array<bigint>"
+SIGNED = "doc_id bigint, text_key bigint, node binary, bands array<bigint>, total double, sums array<float>"
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, text_key (hash of the text), node (hash of the words, null without words), bands."""
+    """doc_id, text_key (hash of the text), node (hash of the words, null without words), bands,
+    total weight and its class sums."""
 
     def run(batches):
         known, sampler = per_worker("words", 0, WordHashes), per_worker("sampler", 0, Sampler)
         table = idf.value
         for batch in slices(batches, 64):
             texts = texts_of(batch)
-            nodes, parts, sizes = [], [], []
+            nodes, parts, sizes, totals, sums = [], [], [], [], []
             for text in texts:
                 words = word_hashes(text, known)
                 nodes.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest() if len(words) else None)
+                totals.append(None)
+                sums.append(None)
                 if len(words):
                     s, count = shingles(words)
                     parts.append((s, count.astype(np.float32) * table[buckets(s)]))
                     sizes.append(len(s))
+                    totals[-1] = float(parts[-1][1].sum(dtype=np.float64))
+                    sums[-1] = class_sums(*parts[-1])
             bands = iter(())
             if parts:
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.intp)
@@ -169,8 +182,9 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
                 bands = iter(key.view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(nodes, pa.binary()),
-                 pa.array([None if n is None else next(bands) for n in nodes], pa.list_(pa.int64()))],
-                names=["doc_id", "text_key", "node", "bands"],
+                 pa.array([None if n is None else next(bands) for n in nodes], pa.list_(pa.int64())),
+                 pa.array(totals, pa.float64()), pa.array(sums, pa.list_(pa.float32()))],
+                names=["doc_id", "text_key", "node", "bands", "total", "sums"],
             )
 
     return docs.select("doc_id", "text", "text_key").mapInArrow(run, SIGNED)
@@ -197,41 +211,80 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> Data
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def prefixes(members: DataFrame, idf, similarity: float) -> DataFrame:
-    """node, root, shingle, total of rows (node, root, text): each text's first shingles, in the
-    order of falling idf, up to where the rest weighs less than ``similarity`` of the total. Two
-    similar texts have more than that in common, so their first common shingle is in both lists."""
+def sketches(members: DataFrame, idf) -> DataFrame:
+    """node, total, shingle, weight of rows (node, text): every shingle of a text with its weight."""
 
     def run(batches):
-        known, table = per_worker("words", 0, WordHashes), idf.value
+        known = per_worker("words", 0, WordHashes)
         for batch in slices(batches, 64):
-            at, found, totals = [], [], []
-            for i, text in enumerate(texts_of(batch)):
-                s, w = weights(text, known, table)
-                order = np.lexsort((s, -table[buckets(s)]))
-                sums = np.cumsum(w[order], dtype=np.float64)
-                n = np.searchsorted(sums, (1 - similarity + 1e-6) * sums[-1], side="right") + 1
-                own = s[order[:n]]
-                at.append(np.full(len(own), i))
-                found.append(own)
-                totals.append(np.full(len(own), sums[-1]))
+            own = [weights(text, known, idf.value) for text in texts_of(batch)]
+            if own:
+                rows = pa.array(np.repeat(np.arange(len(own)), [len(s) for s, _ in own]))
+                totals = pa.array([float(w.sum(dtype=np.float64)) for _, w in own])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), totals.take(rows), pa.array(np.concatenate([s for s, _ in own]).view(np.int64)), pa.array(np.concatenate([w for _, w in own]))],
+                    names=["node", "total", "shingle", "weight"],
+                )
+
+    return members.select("node", "text").mapInArrow(run, "node binary, total double, shingle bigint, weight float")
+
+
+def prefixes(crowd: DataFrame, similarity: float) -> DataFrame:
+    """node, shingle, rest, total, sums: where similar texts of ``crowd`` can meet for the first time.
+
+    Only shingles that two texts of the crowd hold count, the rarest first; ``rest`` is their weight
+    from a shingle on. Texts that first meet there have at most the lesser rest in common, and similar
+    ones at least ``similarity`` of each one's total; so a list ends where the rest falls below that. A
+    text too full of shingles of its own has no list, and no partner. ``sums`` are the weights by class.
+    """
+    common = crowd.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    held = crowd.join(common, "shingle").groupBy("node", "total").agg(F.collect_list(F.struct("df", "shingle", "weight")).alias("held"))
+
+    def run(batches):
+        for batch in slices(batches, 64):
+            at, found, rests, sums = [], [], [], []
+            for i, (total, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                df, s, w = (own.values.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+                order = np.lexsort((s, df))
+                s, w = s[order], w[order].astype(np.float64)
+                rest = np.cumsum(w[::-1])[::-1]
+                n = int((rest >= (similarity - SLACK) * total).sum())
+                if n:
+                    at.append(np.full(n, i))
+                    found.append(s[:n])
+                    rests.append(rest[:n])
+                    sums += [class_sums(s, w).tolist()] * n
             if at:
                 rows = pa.array(np.concatenate(at))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(totals))],
-                    names=["node", "root", "shingle", "total"],
+                    [batch.column(0).take(rows), pa.array(np.concatenate(found)), pa.array(np.concatenate(rests)), batch.column(1).take(rows),
+                     pa.array(sums, pa.list_(pa.float32()))],
+                    names=["node", "shingle", "rest", "total", "sums"],
                 )
 
-    return members.select("node", "root", "text").mapInArrow(run, "node binary, root binary, shingle bigint, total double")
+    return held.mapInArrow(run, "node binary, shingle bigint, rest double, total double, sums array<float>")
 
 
 def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _able(similarity: float):
-    """Weights of a pair that do not yet exclude the similarity."""
-    return F.least("total_a", "total_b") >= (similarity - 1e-6) * F.greatest("total_a", "total_b")
+def _able(common: str, a: str, b: str, similarity: float) -> str:
+    """SQL: texts of weights ``a`` and ``b`` with at most ``common`` in common may be similar."""
+    return f"{common} * {1 + similarity} >= {similarity - SLACK} * ({a} + {b})"
+
+
+def _overlap(a: str, b: str) -> str:
+    """SQL: what class sums ``a`` and ``b`` allow two texts to have in common at most."""
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> cast(least(x, y) as double)), 0D, (x, y) -> x + y)"
+
+
+def able(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose class sums do not exclude the similarity; ``nodes``: node, total, sums."""
+    both = pairs
+    for end in ("a", "b"):
+        both = both.join(nodes.select(F.col("node").alias(end), F.col("total").alias(f"total_{end}"), F.col("sums").alias(f"sums_{end}")), end)
+    return both.where(_able(_overlap("sums_a", "sums_b"), "total_a", "total_b", similarity)).select("a", "b")
 
 
 def crowded_links(members: DataFrame, roots: DataFrame, texts: DataFrame, idf, similarity: float, links: DataFrame) -> DataFrame:
@@ -239,31 +292,35 @@ def crowded_links(members: DataFrame, roots: DataFrame, texts: DataFrame, idf, s
     are settled: no pair of different components of a bucket that is similar stays apart."""
     crowded = _rooted(members, roots).groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q").select("key")
     nodes = members.join(crowded, "key").select("node").distinct()
-    listed = materialised(prefixes(_rooted(nodes, roots).join(texts, "node"), idf, similarity), "near-prefixes")
+    crowd = materialised(sketches(texts.join(nodes, "node"), idf), "near-crowd")
+    listed = materialised(prefixes(crowd, similarity), "near-prefixes")
 
-    # First each member with the least of its shingle, which joins most large groups.
-    met = listed.groupBy("shingle").agg(F.min(F.struct("node", "root", "total")).alias("x"), F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q")
-    star = listed.join(met, "shingle").where("root <> x.root").select(
-        F.col("x.node").alias("a"), F.col("node").alias("b"), F.col("x.total").alias("total_a"), F.col("total").alias("total_b")
-    )
-    tried = materialised(star.where(_able(similarity)).select("a", "b").distinct(), "near-tried")
-    fresh = materialised(verified(tried, texts, idf, similarity), "near-links")
-    if not fresh.isEmpty():
-        links = links.unionByName(fresh)
+    def passing(a, b):
+        rests = _able(f"least({a}.rest, {b}.rest)", f"{a}.total", f"{b}.total", similarity)
+        return f"{rests} and {_able(_overlap(f'{a}.sums', f'{b}.sums'), f'{a}.total', f'{b}.total', similarity)}"
+
+    # First each text with one of its shingle: the least edited one, then others as long as links are found.
+    turn = 0
+    while True:
+        own = _rooted(listed, roots)
+        rank = F.xxhash64("node", F.lit(turn)) if turn else F.col("rest") / F.col("total")
+        hub = own.groupBy("shingle").agg(
+            F.max(F.struct(rank.alias("rank"), "node", "root", "rest", "total", "sums")).alias("x"), F.min("root").alias("r"), F.max("root").alias("q")
+        ).where("r <> q").select("shingle", "x")
+        star = own.alias("y").join(hub, "shingle").where(f"y.root <> x.root and {passing('x', 'y')}")
+        star = star.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        fresh = materialised(verified(star, texts, idf, similarity), "near-links")
+        if fresh.isEmpty():
+            break
+        links, turn = links.unionByName(fresh), turn + 1
         roots = components(links)
-        listed = materialised(_rooted(listed.drop("root"), roots), "near-prefixes")
-
-    # Then every pair of different components.
-    groups = listed.select("shingle", "root").distinct()
-    apart = groups.withColumnRenamed("root", "root_a").join(groups.withColumnRenamed("root", "root_b"), "shingle").where("root_a < root_b")
-    own = listed.select("shingle", F.col("root").alias("root_a"), F.col("node").alias("a"), F.col("total").alias("total_a"))
-    other = listed.select("shingle", F.col("root").alias("root_b"), F.col("node").alias("b"), F.col("total").alias("total_b"))
-    pairs = apart.join(own, ["shingle", "root_a"]).join(other, ["shingle", "root_b"]).where(_able(similarity))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+
+    # Then every pair of different components that the bounds leave.
+    own = materialised(_rooted(listed, roots), "near-prefixes")
+    pairs = own.alias("x").join(own.alias("y"), F.expr(f"x.shingle = y.shingle and x.root < y.root and {passing('x', 'y')}"))
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     fresh = materialised(verified(pairs, texts, idf, similarity), "near-links")
-    if not fresh.isEmpty():
-        roots = components(links.unionByName(fresh))
-    return roots
+    return roots if fresh.isEmpty() else components(links.unionByName(fresh))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -300,11 +357,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     signed = materialised(signatures(docs, idf), "near-signatures")
 
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    nodes = materialised(signed.where("node is not null").groupBy("node").agg(F.min(name).alias("name"), F.first("bands").alias("bands")), "near-nodes")
+    nodes = materialised(signed.where("node is not null").groupBy("node").agg(F.min(name).alias("name"), *[F.first(c).alias(c) for c in ("bands", "total", "sums")]), "near-nodes")
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialised(keyed.join(shared.select("key", "a"), "key").select("key", F.col("node").alias("b"), "a"), "near-members")
-    pairs = members.where("a <> b").select("a", "b").distinct()
+    pairs = able(members.where("a <> b").select("a", "b").distinct(), nodes, similarity)
 
     # Whole texts only of classes that meet another one, one row for each.
     wanted = members.select(F.col("b").alias("node")).distinct().join(nodes.select("node", "name"), "node")
@@ -315,16 +372,6 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     links = materialised(verified(pairs, texts, idf, similarity), "near-links")
     roots = components(links)
 
-    # Buckets that hold several components: two members of each against the next two components.
-    labelled = members.select("key", F.col("b").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ends = labelled.groupBy("key", "root").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    order = Window.partitionBy("key").orderBy("root")
-    ahead = ends.select("lo", "hi", *[F.lead(c, k).over(order).alias(f"{c}{k}") for k in (1, 2) for c in ("lo", "hi")])
-    again = [ahead.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x, y in (("lo", "lo1"), ("hi", "hi1"), ("lo", "hi1"), ("lo", "lo2"))]
-    more = again[0].unionByName(again[1]).unionByName(again[2]).unionByName(again[3]).where("a is not null and b is not null")
-    more = more.distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(materialised(verified(more, texts, idf, similarity), "near-links"))
-    roots = components(links)
     roots = crowded_links(members.select("key", F.col("b").alias("node")), roots, texts, idf, similarity, links)
 
     named = _rooted(nodes.select("node", "name"), roots)
