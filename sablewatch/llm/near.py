@@ -24,10 +24,11 @@ import string
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sablewatch.llm.base import per_worker, slices, texts_of
+from sablewatch.llm.base import per_worker, slices
 from sablewatch.session import materialised
 
 WORDS, SIMILARITY = 5, 0.8
@@ -35,31 +36,42 @@ BANDS, ROWS = 13, 3
 BUCKET_BITS, POOL_BITS = 18, 16
 #: Classes of shingles whose weights bound what two texts share; slack for rounding in bounds.
 CLASSES, SLACK = 32, 1e-5
-WORD_CACHE = 300_000
+#: Marks that do not count at the ends of a word; words hashed at once.
+MARKS, SLICE = string.punctuation + "«»„“”‘’…–—¿¡", 1 << 15
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """Token -> 64-bit hash of its word; 0 for punctuation alone."""
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
-    def __missing__(self, token: str) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        word = token.strip(string.punctuation + "«»„“”‘’…–—¿¡")
-        h = self[token] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little") | 1 if word else 0
-        return h
 
+#: Random factors of byte values in the hash of a word.
+_BYTES = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64)
 
-def word_hashes(text: str, known: WordHashes) -> np.ndarray:
-    tokens = text.lower().split()
-    h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-    return h[h != 0]
 
+def hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hash of each string, a sum of products over its bytes and their places; 0 for an empty one."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64 if pa.types.is_large_string(words.type) else np.int32)
+    at = offsets[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    sizes, out = np.diff(at), np.zeros(len(words), np.uint64)
+    if at[-1] > at[0]:
+        data = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]]
+        place = np.arange(len(data)) - np.repeat(at[:-1] - at[0], sizes)
+        factor = _mix(np.arange(1, sizes.max() + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
+        some = sizes > 0
+        out[some] = _mix(np.add.reduceat(_BYTES[data] * factor[place], (at[:-1] - at[0])[some])) | np.uint64(1)
+    return out
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+
+def word_hashes(texts: pa.Array) -> list[np.ndarray]:
+    """The words of each text; none of a null text."""
+    tokens = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    words = pc.utf8_trim(tokens.flatten(), characters=MARKS)
+    h = np.concatenate([np.zeros(0, np.uint64), *[hashes(words.slice(i, SLICE)) for i in range(0, len(words), SLICE)]])
+    at = np.concatenate([[0], np.cumsum(pc.list_value_length(tokens).to_numpy())])
+    return [own[own != 0] for own in (h[i:j] for i, j in zip(at[:-1], at[1:], strict=True))]
 
 
 def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,12 +93,12 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """df of each bucket over all documents, and the number of documents with words."""
 
     def run(batches):
-        known, df, n = per_worker("words", 0, WordHashes), np.zeros(1 << BUCKET_BITS, np.int64), 0
+        df, n = np.zeros(1 << BUCKET_BITS, np.int64), 0
         for batch in slices(batches):
-            for text in texts_of(batch):
-                own = buckets(shingles(word_hashes(text, known))[0])
+            for words in word_hashes(batch.column(0)):
+                own = buckets(shingles(words)[0])
                 n += bool(len(own))
-                df[np.unique(own)] += 1
+                df[own[np.diff(own, prepend=-1) != 0]] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([n, *df[at]], pa.int64())], names=["bucket", "n"])
 
@@ -102,8 +114,8 @@ def idf_table(df: np.ndarray, n: int) -> np.ndarray:
     return (1 + np.log1p(n / np.maximum(df, 1)) / np.log1p(n)).astype(np.float32)
 
 
-def weights(text: str, known: WordHashes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s, count = shingles(word_hashes(text, known))
+def weights(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    s, count = shingles(words)
     return s, count.astype(np.float32) * idf[buckets(s)]
 
 
@@ -156,20 +168,17 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     total weight and its class sums."""
 
     def run(batches):
-        known, sampler = per_worker("words", 0, WordHashes), per_worker("sampler", 0, Sampler)
+        sampler = per_worker("sampler", 0, Sampler)
         table = idf.value
         for batch in slices(batches, 64):
-            texts = texts_of(batch)
             nodes, parts, sizes, totals, sums = [], [], [], [], []
-            for text in texts:
-                words = word_hashes(text, known)
+            for words in word_hashes(batch.column(1)):
                 nodes.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest() if len(words) else None)
                 totals.append(None)
                 sums.append(None)
                 if len(words):
-                    s, count = shingles(words)
-                    parts.append((s, count.astype(np.float32) * table[buckets(s)]))
-                    sizes.append(len(s))
+                    parts.append(weights(words, table))
+                    sizes.append(len(parts[-1][0]))
                     totals[-1] = float(parts[-1][1].sum(dtype=np.float64))
                     sums[-1] = class_sums(*parts[-1])
             bands = iter(())
@@ -199,13 +208,16 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> Data
     )
 
     def run(batches):
-        known, last, own = per_worker("words", 0, WordHashes), None, None
+        last, own = None, None
         for batch in slices(batches, 64):
-            keep = []
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if a != last:
-                    last, own = a, weights(ta, known, idf.value)
-                keep.append(weighted_jaccard(own, weights(tb, known, idf.value)) >= similarity)
+            ids, keep = batch.column(0).to_pylist(), []
+            new = [i for i, a in enumerate(ids) if a != (ids[i - 1] if i else last)]
+            firsts = dict(zip(new, word_hashes(batch.column(2).take(pa.array(new, pa.int32()))), strict=True))
+            for i, words in enumerate(word_hashes(batch.column(3))):
+                if i in firsts:
+                    own = weights(firsts[i], idf.value)
+                keep.append(weighted_jaccard(own, weights(words, idf.value)) >= similarity)
+            last = ids[-1]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a binary, b binary")
@@ -215,9 +227,8 @@ def sketches(members: DataFrame, idf) -> DataFrame:
     """node, total, shingle, weight of rows (node, text): every shingle of a text with its weight."""
 
     def run(batches):
-        known = per_worker("words", 0, WordHashes)
         for batch in slices(batches, 64):
-            own = [weights(text, known, idf.value) for text in texts_of(batch)]
+            own = [weights(words, idf.value) for words in word_hashes(batch.column(1))]
             if own:
                 rows = pa.array(np.repeat(np.arange(len(own)), [len(s) for s, _ in own]))
                 totals = pa.array([float(w.sum(dtype=np.float64)) for _, w in own])

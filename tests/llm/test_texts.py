@@ -4,7 +4,9 @@ import hashlib
 import math
 import random
 import re
+import string
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +217,18 @@ def test_near_classes(make_docs):
     assert near.stage(make_docs([])).count() == 0
 
 
+def test_near_words(odd_texts):
+    """Words do not depend on the texts beside them, and are those of plain Python."""
+    marks = string.punctuation + "«»„“”‘’…–—¿¡"
+    for text, got in zip(odd_texts, near.word_hashes(pa.array(odd_texts)), strict=True):
+        assert near.word_hashes(pa.array([text], pa.string()))[0].tolist() == got.tolist()
+        if "İ" not in (text or ""):  # lower case of one letter is one letter here
+            words = [w for w in (w.strip(marks) for w in (text or "").lower().split()) if w]
+            assert got.tolist() == [near.word_hashes(pa.array([w]))[0][0] for w in words]
+    many = [f"{a}{b}" for a in ("", "a", "ab", "b", "ba", "1", "é") for b in range(3000)]
+    assert len({near.word_hashes(pa.array([" ".join(many)]))[0][i] for i in range(len(many))}) == len(set(many))
+
+
 def test_near_pairs_of_crowded_buckets(make_docs):
     """Texts alike by a common part, far below the threshold, hide pairs that reach it."""
     import numpy as np
@@ -226,11 +240,11 @@ def test_near_pairs_of_crowded_buckets(make_docs):
         edited = own[:-12] + sentences(rng, 12).split()
         texts += [common + " " + " ".join(own), common + " " + " ".join(edited)]
     rng.shuffle(texts)
-    known, df = near.WordHashes(), np.zeros(1 << near.BUCKET_BITS, np.int64)
-    for t in texts:
-        df[np.unique(near.buckets(near.shingles(near.word_hashes(t, known))[0]))] += 1
+    words, df = near.word_hashes(pa.array(texts)), np.zeros(1 << near.BUCKET_BITS, np.int64)
+    for own in words:
+        df[np.unique(near.buckets(near.shingles(own)[0]))] += 1
     idf = near.idf_table(df, len(texts))
-    weighed = [near.weights(t, known, idf) for t in texts]
+    weighed = [near.weights(own, idf) for own in words]
     expected = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
