@@ -67,7 +67,8 @@ def hashes(words: pa.Array) -> np.ndarray:
 
 def word_hashes(texts: pa.Array) -> list[np.ndarray]:
     """The words of each text; none of a null text."""
-    tokens = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    # Blank ends go first: a text of blanks alone would be split into a blank word.
+    tokens = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(pc.fill_null(texts, ""))))
     words = pc.utf8_trim(tokens.flatten(), characters=MARKS)
     h = np.concatenate([np.zeros(0, np.uint64), *[hashes(words.slice(i, SLICE)) for i in range(0, len(words), SLICE)]])
     at = np.concatenate([[0], np.cumsum(pc.list_value_length(tokens).to_numpy())])
