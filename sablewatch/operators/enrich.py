@@ -48,22 +48,30 @@ def _one_per_key(dimension: DataFrame, key: Column, columns: tuple[str, ...]) ->
     return dimension.groupBy(key.alias("_key")).agg(F.max(F.struct(*columns)).alias("_row"))
 
 
+def _looked_up(events: DataFrame, key: Column, dimension: DataFrame) -> DataFrame:
+    """``events`` with the columns of ``dimension``, whose ``_key`` is unique; without a match they are null.
+
+    Rows join on the key and its hash, those without a key on a hash of what they hold: they match nothing, and so
+    lie in many tasks instead of one. As the dimension is dealt anew by both, AQE can split the rows of a hot key.
+    """
+    plain = [c for c, kind in events.dtypes if not kind.startswith(("map", "array", "struct", "variant"))]
+    spread = F.when(key.isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in plain])).otherwise(F.xxhash64(key))
+    keyed = events.withColumns({"_key": key, "_spread": spread})
+    return keyed.join(dimension.withColumn("_spread", F.xxhash64("_key")), ["_key", "_spread"], "left").drop("_key", "_spread")
+
+
 def with_asset(events: DataFrame, assets: DataFrame) -> DataFrame:
     dim = _one_per_key(assets, F.lower("asset_key"), ("criticality", "owner", "department", "location")).select(
         "_key", *[F.col(f"_row.{c}").alias(f"asset_{c}") for c in ("criticality", "owner", "department", "location")],
         F.lit(True).alias("asset_found"),
     )
-    return (
-        events.withColumn("_key", asset_key()).join(dim, "_key", "left").drop("_key")
-        .withColumn("asset_found", F.coalesce("asset_found", F.lit(False)))
-    )
+    return _looked_up(events, asset_key(), dim).withColumn("asset_found", F.coalesce("asset_found", F.lit(False)))
 
 
 def with_user(events: DataFrame, users: DataFrame) -> DataFrame:
     """Directory attributes; a name the directory lacks gets the default for its kind."""
     dim = _one_per_key(users, F.col("username"), ("department", "privileged", "risk_score", "mfa_enabled")).select(
-        F.col("_key").alias("user_name"),
-        *[F.col(f"_row.{c}").alias(f"_{c}") for c in ("department", "privileged", "risk_score", "mfa_enabled")],
+        "_key", *[F.col(f"_row.{c}").alias(f"_{c}") for c in ("department", "privileged", "risk_score", "mfa_enabled")],
         F.lit(True).alias("_known"),
     )
     name = F.col("user_name")
@@ -73,7 +81,7 @@ def with_user(events: DataFrame, users: DataFrame) -> DataFrame:
         default = F.when(service, F.lit(for_service)).when(name.isNotNull(), F.lit(otherwise))
         return F.coalesce(F.col(f"_{column}"), default)
 
-    joined = events.join(dim, "user_name", "left")
+    joined = _looked_up(events, name, dim)
     return joined.select(
         *events.columns,
         filled("department", "IT", "Unknown").alias("user_department"),
@@ -364,7 +372,7 @@ def with_geo_by_block(events: DataFrame, ranges: DataFrame) -> DataFrame:
     are as many as the block's addresses at most, however many ranges overlap there.
     """
     cuts = materialised(disjoint_ranges(ranges), "geo-intervals")
-    blocks = cuts.groupBy("block").agg(F.collect_list(F.struct("lo", "hi", "geo")).alias("intervals"))
+    blocks = cuts.groupBy(F.col("block").alias("_key")).agg(F.collect_list(F.struct("lo", "hi", "geo")).alias("intervals"))
     for name in ("source_ip", "destination_ip"):
         columns = events.columns
         number = ipv4_number(F.col(name))
@@ -372,7 +380,7 @@ def with_geo_by_block(events: DataFrame, ranges: DataFrame) -> DataFrame:
             "block", F.when(~is_private_number(F.col("n")), F.shiftright("n", BLOCK_BITS).cast("long"))
         )
         holding = F.filter("intervals", lambda r: F.col("n").between(r["lo"], r["hi"]))
-        events = keyed.join(blocks, "block", "left").select(*columns, F.get(holding, F.lit(0))["geo"].alias(f"{name}_geo"))
+        events = _looked_up(keyed, F.col("block"), blocks).select(*columns, F.get(holding, F.lit(0))["geo"].alias(f"{name}_geo"))
     return events
 
 

@@ -86,3 +86,20 @@ def test_zero_vectors_do_not_hide_cases(spark):
     asked = spark.createDataFrame([(9, [1.0, 0.1])], "query_id long, embedding array<double>")
     got = [(r.case_id, round(r.distance, 3)) for r in cases.nearest_cases(corpus, asked, k=3, metric="cosine").orderBy("rank").collect()]
     assert got == [(3, 0.005), (4, 0.9), (1, 1.0)]
+
+
+def test_events_without_a_key_meet_no_single_task(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    coalesced = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        users = spark.createDataFrame([("u", "d", True, 1.0, True)], "username string, department string, privileged boolean, risk_score double, mfa_enabled boolean")
+        events = spark.createDataFrame([(i, "u" if i % 10 == 0 else None) for i in range(200)], "event_id long, user_name string")
+        out = enrich.with_user(events, users)
+        rows = out.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    assert len(rows) == 200 and {r.event_id for r in rows if r.user_known} == set(range(0, 200, 10))
+    assert len({r.task for r in rows if r.user_name is None}) == 4
