@@ -184,11 +184,14 @@ def routing_summaries(alerts: DataFrame, alert_events: DataFrame, events: DataFr
     return alerts.select("alert_id").join(lines, "alert_id", "left").select("alert_id", F.coalesce(text, F.lit(NO_EVENTS)).alias("summary"))
 
 
-def event_span(alert_events: DataFrame, events: DataFrame) -> DataFrame:
-    """First and last event time and number of stored events per alert."""
+#: The number pairs of an alert travel under: 64 bits of its id.
+_number = F.xxhash64
+
+
+def _spans(pairs: DataFrame, times: DataFrame, key: str) -> DataFrame:
     return (
-        alert_events.join(events.select("event_id", "event_timestamp"), "event_id")
-        .groupBy("alert_id")
+        pairs.select(key, "event_id").join(times, "event_id")
+        .groupBy(key)
         .agg(
             F.count(F.lit(1)).alias("events"), F.min("event_timestamp").alias("first_event_time"),
             F.max("event_timestamp").alias("last_event_time"),
@@ -196,6 +199,23 @@ def event_span(alert_events: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def event_span(alert_events: DataFrame, events: DataFrame) -> DataFrame:
+    """First and last event time and number of stored events per alert.
+
+    Pairs travel under a number hashed from the alert's id, which is put back once per alert. Alerts
+    whose numbers agree are counted by their ids.
+    """
+    times = events.select("event_id", "event_timestamp")
+    numbered = alert_events.select("alert_id", "event_id", F.when(F.col("alert_id").isNotNull(), _number("alert_id")).alias("number"))
+    names = numbered.select("number", "alert_id").distinct().groupBy("number").agg(F.count(F.lit(1)).alias("ids"), F.min("alert_id").alias("alert_id"))
+    # A null id has no number and stays null.
+    own = _spans(numbered, times, "number").join(names, "number", "left").where("ids is null or ids = 1")
+    # Equal numbers are chance: n alerts have about n * n / 2**65 such pairs.
+    shared = F.broadcast(names.where("ids > 1").select("number"))
+    rest = _spans(numbered.join(shared, "number", "left_semi"), times, "alert_id")
+    return own.select(rest.columns).unionByName(rest)
+
+
 def incident_rollup(members: DataFrame, alerts: DataFrame) -> DataFrame:
     """Per incident a row with its alert counts, and a row per affected asset and user.
 

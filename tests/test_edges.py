@@ -1,10 +1,11 @@
 """Inputs outside the fixtures: unusable messages, missing values, duplicate keys, zero vectors."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
-from sablewatch.operators import analytics, cases, enrich, records
+from sablewatch.operators import analytics, cases, enrich, records, workflow
 from sablewatch.sources import products, topics
 
 ENVELOPE = "key string, value string, topic string, partition int, offset long, timestamp timestamp"
@@ -88,6 +89,34 @@ def test_zero_vectors_do_not_hide_cases(spark):
     assert got == [(3, 0.005), (4, 0.9), (1, 1.0)]
 
 
+def _alert_pairs(spark):
+    ids = ["a" * 64, "b" * 64, None]
+    pairs = spark.createDataFrame([(ids[i % 3], i // 3) for i in range(30)] + [(ids[0], 0), (ids[1], 99), ("none", 99)], "alert_id string, event_id long")
+    events = spark.createDataFrame([(i, T0 + dt.timedelta(hours=i) if i else None) for i in range(9)], "event_id long, event_timestamp timestamp")
+    span = (T0 + dt.timedelta(hours=1), T0 + dt.timedelta(hours=8))
+    return pairs, events, {(ids[0], 10, *span), (ids[1], 9, *span), (None, 9, *span)}
+
+
+def test_spans_of_alerts_whose_numbers_agree(spark, monkeypatch):
+    pairs, events, expected = _alert_pairs(spark)
+    assert {tuple(r) for r in workflow.event_span(pairs, events).collect()} == expected
+    monkeypatch.setattr(workflow, "_number", lambda c: F.length(c).cast("long"))
+    got = [tuple(r) for r in workflow.event_span(pairs, events).collect()]
+    assert len(got) == 3 and set(got) == expected
+
+
+def test_alert_ids_do_not_travel_with_events(spark, capsys):
+    pairs, events, _ = _alert_pairs(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        workflow.event_span(pairs, events).explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    sent = re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\(event_id", capsys.readouterr().out)
+    assert any("number" in x for x in sent) and not any("alert_id" in x for x in sent if "number" in x)
+
+
 def test_events_without_a_key_meet_no_single_task(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     coalesced = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
