@@ -299,7 +299,7 @@ def able(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     return both.where(_able(_overlap("sums_a", "sums_b"), "total_a", "total_b", similarity)).select("a", "b")
 
 
-def crowded_links(members: DataFrame, roots: DataFrame, texts: DataFrame, idf, similarity: float, links: DataFrame) -> DataFrame:
+def crowded_links(members: DataFrame, roots: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
     """The roots after buckets (``members``: key, node) that hold several components
     are settled: no pair of different components of a bucket that is similar stays apart."""
     crowded = _rooted(members, roots).groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q").select("key")
@@ -324,34 +324,47 @@ def crowded_links(members: DataFrame, roots: DataFrame, texts: DataFrame, idf, s
         fresh = materialised(verified(star, texts, idf, similarity), "near-links")
         if fresh.isEmpty():
             break
-        links, turn = links.unionByName(fresh), turn + 1
-        roots = components(links)
+        roots, turn = merged(roots, fresh), turn + 1
 
     # Then every pair of different components that the bounds leave.
     own = materialised(_rooted(listed, roots), "near-prefixes")
     pairs = own.alias("x").join(own.alias("y"), F.expr(f"x.shingle = y.shingle and x.root < y.root and {passing('x', 'y')}"))
     pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     fresh = materialised(verified(pairs, texts, idf, similarity), "near-links")
-    return roots if fresh.isEmpty() else components(links.unionByName(fresh))
+    return roots if fresh.isEmpty() else merged(roots, fresh)
+
+
+def tangled(edges: DataFrame) -> bool:
+    """Whether ``edges`` (a < b) are more than stars around least nodes: a b has two a, or is one."""
+    ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("a").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").agg(F.count(F.lit(1))).first()[0] > 0
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node of its component) by alternating large and small stars."""
-    state = None
-    edges = materialised(edges.select("a", "b").distinct(), "near-edges")
-    while True:
+    """node, root (the least node of its component, itself left out) by alternating large and small stars."""
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+    edges = materialised(edges.distinct(), "near-edges")
+    while tangled(edges):
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = ways.join(least, "a").where("b > a").select("m", "b").where("m <> b").distinct()
+        large = ways.join(least, "a").where("b > a").select("m", "b").where("m <> b")
         down = large.select(F.greatest("m", "b").alias("a"), F.least("m", "b").alias("b"))
         floor = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(floor, "a")
         small = small.select(F.col("m").alias("a"), "b").where("a <> b").unionByName(floor.select(F.col("m").alias("a"), F.col("a").alias("b")))
         edges = materialised(small.distinct(), "near-edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        state = now
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after more links: only the roots that these join are looked at again."""
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        ends = _rooted(ends.withColumnRenamed(end, "node"), roots).withColumnRenamed("root", end).drop("node")
+    over = components(ends)
+    moved = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
+    return materialised(moved.unionByName(over), "near-roots")
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -381,10 +394,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         docs.join(wanted.select("node", F.col("name.doc_id").alias("id"), F.col("name.text_key").alias("tk")), F.expr("doc_id <=> id and text_key <=> tk"))
         .select("node", "text").dropDuplicates(["node"]), "near-texts",
     )
-    links = materialised(verified(pairs, texts, idf, similarity), "near-links")
-    roots = components(links)
+    roots = components(verified(pairs, texts, idf, similarity))
 
-    roots = crowded_links(members.select("key", F.col("b").alias("node")), roots, texts, idf, similarity, links)
+    roots = crowded_links(members.select("key", F.col("b").alias("node")), roots, texts, idf, similarity)
 
     named = _rooted(nodes.select("node", "name"), roots)
     first = named.groupBy("root").agg(F.min("name").alias("first"))

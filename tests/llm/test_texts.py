@@ -315,3 +315,33 @@ def test_pipeline(spark, sf):
         assert after.columns == names and 0 < after.count() <= docs.count()
         docs = spark.createDataFrame(after.toPandas(), docs.schema)
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_components_of_any_links(spark, monkeypatch):
+    import numpy as np
+
+    from sablewatch.session import materialised
+
+    rng = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(100 + i, 101 + i) for i in range(20)]
+    written = []
+    monkeypatch.setattr(near, "materialised", lambda df, purpose: written.append(purpose) or materialised(df, purpose))
+
+    def least(links):
+        root = {n: n for ab in links for n in ab}
+        for _ in root:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return {n: r for n, r in root.items() if n != r}
+
+    def edges(links):
+        return spark.createDataFrame(links, "a long, b long")
+
+    assert {r.node: r.root for r in near.components(edges(pairs)).collect()} == least(pairs)
+    roots = near.components(edges(pairs[:40]))
+    got = near.merged(roots, edges(pairs[40:])).collect()
+    assert len(got) == len(least(pairs)) and {r.node: r.root for r in got} == least(pairs)
+    # Stars are recognised at once.
+    written.clear()
+    assert near.components(edges([(1, n) for n in range(2, 30)] + [(40, 41)])).count() == 29 and len(written) == 1
+    assert near.components(edges([(1, 2)]).limit(0)).count() == 0
