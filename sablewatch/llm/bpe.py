@@ -41,7 +41,7 @@ class Codec:
     def __init__(self, tokenizer_json: str) -> None:
         self.automaton, added = compiled(tokenizer_json)
         self.automaton.labels |= {i: s for s, i in added.items()}
-        self.cutter = Cutter(True, added)
+        self.cutter = Cutter(True, added, tokenizer_json)
         self.words = WordIds(self.automaton)
 
     def encode(self, text: str) -> bytes:

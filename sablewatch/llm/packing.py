@@ -67,7 +67,7 @@ class ByteEncoder:
 
     def __init__(self, tokenizer_json: str) -> None:
         self.words = ByteIds(tokenizer_json)
-        self.cutter = Cutter(False, self.words.added)
+        self.cutter = Cutter(False, self.words.added, tokenizer_json)
 
     def __call__(self, text: str) -> bytes:
         out, get = [], self.words.__getitem__

@@ -2,7 +2,8 @@
 
 The classes are those of Unicode: letters (L), numbers (N: Nd, Nl, No), white space and the
 rest. Python's ``\\w`` counts Nl and No with letters and its ``\\s`` adds four control
-characters, so both are spelled out here.
+characters, so both are spelled out here. Python and the tokenizers library hold tables of different
+Unicode versions; a text with a character these may treat differently is cut by the library's own steps.
 """
 
 from __future__ import annotations
@@ -30,6 +31,17 @@ def _ranges(points: list[int]) -> str:
 #: Python's, so a cheaper pattern cuts the text alike.
 RARE = re.compile("[\x1c-\x1f²³¹¼½¾ƀ-\U0010ffff]")
 LATIN = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
+#: Below these characters all versions agree.
+BEYOND = re.compile("[\u0370-\U0010ffff]")
+
+
+def unsettled(char: str) -> bool:
+    """Whether Unicode versions may differ in the character's class, case or place in NFC."""
+    return (
+        unicodedata.category(char) == "Cn"
+        or unicodedata.combining(char) > 0
+        or (char > "\uffff" and unicodedata.decomposition(char)[:1] not in ("", "<"))
+    )
 
 
 def classes() -> tuple[str, str, str]:
@@ -60,21 +72,33 @@ def word_patterns() -> tuple[re.Pattern, re.Pattern]:
 
 
 class Cutter:
-    """Cuts texts into pre-tokens, and out the strings of added tokens before that.
+    """Cuts texts into pre-tokens of a tokenizer file's text, and out the strings of added tokens before that.
 
     ``chunks`` yields (added token or None, list of pre-tokens).
     """
 
-    def __init__(self, lower: bool, added: dict[str, int]) -> None:
-        self.lower, self.added = lower, added
+    def __init__(self, lower: bool, added: dict[str, int], tokenizer_json: str) -> None:
+        self.lower, self.added, self.spec, self.library = lower, added, tokenizer_json, None
         self.any, self.plain = word_patterns() if lower else byte_patterns()
         longest = sorted(added, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, longest))) if added else None
 
     def words(self, text: str) -> list[str]:
-        if self.lower:
-            text = lowered(text)
-        return (self.any if RARE.search(text) else self.plain).findall(text)
+        own = lowered(text) if self.lower else text
+        if not RARE.search(own):
+            return self.plain.findall(own)
+        # Looked for after NFC, which may have made a composite the library does not know.
+        return self.library_words(text) if any(map(unsettled, set(BEYOND.findall(own)))) else self.any.findall(own)
+
+    def library_words(self, text: str) -> list[str]:
+        """The same by the library's normaliser and pre-tokenizer."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.spec)
+        if self.library.normalizer is not None:
+            text = self.library.normalizer.normalize_str(text)
+        return [text[start:end] for _, (start, end) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def chunks(self, text: str):
         at = 0

@@ -53,7 +53,7 @@ def _encoder(tokenizer_json: str):
 
 def _cutter(tokenizer_json: str) -> Cutter:
     added = json.loads(tokenizer_json).get("added_tokens", [])
-    return Cutter(True, {t["content"]: t["id"] for t in added})
+    return Cutter(True, {t["content"]: t["id"] for t in added}, tokenizer_json)
 
 
 def frequent_lengths(docs: DataFrame, tokenizer_json: str) -> dict[str, int]:

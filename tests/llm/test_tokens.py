@@ -6,7 +6,7 @@ import zlib
 
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -36,6 +36,38 @@ def test_automaton_agrees_with_the_library(codec, text):
     assert own.decode(ids) == library.decode(expected, skip_special_tokens=False)
 
 
+#: Letters and digits of Unicode 16 and 17, marks and a composite newer than the library's NFC, older marks.
+NEWER = [
+    "\U00013460", "\U00016130", "\U00010d50", "\U00016ea0", "\ua7cb", "\u1c89", "\u1abf", "\u0898",
+    "\U00011935\U00011930", "\U00011938", "\u0301", "\u0323", "\u05b0", "\u064b",
+]
+
+
+@pytest.fixture(scope="module")
+def byte_encoder():
+    with open(BYTE, encoding="utf-8") as f:
+        return packing.ByteEncoder(f.read()), Tokenizer.from_file(BYTE)
+
+
+@settings(max_examples=300, deadline=None)
+@example(":\U00013460")
+@given(st.lists(st.sampled_from([*NEWER, "a", ":", " ", "Σ", "é", "1", "'s"]), max_size=12).map("".join))
+def test_characters_on_which_unicode_versions_differ(codec, byte_encoder, text):
+    own, library = codec
+    expected = library.encode(text, add_special_tokens=False).ids
+    assert own.encode(text) == packed(expected)
+    own, library = byte_encoder
+    assert own(text) == packed(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_newer_characters_in_a_table(make_docs):
+    texts, library = [":\U00013460", "a\U00016130 \U00010d50b", "x\u0323\u1abf\u0345"], Tokenizer.from_file(WORD)
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    docs = make_docs(texts)
+    assert {r.doc_id: bytes(r.ids) for r in bpe.encode(docs, WORD).collect()} == dict(enumerate(map(packed, expected)))
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, WORD).collect()} == dict(enumerate(map(len, expected)))
+
+
 def merged(word, merges):
     parts = list(word)
     while True:
