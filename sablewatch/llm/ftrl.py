@@ -10,16 +10,16 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from functools import reduce
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sablewatch.llm.base import per_worker, slices, texts_of
-from sablewatch.session import materialised, shared_dir
+from sablewatch.session import materialised
 
 #: Hashed features (a power of two); words and shapes share them.
 FEATURES = 1 << 18
@@ -27,6 +27,8 @@ FEATURES = 1 << 18
 LABELLED = 20_000
 #: Shards learn side by side; passes over the sample.
 SHARDS, PASSES = 8, 6
+#: Partitions for shards: the least number at which the hashes of 0 to 7 lie apart. Places of the state that are averaged together.
+SPREAD, SLICE = 22, 1 << 14
 #: Learning rate and its offset, absolute and square penalty of the updates.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.1
 #: From this score on a text is predicted to be good.
@@ -145,17 +147,49 @@ def _vectors(batches):
         )
 
 
+def _changes(shard: int, learner: Learner, z: np.ndarray, n: np.ndarray):
+    """What a shard changed, a row for each slice of the state: a bit for each place, and the changed places' differences."""
+    changed = (learner.z != z) | (learner.n != n)
+    for i in range(0, len(z), SLICE):
+        own = changed[i : i + SLICE]
+        if own.any():
+            dz, dn = ((a[i : i + SLICE] - b[i : i + SLICE])[own] for a, b in ((learner.z, z), (learner.n, n)))
+            yield pa.RecordBatch.from_pydict({
+                "slice": pa.array([i // SLICE], pa.int32()), "shard": pa.array([shard], pa.int32()),
+                "places": pa.array([np.packbits(own).tobytes()]), "dz": pa.array([dz.tobytes()]), "dn": pa.array([dn.tobytes()]),
+            })
+
+
 def _one_pass(state):
-    """What one shard's rows, in the order of their hashes, change in the common state."""
+    """What each shard's rows, in the order of their hashes, change in the common state. A shard's rows follow each other."""
 
     def run(batches):
         z, n = state.value
-        learner = Learner(z, n)
+        at, learner = None, None
         for batch in batches:
-            for label, bins, counts in zip(*(batch.column(c) for c in ("label", "bins", "counts"))):
+            for shard, label, bins, counts in zip(*(batch.column(c) for c in ("shard", "label", "bins", "counts"))):
+                if shard.as_py() != at:
+                    if learner is not None:
+                        yield from _changes(at, learner, z, n)
+                    at, learner = shard.as_py(), Learner(z, n)
                 learner.see(bins.values.to_numpy(), unit(counts.values.to_numpy().astype(np.int64)), label.as_py())
-        at = np.flatnonzero((learner.z != z) | (learner.n != n)).astype(np.int32)
-        yield pa.RecordBatch.from_pydict({k: pa.array([v.tobytes()]) for k, v in (("at", at), ("dz", (learner.z - z)[at]), ("dn", (learner.n - n)[at]))})
+        if learner is not None:
+            yield from _changes(at, learner, z, n)
+
+    return run
+
+
+def _averaged(state, shards: int):
+    """A slice of the next common state from all shards' changes."""
+
+    def run(key, rows):
+        at = key[0].as_py()
+        z, n = (a[at * SLICE : (at + 1) * SLICE].copy() for a in state.value)
+        for row in rows.sort_by("shard").to_pylist():
+            places = np.unpackbits(np.frombuffer(row["places"], np.uint8), count=len(z)).astype(bool)
+            z[places] += np.frombuffer(row["dz"]) / shards
+            n[places] += np.frombuffer(row["dn"]) / shards
+        return pa.table({"slice": pa.array([at], pa.int32()), "z": pa.array([z.tobytes()]), "n": pa.array([n.tobytes()])})
 
     return run
 
@@ -167,24 +201,23 @@ def train(sample: DataFrame, share: dict[int, float], shards: int = SHARDS, pass
     if len(share) < 2:
         known = next(iter(share), None)
         return Model(np.zeros(FEATURES), 0.0 if known is None else math.log(99) * (1 if known else -1))
-    spark, path = sample.sparkSession, shared_dir(sample.sparkSession, "quality-vectors")
+    spark = sample.sparkSession
     vectors = sample.select("at", "label", "text").mapInArrow(_vectors, "at long, label int, bins array<int>, counts array<int>")
-    vectors.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "at"), F.lit(shards)).cast("int")).repartition(shards, "shard").write.partitionBy("shard").parquet(path)
-    whole = spark.read.parquet(path)
-    own = [r.shard for r in whole.select("shard").distinct().orderBy("shard").collect()]
-    # Each shard is read from its own folder by one task, so a pass shuffles nothing.
-    by_shard = [whole.where(F.col("shard") == s).drop("shard").coalesce(1).sortWithinPartitions("at") for s in own]
+    vectors = vectors.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "at"), F.lit(shards)).cast("int"))
+    # Dealt out and sorted once: a pass reads each shard where it lies, side by side with the others.
+    dealt = vectors.repartition(SPREAD, "shard").sortWithinPartitions("shard", "at").persist(StorageLevel.DISK_ONLY)
     z, n = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
     for _ in range(passes):
         state = spark.sparkContext.broadcast((z, n))
-        # One row per shard, of at most FEATURES + 1 places, reaches the driver, whatever the input.
-        changed = reduce(DataFrame.unionAll, [s.mapInArrow(_one_pass(state), "at binary, dz binary, dn binary") for s in by_shard]).collect()
+        changes = dealt.mapInArrow(_one_pass(state), "slice int, shard int, places binary, dz binary, dn binary")
+        # Averaged slices of the one state reach the driver, FEATURES + 1 places in all, whatever the shards or the input.
+        new = changes.groupBy("slice").applyInArrow(_averaged(state, shards), "slice int, z binary, n binary").collect()
         z, n = z.copy(), n.copy()
-        for r in changed:
-            at = np.frombuffer(r.at, np.int32)
-            z[at] += np.frombuffer(r.dz) / shards
-            n[at] += np.frombuffer(r.dn) / shards
+        for r in new:
+            part = slice(r.slice * SLICE, (r.slice + 1) * SLICE)
+            z[part], n[part] = np.frombuffer(r.z), np.frombuffer(r.n)
         state.destroy()
+    dealt.unpersist()
     constant = float(weights_of(z[-1:], n[-1:], 0.0)[0]) - math.log(share[1]) + math.log(share[0])
     return Model(weights_of(z[:-1], n[:-1]), constant)
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from sablewatch.llm import ftrl, queries
@@ -95,6 +96,30 @@ def test_bounded_sample_keeps_the_classes_shares(spark, make_docs):
         assert all(r[i].predicted == int(i % 4 > 0) for i in range(2000))
 
 
+def test_shards_learn_side_by_side_and_one_state_reaches_the_driver(spark, make_docs, monkeypatch, tmp_path):
+    rng = np.random.default_rng(1)
+    docs = make_docs([(i, " ".join(f"w{x}" for x in rng.integers(0, 10**7, 8_000)), "en") for i in range(64)])
+    sample, share = ftrl.labelled_sample(docs, labels(spark, [(i, i % 2) for i in range(64)]))
+    frame, sizes = type(docs), []
+    collect = frame.collect
+
+    class Seen(ftrl.Learner):
+        def __init__(self, z, n):
+            super().__init__(z, n)
+            (tmp_path / str(TaskContext.get().partitionId())).touch()
+
+    def measured(self):
+        rows = collect(self)
+        sizes.append(sum(len(v) for r in rows for v in r if isinstance(v, bytes | bytearray)))
+        return rows
+
+    monkeypatch.setattr(ftrl, "Learner", Seen)
+    monkeypatch.setattr(frame, "collect", measured)
+    ftrl.train(sample, share, shards=8, passes=1)
+    assert len(list(tmp_path.iterdir())) == 8
+    assert 0 < max(sizes) <= 16 * (ftrl.FEATURES + 1)
+
+
 def test_one_class_none_and_no_rows(spark, make_docs):
     docs = make_docs(["one", "two", None])
     for marks, want in (([(0, 1), (1, 1)], 0.99), ([(0, 0)], 0.01), ([], 0.5)):
