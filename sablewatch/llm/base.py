@@ -21,14 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def per_worker(name: str, key, build):
-    """The value ``build`` makes for ``key``, kept until this Python worker needs another key.
+    """The value ``build`` makes for ``key``, kept until this Python worker needs another name or key.
 
-    Functions travel to workers by value, so a module-level cache would be new in each task.
+    Functions travel to workers by value, so a module-level cache would be new in each task. A worker
+    serves one operator after the other for as long as its executor lives, so it holds the last one's value only.
     """
     holder = sys.modules.setdefault("_sablewatch_worker", types.ModuleType("_sablewatch_worker"))
     store = holder.__dict__.setdefault("store", {})
     if store.get(name, (None,))[0] != key:
-        store.pop(name, None)
+        store.clear()
         store[name] = (key, build())
     return store[name][1]
 

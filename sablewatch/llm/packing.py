@@ -21,7 +21,8 @@ SLACK = 2
 #: Partitions whose underfull bins meet in one task of the next round, and the most rows a
 #: task may get then; with more rows, more tasks take part.
 FAN_IN, TASK_ROWS = 8, 200_000
-WORD_CACHE = 400_000
+#: Pre-tokens whose ids a worker keeps: so many, of at most so many characters each.
+WORD_CACHE, CACHED_CHARS = 100_000, 64
 
 PLACED = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -52,9 +53,11 @@ class ByteIds(dict):
         self.piece = Encoding("bytes", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        ids = self[word] = np.array(self.piece(word.encode()), "<u4").tobytes()
+        ids = np.array(self.piece(word.encode()), "<u4").tobytes()
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= WORD_CACHE:
+                self.clear()
+            self[word] = ids
         return ids
 
 

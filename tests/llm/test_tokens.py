@@ -2,6 +2,7 @@
 
 import hashlib
 import struct
+import weakref
 import zlib
 
 import public_tokenizers
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer
 
 from sablewatch.llm import bpe, packing, token_counts
 from sablewatch.llm.automaton import Automaton
+from sablewatch.llm.base import per_worker
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -161,3 +163,26 @@ def test_digest_of_ids_is_that_of_the_bytes(make_docs):
 
     row = bpe.encode(make_docs(["hello world"]), WORD).select(F.sha2("ids", 256).alias("h"), "ids").first()
     assert row.h == hashlib.sha256(bytes(row.ids)).hexdigest()
+
+
+class Model:
+    pass
+
+
+def test_a_worker_holds_the_last_value_only():
+    kept = per_worker("first operator", 1, Model)
+    assert per_worker("first operator", 1, Model) is kept
+    gone = weakref.ref(kept)
+    del kept
+    per_worker("second operator", 1, Model)
+    assert gone() is None
+
+
+def test_ids_kept_by_a_worker_are_bounded(byte_encoder, monkeypatch):
+    own, library = byte_encoder
+    monkeypatch.setattr(packing, "WORD_CACHE", 20)
+    own.words.clear()
+    long = "ab" * 5000
+    for text in (long, " ".join(f"word{chr(97 + i % 26) * i}" for i in range(200)), long):
+        assert own(text) == packed(library.encode(text, add_special_tokens=False).ids)
+        assert len(own.words) <= 20 and all(len(w) <= packing.CACHED_CHARS for w in own.words)
