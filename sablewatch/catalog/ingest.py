@@ -7,7 +7,7 @@ from ..fixtures.views import view
 from ..functions import numeric_severity, severity_rank
 from ..operators import records
 from ..plans import flow
-from ..session import materialised, shared_dir
+from ..session import materialised, shared_dir, shuffles_dropped
 from ..sources import default_registry, latest_indicators, normalise, parse_flat_events, parse_topics, quarantine
 from ..sources.products import EDR_TOPIC, GENERIC_TOPIC, NDR_TOPIC, PRODUCTS, SIEM_TOPIC
 from ..sources.topics import CORRUPT
@@ -313,7 +313,8 @@ def flow_batch(spark, sf):
                 F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"), F.sum(F.col("h").cast("decimal(38,0)")).alias("content"),
             )
             total = one if total is None else total.unionByName(one)
-        seen.append(materialised(total, "flow-content"))
+        with shuffles_dropped(spark):
+            seen.append(materialised(total, "flow-content"))
     before = seen[0].select("name", F.col("rows").alias("was"), F.col("content").alias("had"))
     same = (F.col("rows") == F.col("was")) & F.col("content").eqNullSafe(F.col("had"))
     counted = F.when(F.col("name").isin("canonical", "rejected", "enriched"), F.col("rows"))

@@ -1,8 +1,8 @@
 """Event enrichment: asset, user, threat intelligence, geolocation.
 
-Every lookup is a left join on a unique key, so the event count never changes. No join is
-forced to broadcast: the dimension's statistics decide, and AQE splits a hot key when the
-join shuffles.
+Every lookup is a left join on a unique key, so the event count never changes. Where a batch is
+known, a dimension is cut to the keys the batch asks for, and goes to every worker if what is left is
+measured to be small; else its statistics decide, and AQE splits a hot key when the join shuffles.
 """
 
 from __future__ import annotations
@@ -366,19 +366,24 @@ def with_geo(events: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def with_geo_by_block(events: DataFrame, ranges: DataFrame) -> DataFrame:
     """Same result as :func:`with_geo` by one lookup per address; fits a stream, and a batch of
-    which the events are already enriched, as it reads them once.
+    which the events are already enriched, as it reads them once."""
+    return _located(events, materialised(disjoint_ranges(ranges), "geo-intervals"))
 
-    A block's disjoint intervals are one row, a unique key, so the left join keeps every event. They
+
+def _block(number: Column) -> Column:
+    """The block a public address is looked up in."""
+    return F.when(~is_private_number(number), F.shiftright(number, BLOCK_BITS).cast("long"))
+
+
+def _located(events: DataFrame, cuts: DataFrame) -> DataFrame:
+    """A block's disjoint intervals are one row, a unique key, so the left join keeps every event. They
     are as many as the block's addresses at most, however many ranges overlap there.
     """
-    cuts = materialised(disjoint_ranges(ranges), "geo-intervals")
     blocks = cuts.groupBy(F.col("block").alias("_key")).agg(F.collect_list(F.struct("lo", "hi", "geo")).alias("intervals"))
     for name in ("source_ip", "destination_ip"):
         columns = events.columns
         number = ipv4_number(F.col(name))
-        keyed = evaluated_once(events, number, "n").withColumn(
-            "block", F.when(~is_private_number(F.col("n")), F.shiftright("n", BLOCK_BITS).cast("long"))
-        )
+        keyed = evaluated_once(events, number, "n").withColumn("block", _block(F.col("n")))
         holding = F.filter("intervals", lambda r: F.col("n").between(r["lo"], r["hi"]))
         events = _looked_up(keyed, F.col("block"), blocks).select(*columns, F.get(holding, F.lit(0))["geo"].alias(f"{name}_geo"))
     return events
@@ -392,6 +397,8 @@ class EnrichmentRegistry:
 
     def __init__(self) -> None:
         self.steps: dict[str, Callable[[DataFrame], DataFrame]] = {}
+        #: Whether events stay in the tasks they come in, so that rows placed by date remain so.
+        self.in_place = False
 
     def register(self, name: str, step: Callable[[DataFrame], DataFrame]) -> None:
         self.steps[name] = step
@@ -402,12 +409,44 @@ class EnrichmentRegistry:
         return events
 
 
-def default_enrichment(assets: DataFrame, users: DataFrame, ranges: DataFrame) -> EnrichmentRegistry:
-    registry = EnrichmentRegistry()
+#: A lookup's rows for one batch go to every worker if their texts take at most so many bytes.
+LOOKUP_BYTES = 16 << 20
+
+
+def _asked(events: DataFrame) -> DataFrame:
+    """kind, key: the distinct keys (host, user, address) events are looked up by; nulls match nothing and are left out."""
+    kinds = (("host", asset_key()), ("user", F.col("user_name")), ("ip", F.col("source_ip")), ("ip", F.col("destination_ip")))
+    pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in kinds])
+    return events.select(F.explode(pairs).alias("p")).select("p.*").where("key is not null").distinct()
+
+
+def _cut(dimension: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """The rows a batch asks for, written once, and whether they are few enough for every worker."""
+    kept = materialised(dimension, name)
+    size = kept.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*kept.columns)))), F.lit(0))).first()[0]
+    return (F.broadcast(kept), True) if size <= LOOKUP_BYTES else (kept, False)
+
+
+def default_enrichment(assets: DataFrame, users: DataFrame, ranges: DataFrame, events: DataFrame | None = None) -> EnrichmentRegistry:
+    """The built-in steps. With the ``events`` of a batch, lookups hold only what those ask for: a batch
+    names few of all assets, so its wide rows mostly need not be dealt out anew for each lookup."""
+    registry, geo = EnrichmentRegistry(), lambda e: with_geo_by_block(e, ranges)
+    if events is not None:
+        asked = materialised(_asked(events), "lookup-keys")
+        hosts, names = (asked.where(F.col("kind") == kind).select("key") for kind in ("host", "user"))
+        addresses = evaluated_once(asked.where("kind = 'ip'").select("key"), ipv4_number(F.col("key")), "n")
+        blocks = addresses.select(_block(F.col("n")).alias("block")).where("block is not null").distinct()
+        (assets, few_assets), (users, few_users), (cuts, few_cuts) = (
+            _cut(assets.join(hosts, F.lower("asset_key") == F.col("key"), "left_semi"), "asked-assets"),
+            _cut(users.join(names, F.col("username") == F.col("key"), "left_semi"), "asked-users"),
+            _cut(disjoint_ranges(ranges).join(blocks, "block", "left_semi"), "geo-intervals"),
+        )
+        registry.in_place = few_assets and few_users and few_cuts
+        geo = lambda e: _located(e, cuts)
     registry.register("asset_inventory", lambda e: with_asset(e, assets))
     registry.register("user_directory", lambda e: with_user(e, users))
     registry.register("threat_intel", with_intel)
-    registry.register("geoip", lambda e: with_geo_by_block(e, ranges))
+    registry.register("geoip", geo)
     return registry
 
 

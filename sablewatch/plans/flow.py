@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stable_id
 from ..operators import analytics, detect, enrich, quality, similarity, triage
 from ..schemas import SEVERITIES
+from ..session import materialised, scratch
 from ..sources import normalise, quarantine
 from ..streaming.sinks import zone_path
 
@@ -25,21 +26,24 @@ def triaged_alerts(events: DataFrame, *keep: str) -> DataFrame:
     return triage.rule_scores(hits.withColumn("alert_id", stable_id(F.lit("alert"), F.col("event_id"), F.col("rule"))))
 
 
-def write_zone(df: DataFrame, root: str, zone: str, name: str, time: str | None = None, batch: str = "0") -> DataFrame:
+def write_zone(
+    df: DataFrame, root: str, zone: str, name: str, time: str | None = None, batch: str = "0", placed: bool = False
+) -> DataFrame:
     """Write a batch's part of one zone table, by date, and return that part as read back.
 
     A batch owns the folder of its name in each table and replaces it, so running a batch again changes
     nothing but that. Later stages read the written table, so parsing and joins run once and a lost
     executor costs no recomputation beyond its own stage. The date keeps scans prunable; rows are
-    placed by it so a day becomes few large files.
+    placed by it so a day becomes few large files. ``placed`` rows come task by task from a table of the
+    same dates and are not moved again.
     """
     path = f"{zone_path(root, zone, name)}/batch={batch}"
     writer = df.write
     if time is not None:
         df = df.withColumn("date", F.to_date(time))
         # REBALANCE sizes the output by date and splits a date that holds most rows.
-        writer = df.hint("rebalance", "date").write.partitionBy("date")
-    writer.mode("overwrite").parquet(path)
+        writer = (df if placed else df.hint("rebalance", "date")).write.partitionBy("date")
+    writer.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -62,10 +66,10 @@ def contract_gate(good: DataFrame, root: str, batch: str, rules=FLOW_RULES, cont
     ``contract`` adds its rules and may halt the batch; without one only the rows with a critical failure stay back.
     """
     rules = (*rules, *(contract.rules if contract else ()))
-    validated = write_zone(quality.validate(good, rules, F.current_timestamp() if as_of is None else as_of), root, "raw", "validated", "timestamp", batch)
+    validated = write_zone(quality.validate(good, rules, F.current_timestamp() if as_of is None else as_of), root, "raw", "validated", "timestamp", batch, placed=True)
     violations = write_zone(
         quality.worst_severity(validated).select("event_id", "timestamp", "worst_severity", "failed_count", "failed_rules"),
-        root, "raw", "violations", "timestamp", batch,
+        root, "raw", "violations", "timestamp", batch, placed=True,
     )
     critical = F.exists("results", lambda r: ~r["passed"] & (r["severity"] == "critical"))
     verdict = quality.gate(validated, contract, halt_on_critical=False) if contract else None
@@ -78,7 +82,8 @@ def deduplicated(alerts: DataFrame) -> DataFrame:
     compared = alerts.select(
         "alert_id", F.col("rule").alias("detection_rule"), *[c for c in similarity.FIELDS.values() if c != "detection_rule"], "title"
     )
-    clusters = similarity.related_counts(compared).select("alert_id", "cluster", "duplicates")
+    # Written first, so that its shuffles have gone when the wide alerts are dealt out.
+    clusters = materialised(similarity.related_counts(compared).select("alert_id", "cluster", "duplicates"), "alert-clusters")
     return alerts.join(clusters, "alert_id").withColumn("is_first", F.col("cluster") == F.col("alert_id"))
 
 
@@ -94,8 +99,14 @@ def run_batch(
     Broken messages go to ``rejected``, events that fail the gate stay in ``violations``; duplicates of an alert
     stay in ``alerts`` but only the first of a cluster makes tasks and escalations, and ``sent`` holds
     those no equal alert was sent shortly before. A batch its contract halts ends after the gate. Running a batch
-    again replaces its parts; with the same messages (and ``as_of``) nothing changes.
+    again replaces its parts; with the same messages (and ``as_of``) nothing changes. Shuffles go with the step
+    that made them and intermediate tables at the end, so the disk holds the zones and one step's work.
     """
+    with scratch(messages.sparkSession):
+        return _run_batch(messages, root, assets, users, ranges, batch, contract, as_of)
+
+
+def _run_batch(messages, root, assets, users, ranges, batch, contract, as_of) -> dict[str, DataFrame]:
     canonical = write_zone(normalise(messages), root, "raw", "events", "timestamp", batch)
     good, bad = quarantine(canonical)
     rejected = write_zone(bad, root, "raw", "rejected", batch=batch)
@@ -103,8 +114,9 @@ def run_batch(
     out = {"canonical": canonical, "rejected": rejected, "violations": violations}
     if not proceed:
         return out
-    steps = enrich.default_enrichment(assets, users, ranges)
-    enriched = write_zone(steps.apply(detectable(passing.drop("date"))), root, "enriched", "events", "event_timestamp", batch)
+    events = detectable(passing.drop("date"))
+    steps = enrich.default_enrichment(assets, users, ranges, events)
+    enriched = write_zone(steps.apply(events), root, "enriched", "events", "event_timestamp", batch, placed=steps.in_place)
     found = triaged_alerts(enriched, *_ALERT_COLUMNS)
     alerts = write_zone(deduplicated(found), root, "curated", "alerts", "event_timestamp", batch)
     first = alerts.where("is_first").withColumn("tactics", F.col("techniques.tactic_name"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -67,7 +70,50 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="sablewatch-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if (open_scratch := _SCRATCH.get()) is not None:
+        open_scratch.append(path)
+    return path
+
+
+#: Folders made inside an open :func:`scratch` of this thread.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is run inside leaves no shuffle files: they go with the query that made them.
+
+    Otherwise they stay until the driver happens to collect its garbage, so a job of many steps holds
+    the shuffles of all of them at once.
+    """
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Like :func:`shuffles_dropped`; folders of :func:`shared_dir` go at the end, too, so what is
+    returned must not read them."""
+    made: list[str] = []
+    token = _SCRATCH.set(made)
+    try:
+        with shuffles_dropped(spark):
+            yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in made:
+            delete(spark, path)
 
 
 def materialised(df: DataFrame, purpose: str) -> DataFrame:

@@ -3,13 +3,15 @@
 import datetime as dt
 import hashlib
 import json
+import os
+import time
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sablewatch.catalog import ORACLES, QUERIES
 from sablewatch.fixtures.views import view
-from sablewatch.operators import quality, triage, workflow
+from sablewatch.operators import enrich, quality, triage, workflow
 from sablewatch.plans import flow
 from sablewatch.schemas import ENVELOPE
 from sablewatch.session import shared_dir
@@ -105,3 +107,62 @@ def test_tasks_follow_the_techniques_tactics(spark):
     )
     agents = {i: {r.agent_type for r in triage.routed_tasks(alerts).collect() if r.alert_id == i} for i in "abc"}
     assert agents["b"] == agents["c"] == {"triage", "threat_intel"} and agents["a"] > agents["b"]
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (files.apply(i).getName() for i in range(files.size()))
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_a_batch_leaves_its_zones_only(spark, sf):
+    """Neither shuffle files nor intermediate tables stay, whether or not the driver collects its garbage."""
+    base, root = spark.conf.get("spark.checkpoint.dir"), shared_dir(spark, "lake")
+    folders, files = set(os.listdir(base)), shuffle_files(spark)
+    rows = view(spark, sf, "messages_in").where("event_id < 300")
+    out = flow.run_batch(rows, root, view(spark, sf, "assets"), view(spark, sf, "users"), view(spark, sf, "geo_ranges"))
+    assert set(os.listdir(base)) - folders == {os.path.basename(root)}
+    for _ in range(50):
+        # What the gate and the cooldown look up goes by itself; its files hold a row or two.
+        if len(left := shuffle_files(spark) - files) <= 16:
+            break
+        time.sleep(0.2)
+    assert len(left) <= 16
+    assert out["alerts"].count() > 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+
+
+def test_lookups_cut_to_a_batch_give_the_same_rows(spark, monkeypatch):
+    def event(i, host, user, source, destination):
+        return (i, host, user, source, destination, None, None, None)
+
+    events = spark.createDataFrame(
+        [event(0, "Web-1", "amy", "8.8.8.8", "10.0.0.1"), event(1, None, None, "10.0.0.9", "not an address"), event(2, "", "svc_x", "", None),
+         event(3, None, "bob", None, "8.8.9.1"), event(4, "none", "AMY", "9.1.1.1", "8.9.0.0"), event(5, None, None, None, None)],
+        "event_id long, hostname string, user_name string, source_ip string, destination_ip string, domain string, process_hash string, file_hash string",
+    )
+    assets = spark.createDataFrame(
+        [("web-1", "low", "a", "d", "x"), ("WEB-1", "high", "b", "d", "x"), ("10.0.0.9", "low", None, None, None), (None, "low", "c", "d", "x"), ("db", "low", "c", "d", "x")],
+        "asset_key string, criticality string, owner string, department string, location string",
+    )
+    users = spark.createDataFrame(
+        [("amy", "IT", True, 1.0, None), ("amy", "IT", True, 2.0, None), (None, "X", True, 3.0, True), ("zoe", "X", True, 3.0, True)],
+        "username string, department string, privileged boolean, risk_score double, mfa_enabled boolean",
+    )
+    wide, narrow = (8 << 24, (8 << 24) + (1 << 24) - 1), ((8 << 24) + (8 << 16), (8 << 24) + (8 << 16) + 4095)
+    ranges = spark.createDataFrame([(*wide, "A", "AS1"), (*narrow, "B", "AS2"), (*narrow, "B", "AS2"), (1, 5, "C", "AS3"), (None, 5, "D", "AS4")], "start_ip long, end_ip long, country string, asn string")
+
+    def rows(steps):
+        return sorted(map(str, steps.apply(events).collect()))
+
+    want = rows(enrich.default_enrichment(assets, users, ranges))
+    few = enrich.default_enrichment(assets, users, ranges, events)
+    assert few.in_place and rows(few) == want
+    assert few.apply(events).select(F.count_if("asset_found"), F.count_if("user_known"), F.count("source_ip_geo"), F.count("destination_ip_geo")).first() == (2, 1, 1, 2)
+    # No event is dealt out: whatever moves belongs to the lookups, which go to all workers.
+    assert "SortMergeJoin" not in few.apply(events)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(enrich, "LOOKUP_BYTES", -1)
+    many = enrich.default_enrichment(assets, users, ranges, events)
+    assert not many.in_place and rows(many) == want
+    none = events.where("event_id < 0")
+    assert enrich.default_enrichment(assets, users, ranges, none).apply(none).count() == 0
