@@ -112,3 +112,36 @@ def test_copies_ties_and_unusable_rows(spark):
     assert ann.nearest(none, none).count() == 0
     one = rows.where("vec_id = 51")
     assert ann.nearest(one, one).count() == 0
+
+
+def test_rounds_and_walk_shuffle_packed_ids(spark, monkeypatch):
+    """Rounds and steps hand on a few rows of bytes a task instead of a row for each pair, and leave no shuffle files."""
+    rng = np.random.default_rng(11)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((600, 8)))], "node bigint, vec array<double>")
+    units = ann._unit(nodes, 8)
+    edges = ann._best(ann._first_lists(units, 0).withColumn("new", F.lit(True)))
+    for vectors in (ann.Vectors(units), ann.Vectors(units, most=0)):
+        members, marked = ann._members(edges, 0, vectors.parts)
+        assert members.count() > 10 * 600 > 100 * marked.select(F.spark_partition_id()).distinct().count()
+        proposed = ann._proposals(members, edges, vectors, packed=True)
+        assert proposed.count() <= len(vectors.parts) ** 2 and proposed.agg(F.sum("n")).first()[0] > 600
+
+
+def test_many_queries_walk_in_turns(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((400, 8)))], "vec_id bigint, embedding array<double>")
+    asked = rows.where("vec_id % 10 = 0")
+    one = {tuple(r) for r in ann.nearest(rows, asked).collect()}
+    monkeypatch.setattr(ann, "QUERY_BYTES", 1000)  # three turns
+    assert len(one) == 200 and {tuple(r) for r in ann.nearest(rows, asked).collect()} == one
+
+
+def test_parcels_keep_every_row(spark):
+    labels = ann._labels(spark, 7)
+    assert len(set(labels.tolist())) == 7
+    rows = spark.range(1000).selectExpr("id as u", "id * 3 as v", "id / 7 as s", "id % 2 = 0 as new")
+    parcels = ann._delivered(ann._packed(rows, labels), labels).withColumn("task", F.spark_partition_id())
+    assert parcels.groupBy("part").agg(F.count_distinct("task").alias("n")).where("n > 1").count() == 0
+    assert parcels.select("task").distinct().count() == 7
+    got = ann._opened(parcels.drop("task").toArrow().to_batches(), ("i8", "i8", "f8", "?"))[0]
+    assert sorted(zip(*(c.tolist() for c in got))) == sorted(tuple(r) for r in rows.collect())
