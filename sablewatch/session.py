@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -71,13 +71,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="sablewatch-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    if (open_scratch := _SCRATCH.get()) is not None:
-        open_scratch.append(path)
+    if threading.get_ident() in _SCRATCH:
+        _SCRATCH[threading.get_ident()].append(path)
     return path
 
 
-#: Folders made inside an open :func:`scratch` of this thread.
-_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+#: By thread, the folders made inside an open :func:`scratch`.
+_SCRATCH: dict[int, list[str]] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -105,13 +105,15 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Like :func:`shuffles_dropped`; folders of :func:`shared_dir` go at the end, too, so what is
     returned must not read them."""
-    made: list[str] = []
-    token = _SCRATCH.set(made)
+    thread = threading.get_ident()
+    outer, _SCRATCH[thread] = _SCRATCH.get(thread), []
     try:
         with shuffles_dropped(spark):
             yield
     finally:
-        _SCRATCH.reset(token)
+        made = _SCRATCH.pop(thread)
+        if outer is not None:
+            _SCRATCH[thread] = outer
         for path in made:
             delete(spark, path)
 
